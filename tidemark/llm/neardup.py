@@ -7,7 +7,8 @@ that may reach the threshold are confirmed on their full sets.
 
 Work never grows with the square of a group. Documents with equal sets are one node. In each band bucket a hub (the
 member that shares most buckets) is compared with every other member; the links found are joined into components;
-only then are members of one bucket that are still in different components compared with each other, in blocks.
+only then are members of one bucket that are still in different components compared with each other, in blocks,
+whose pairs are counted and confirmed in place where they would be many.
 Pairs inside a component cannot change it and are left out, so components lose no link between candidates.
 
 With 24 bands of 4 registers a pair at similarity 0.8 is missed with a chance below 4 in a million, and the estimate
@@ -33,6 +34,7 @@ REGISTERS = BANDS * ROWS
 MANTISSA = 10  # bits
 EMPTY = 0xFFFF
 BLOCK = 512  # members of a bucket that are compared at once with so many others
+FEW = 2  # candidates for each row of a pair of blocks; beyond, they are confirmed where the blocks meet
 ERRORS = 5  # standard errors below the threshold that the estimate lets pass
 
 
@@ -132,10 +134,10 @@ def sketch(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str =
 
 
 def _bands(nodes: DataFrame) -> DataFrame:
-    """(band, node, n): a row for each band that is not empty."""
+    """(band, at, node, n): a row for each band that is not empty; at is the band's number."""
     width = 2 * ROWS
     parts = F.expr(f"filter(transform(sequence(0, {BANDS - 1}), i -> struct(i as i, substring(registers, i * {width} + 1, {width}) as part)), x -> x.part != X'{'FF' * width}')")
-    return nodes.select("node", "n", F.explode(parts).alias("p")).select(F.xxhash64("p.i", "p.part").alias("band"), "node", "n")
+    return nodes.select("node", "n", F.explode(parts).alias("p")).select(F.xxhash64("p.i", "p.part").alias("band"), F.col("p.i").alias("at"), "node", "n")
 
 
 def _estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -178,49 +180,119 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) ->
     return both.select("a", "b", "t_a", "t_b").mapInArrow(run, "a binary, b binary")
 
 
-def _across(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs between members of one band bucket that are in different components, compared in blocks.
+def _blocks(members: DataFrame) -> DataFrame:
+    """Members (band, at, node, n, component) of buckets with several components, dealt as pairs of blocks.
 
-    members: (band, node, n, component). A bucket of more than BLOCK members is dealt as pairs of blocks.
+    Blocks i and j of a bucket meet under the key (band, i, j); `own` is a member's block.
     """
     mixed = members.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("c")).filter("lo != hi").select("band", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    rows = members.join(mixed, "band").join(nodes.select("node", "registers"), "node").withColumn("own", own)
-    rows = rows.select("band", "node", "n", "component", "registers", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
-    keyed = rows.select("band", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "node", "n", "component", "registers", "own")
-    dealt = keyed.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    rows = members.join(mixed, "band").withColumn("own", own)
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+    return rows.select("band", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "node", "n", "component", "own", "at")
 
-    def compare(rows: list) -> Iterator:
-        import numpy as np
 
-        regs = np.frombuffer(b"".join(r[6] for r in rows), np.uint16).reshape(-1, REGISTERS)
-        n = np.array([r[4] for r in rows])
-        comp = np.unique(np.array([r[5].hex() for r in rows]), return_inverse=True)[1]
-        own = np.array([r[7] for r in rows])
-        i, j = rows[0][1], rows[0][2]
-        for x in range(len(rows)):
-            if own[x] != i:
-                continue
-            other = np.flatnonzero((comp != comp[x]) & ((own == j) if i != j else (np.arange(len(rows)) > x)) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x])))
-            if len(other):
-                ok = _may_link(np.broadcast_to(regs[x], (len(other), REGISTERS)), regs[other], np.full(len(other), n[x]), n[other], percent)
-                yield from ((rows[x][3], rows[y][3]) for y in other[ok])
+def _pairs_of(rows: list, percent: int) -> Iterator:
+    """(x, places of others) for the pairs across components of one pair of blocks whose registers allow a link.
 
-    def run(batches: Iterator) -> Iterator:
-        from itertools import groupby
+    A pair that shares several buckets counts in the first of them only.
+    """
+    import numpy as np
+
+    regs = np.frombuffer(b"".join(r[8] for r in rows), np.uint16).reshape(-1, REGISTERS)
+    n = np.array([r[4] for r in rows])
+    comp = np.unique(np.array([r[5].hex() for r in rows]), return_inverse=True)[1]
+    own = np.array([r[6] for r in rows])
+    i, j, at = rows[0][1], rows[0][2], rows[0][7]
+    place = np.arange(len(rows))
+    for x in np.flatnonzero(own == i):
+        other = np.flatnonzero((comp != comp[x]) & ((own == j) if i != j else (place > x)) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x])))
+        if len(other):
+            mine = np.broadcast_to(regs[x], (len(other), REGISTERS))
+            same = ((mine == regs[other]).reshape(-1, BANDS, ROWS).all(2)) & (mine != EMPTY).reshape(-1, BANDS, ROWS).any(2)
+            ok = _may_link(mine, regs[other], np.full(len(other), n[x]), n[other], percent) & (same.argmax(1) == at)
+            if ok.any():
+                yield x, other[ok]
+
+
+def _groups(batches: Iterator) -> Iterator[list]:
+    """The rows of each key (band, i, j), which come together."""
+    from itertools import groupby
 
+    rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+    for _, group in groupby(rows, key=lambda r: r[:3]):
+        yield list(group)
+
+
+def _dealt(blocks: DataFrame, *others: DataFrame) -> DataFrame:
+    names = [*blocks.columns, *(c for side in others for c in side.columns if c != "node")]
+    for side in others:
+        blocks = blocks.join(side, "node")
+    return blocks.select(names).repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+
+
+def _across(blocks: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (a, b) of each pair of blocks, or, where there are more than a few for each row, its key alone."""
+
+    def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        def batch_of(out: list):
+            types = (pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=["a", "b", "band", "i", "j"])
+
         out: list = []
-        for _, group in groupby(rows, key=lambda r: r[:3]):
-            out += [(min(p), max(p)) for p in compare(list(group))]
+        for rows in _groups(batches):
+            found = []
+            for x, others in _pairs_of(rows, percent):
+                found += [(rows[x][3], rows[y][3]) for y in others]
+                if len(found) > FEW * len(rows):
+                    found = [(None, None)]
+                    break
+            out += [(*p, *rows[0][:3]) for p in found]
             if len(out) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out, strict=True)], names=["a", "b"])
+                yield batch_of(out)
                 out = []
-        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.binary()) for k in (0, 1)], names=["a", "b"])
+        yield batch_of(out)
+
+    return _dealt(blocks, nodes.select("node", "registers")).mapInArrow(run, "a binary, b binary, band long, i int, j int")
+
+
+def _within(blocks: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) of pairs of blocks with many candidates, found on the full sets where the blocks meet.
+
+    Common shingles of one member with all others are counted at once over an index of the blocks' hashes. Links that
+    join what earlier ones have joined are left out, so there are fewer links than rows.
+    """
+
+    def linked(rows: list) -> Iterator:
+        import numpy as np
+
+        sets = [hashes(r[9], words) for r in rows]
+        flat = np.concatenate(sets)
+        order = np.argsort(flat, kind="stable")
+        owner = np.repeat(np.arange(len(rows)), [len(h) for h in sets])[order]
+        flat = flat[order]
+        n = np.array([len(h) for h in sets])
+        joined = np.unique(np.array([r[5].hex() for r in rows]), return_inverse=True)[1]
+        for x, others in _pairs_of(rows, percent):
+            begin, end = np.searchsorted(flat, sets[x], "left"), np.searchsorted(flat, sets[x], "right")
+            count = end - begin
+            at = np.repeat(begin - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
+            common = np.bincount(owner[at], minlength=len(rows))[others]
+            for y in others[100 * common >= percent * (n[x] + n[others] - common)]:
+                if joined[x] != joined[y]:
+                    joined[joined == joined[y]] = joined[x]
+                    yield rows[x][3], rows[y][3]
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for rows in _groups(batches):
+            out = list(linked(rows))
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
-    return dealt.mapInArrow(run, "a binary, b binary").distinct()
+    return _dealt(blocks, nodes.select("node", "registers"), texts).mapInArrow(run, "a binary, b binary").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -243,8 +315,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 
     links = durable(_confirmed(durable(_estimated(stars, nodes, percent), "stars"), texts, words, percent), "links")
     found = components(links)
-    placed = members.join(found, "node", "left").select("band", "node", "n", F.coalesce("component", "node").alias("component"))
-    more = durable(_confirmed(durable(_across(placed, nodes, percent), "across"), texts, words, percent), "links")
+    placed = members.join(found, "node", "left").select("band", "at", "node", "n", F.coalesce("component", "node").alias("component"))
+    blocks = durable(_blocks(placed), "blocks")
+    across = durable(_across(blocks, nodes, percent), "across")
+    crowded = blocks.join(across.filter(F.col("a").isNull()).select("band", "i", "j"), ["band", "i", "j"], "left_semi")
+    crowded = crowded.select(blocks.columns)
+    pairs = across.filter(F.col("a").isNotNull()).select("a", "b").union(_within(crowded, nodes, texts, words, percent))
+    more = durable(_confirmed(durable(pairs.distinct(), "pairs"), texts, words, percent), "links")
     if more.limit(1).count():
         found = components(links.union(more))
 
