@@ -1 +1 @@
-"""Functions."""
+"""Column functions: validity windows, months, phrases, Student's t."""

@@ -1 +1 @@
-"""Operators."""
+"""Operators: store, features, design matrix, forecasters, scores, significance, explanations."""

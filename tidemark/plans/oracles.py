@@ -1,3 +1,149 @@
 """DuckDB SQL by query name."""
 
-ORACLES: dict = {}
+from __future__ import annotations
+
+from tidemark.plans.queries import NAIVE, REGIME, TARGET, TERMS
+from tidemark.sources.derived import SERIES, WEEKLY
+
+_SERIES = ", ".join(f"('{s[0]}', '{s[2]}', '{s[4]}', {s[5]}::DOUBLE, {s[6]})" for s in SERIES)
+_OUT = f"BETWEEN DATE '{REGIME[0]}' AND DATE '{REGIME[1]}'"
+
+OBS = f"""
+registry(series_id, frequency, units, scale, lag) AS (VALUES {_SERIES}),
+m0 AS (SELECT o_orderpriority AS series_id, date_trunc('month', o_orderdate)::DATE AS obs_date, o_orderkey AS k, o_totalprice::DECIMAL(18,2) AS x FROM orders),
+w0 AS (SELECT '{WEEKLY}' AS series_id, (l_shipdate::DATE + (6 - dayofweek(l_shipdate::DATE))::INT)::DATE AS obs_date, l_orderkey AS k, l_quantity::DECIMAL(18,2) AS x FROM lineitem),
+m1 AS (SELECT series_id, obs_date, r, sum(CASE WHEN k % 3 <= r THEN x END)::DOUBLE AS value FROM m0, (VALUES (0), (1), (2)) t(r) GROUP BY ALL),
+w1 AS (SELECT series_id, obs_date, r, sum(CASE WHEN k % 3 <= r THEN x END)::DOUBLE AS value FROM w0, (VALUES (0), (1), (2)) t(r) GROUP BY ALL),
+obs AS (
+  SELECT series_id, obs_date, (obs_date + to_months(1 + r))::DATE + 4 AS realtime_start,
+    CASE WHEN r < 2 THEN (obs_date + to_months(2 + r))::DATE + 3 ELSE DATE '9999-12-31' END AS realtime_end, value FROM m1
+  UNION ALL SELECT series_id, obs_date, obs_date + 5 + 7 * r, CASE WHEN r < 2 THEN obs_date + 11 + 7 * r ELSE DATE '9999-12-31' END, value FROM w1),
+releases AS (SELECT DISTINCT origin FROM (SELECT min(realtime_start) AS origin FROM obs WHERE series_id = '{TARGET}' GROUP BY obs_date))
+"""
+
+_MONTHLY = """SELECT origin, series_id, date_trunc('month', obs_date)::DATE AS month,
+    CASE WHEN frequency = 'M' THEN max(value) WHEN count(value) >= 2 THEN avg(value) END AS value, count(value)::INT AS weeks_used
+  FROM {0} GROUP BY origin, series_id, frequency, date_trunc('month', obs_date)::DATE"""
+
+PANEL = f"""
+known AS (SELECT r.origin, o.series_id, o.obs_date, o.value * g.scale AS value, g.frequency FROM releases r, obs o JOIN registry g USING (series_id)
+  WHERE o.realtime_start <= r.origin - 1 AND o.realtime_end >= r.origin - 1),
+panel AS ({_MONTHLY.format("known")})
+"""
+
+SHIFTED = f"""
+targets AS (SELECT DISTINCT date_trunc('month', obs_date)::DATE AS origin FROM obs WHERE series_id = '{TARGET}'),
+known AS (SELECT t.origin, o.series_id, o.obs_date, o.value * g.scale AS value, g.frequency FROM targets t, obs o JOIN registry g USING (series_id)
+  WHERE o.realtime_end = DATE '9999-12-31' AND o.obs_date <= CASE WHEN o.series_id = '{TARGET}' THEN t.origin - 1 ELSE last_day((t.origin - to_months(g.lag))::DATE) END),
+panel AS ({_MONTHLY.format("known")})
+"""
+
+CHANGES = """
+lagged AS (SELECT *, lag(value) OVER w AS previous, lag(month) OVER w AS before FROM panel WINDOW w AS (PARTITION BY origin, series_id ORDER BY month)),
+changes AS (SELECT origin, series_id, month, value - previous AS change, value AS level, previous AS previous_level FROM lagged
+  WHERE before = (month - to_months(1))::DATE AND value IS NOT NULL AND previous IS NOT NULL)
+"""
+
+FORECASTS = f"""
+target_changes AS (SELECT origin, month, change FROM changes WHERE series_id = '{TARGET}'),
+ends AS (SELECT origin, (max(month) + to_months(1))::DATE AS month FROM target_changes GROUP BY origin),
+ordered AS (SELECT origin, month, change, false AS nxt FROM target_changes WHERE NOT month {_OUT} UNION ALL SELECT origin, month, NULL, true FROM ends),
+ruled AS (SELECT *, row_number() OVER w - 1 AS n, lag(change) OVER w AS last_one, first_value(change) OVER w AS first_one,
+    avg(change) OVER (PARTITION BY origin ORDER BY nxt, month ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS m3,
+    avg(change) OVER (PARTITION BY origin ORDER BY nxt, month ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS m6
+  FROM ordered WINDOW w AS (PARTITION BY origin ORDER BY nxt, month)),
+long AS (SELECT origin, month, change, nxt, n, 'random_walk' AS model, last_one AS p FROM ruled WHERE n >= 2
+  UNION ALL SELECT origin, month, change, nxt, n, 'mean_3m', m3 FROM ruled WHERE n >= 3
+  UNION ALL SELECT origin, month, change, nxt, n, 'mean_6m', m6 FROM ruled WHERE n >= 6
+  UNION ALL SELECT origin, month, change, nxt, n, 'drift', last_one + (last_one - first_one) / (n - 1) FROM ruled WHERE n >= 3),
+forecasts AS (SELECT origin, model, max(month) FILTER (nxt) AS target_month, max(p) FILTER (nxt) AS point,
+    CASE WHEN count(change - p) >= 2 THEN 1.2816 * sqrt(avg((change - p) * (change - p))) END AS half, (max(n) FILTER (nxt))::INT AS n_train
+  FROM long GROUP BY origin, model HAVING max(p) FILTER (nxt) IS NOT NULL)
+"""
+
+_SCALE = next(s[5] for s in SERIES if s[0] == TARGET)
+
+SCORED = f"""
+printed AS (SELECT r.origin, date_trunc('month', o.obs_date)::DATE AS month, o.value * {_SCALE}::DOUBLE AS value FROM releases r, obs o
+  WHERE o.series_id = '{TARGET}' AND o.realtime_start <= r.origin AND o.realtime_end >= r.origin),
+actuals AS (SELECT a.origin, a.month AS target_month, a.value - b.value AS actual FROM printed a JOIN printed b ON a.origin = b.origin AND b.month = (a.month - to_months(1))::DATE
+  WHERE a.value IS NOT NULL AND b.value IS NOT NULL),
+attempts AS (SELECT f.*, point - half AS lower, point + half AS upper, actual FROM forecasts f JOIN actuals USING (origin, target_month) WHERE NOT target_month {_OUT}),
+"""
+
+SCORED_SHIFTED = f"""
+newest AS (SELECT date_trunc('month', obs_date)::DATE AS month, arg_max(value, realtime_start) * {_SCALE}::DOUBLE AS value FROM obs WHERE series_id = '{TARGET}' AND value IS NOT NULL GROUP BY 1),
+actuals AS (SELECT month AS target_month, value - lag(value) OVER (ORDER BY month) AS actual FROM newest),
+attempts AS (SELECT f.*, point - half AS lower, point + half AS upper, actual FROM forecasts f JOIN actuals USING (target_month) WHERE NOT target_month {_OUT} AND actual IS NOT NULL),
+"""
+
+COMMON = f"scored AS (SELECT * FROM attempts WHERE origin IN (SELECT origin FROM attempts GROUP BY origin HAVING count(DISTINCT model) = {len(NAIVE)}))"
+
+CARD = """SELECT model, count(*) AS n, avg(abs(point - actual)) AS mae, sqrt(avg((point - actual) * (point - actual))) AS rmse, avg(point - actual) AS bias,
+  avg(((point >= 0) = (actual >= 0))::INT) FILTER (actual <> 0) AS directional_accuracy, avg((actual BETWEEN lower AND upper)::INT) FILTER (half IS NOT NULL) AS interval_coverage,
+  avg(upper - lower) FILTER (half IS NOT NULL) AS mean_interval_width, count(*) FILTER (half IS NOT NULL) AS n_with_interval FROM scored GROUP BY model"""
+
+_CARD_OUT = "SELECT model, n, " + ", ".join(f"round({c} + 1e-7, 4) AS {c}" for c in ("mae", "rmse", "bias", "directional_accuracy", "interval_coverage", "mean_interval_width")) + ", n_with_interval, round(interval_coverage - 0.8 + 1e-7, 4) AS coverage_gap FROM card"
+
+_BACKTEST = f"WITH {OBS}, {PANEL}, {CHANGES}, {FORECASTS}, {SCORED} {COMMON}"
+
+#: Two-sided p of Student's t as the same finite series, summed over a list.
+_P = """CASE WHEN df % 2 = 0 THEN 1 - sin(th) * list_sum(list_transform(range(0, df // 2), lambda j: list_product([1.0::DOUBLE] || list_transform(range(1, j + 1), lambda i: (2 * i - 1.0) / (2 * i))) * cos(th) ** (2 * j)))
+  ELSE 1 - 2 / pi() * (th + sin(th) * list_sum(list_transform(range(0, (df - 1) // 2), lambda j: list_product([1.0::DOUBLE] || list_transform(range(1, j + 1), lambda i: (2.0 * i) / (2 * i + 1))) * cos(th) ** (2 * j + 1)))) END"""
+
+
+def _terms() -> tuple[str, str]:
+    """Joins and columns of the design terms."""
+    joins, columns = [], []
+    for i, t in enumerate(TERMS):
+        if t.transform == "trailing_mean":
+            columns.append(f"(SELECT CASE WHEN count(*) >= {t.least} THEN avg(c.change) END FROM target_changes c WHERE c.origin = w.origin AND c.month BETWEEN (w.month - to_months({t.lag + t.window - 1}))::DATE AND (w.month - to_months({t.lag}))::DATE AND NOT c.month {_OUT}) AS {t.name}")
+        else:
+            table, column = ("panel", "value") if t.transform == "level" else ("changes", "change")
+            joins.append(f"LEFT JOIN {table} t{i} ON t{i}.origin = w.origin AND t{i}.series_id = '{t.series_id}' AND t{i}.month = (w.month - to_months({t.lag}))::DATE")
+            columns.append(f"t{i}.{column} AS {t.name}")
+    return " ".join(joins), ", ".join(columns)
+
+
+_JOINS, _COLUMNS = _terms()
+_READS = sorted({0} | {t.lag for t in TERMS if t.transform != "trailing_mean"} | {t.lag + 1 for t in TERMS if t.transform == "change"})
+_DIRTY = " OR ".join(f"(w.month - to_months({k}))::DATE {_OUT}" for k in _READS)
+_NAMES = [t.name for t in TERMS]
+_MISSING = "concat_ws(',', " + ", ".join(f"CASE WHEN {n} IS NULL THEN '{n}' END" for n in _NAMES) + ")"
+
+_MONTHS = f"WITH {OBS}, {PANEL}, {CHANGES}"
+
+ORACLES = {
+    "observations_vintages": f"WITH {OBS} SELECT series_id, obs_date, realtime_start, realtime_end, round(value + 1e-7, 4) AS value FROM obs",
+    "canonical_values": f"WITH {OBS} SELECT series_id, obs_date, round(value * scale + 1e-7, 4) AS value, CASE WHEN lower(units) IN ('persons', 'number', 'thousands of persons', 'level in thousands') THEN 'thousands of persons' ELSE lower(units) END AS unit FROM obs JOIN registry USING (series_id) WHERE realtime_end = DATE '9999-12-31'",
+    "asof_panel": f"WITH {OBS}, {PANEL} SELECT origin, series_id, month, round(value + 1e-7, 4) AS value, weeks_used FROM panel",
+    "lag_shifted_panel": f"WITH {OBS}, {SHIFTED} SELECT origin, series_id, month, round(value + 1e-7, 4) AS value, weeks_used FROM panel",
+    "weekly_to_monthly": f"WITH {OBS} SELECT series_id, date_trunc('month', obs_date)::DATE AS month, round(CASE WHEN count(value) >= 4 THEN avg(value) END + 1e-7, 4) AS value, count(value)::INT AS weeks_used FROM obs WHERE series_id = '{WEEKLY}' AND realtime_end = DATE '9999-12-31' GROUP BY ALL",
+    "monthly_changes": f"{_MONTHS} SELECT origin, series_id, month, round(change + 1e-7, 4) AS change, round(level + 1e-7, 4) AS level, round(previous_level + 1e-7, 4) AS previous_level FROM changes",
+    "trailing_mean": f"{_MONTHS} SELECT origin, month, (SELECT round(CASE WHEN count(*) >= 6 THEN avg(c.change) END + 1e-7, 4) FROM changes c WHERE c.series_id = '{TARGET}' AND c.origin = a.origin AND c.month BETWEEN (a.month - to_months(11))::DATE AND a.month AND NOT c.month {_OUT}) AS trailing FROM changes a WHERE series_id = '{TARGET}'",
+    "baseline_forecasts": f"{_MONTHS}, {FORECASTS} SELECT origin, target_month, model, round(point + 1e-7, 4) AS point, round(point - half + 1e-7, 4) AS lower, round(point + half + 1e-7, 4) AS upper, n_train FROM forecasts",
+    "scorecard_baselines": f"{_BACKTEST}, card AS ({CARD}) {_CARD_OUT}",
+    "scorecard_lag_shifted": f"WITH {OBS}, {SHIFTED}, {CHANGES}, {FORECASTS}, {SCORED_SHIFTED} {COMMON}, card AS ({CARD}) {_CARD_OUT}",
+    "relative_mae": f"{_BACKTEST}, card AS ({CARD}), ref AS (SELECT mae AS r FROM card WHERE model = 'random_walk') SELECT model, round(mae + 1e-7, 4) AS mae, round(100 * (r - mae) / r + 1e-7, 4) AS relative_mae, model = (SELECT arg_min(model, mae) FROM card) AS is_best FROM card, ref",
+    "attempted_scored": f"{_BACKTEST} SELECT (SELECT count(DISTINCT origin) FROM attempts) AS n_attempted, (SELECT count(DISTINCT origin) FROM scored) AS n_scored, (SELECT count(DISTINCT origin) FROM attempts) - (SELECT count(DISTINCT origin) FROM scored) AS n_dropped",
+    "significance": f"""{_BACKTEST}, pairs AS (SELECT b.model AS rival, a.point - a.actual AS e, b.point - b.actual AS f FROM scored a JOIN scored b USING (origin) WHERE a.model = 'mean_3m' AND b.model <> 'mean_3m'),
+losses AS (SELECT rival, 'absolute' AS loss, abs(e) AS m, abs(f) AS b FROM pairs UNION ALL SELECT rival, 'squared', e * e, f * f FROM pairs),
+agg AS (SELECT rival, loss, count(*) AS n, avg(m) AS model_loss, avg(b) AS rival_loss, avg(m - b) AS mean_difference, var_pop(m - b) AS v, (count(*) - 1)::INT AS df FROM losses GROUP BY ALL),
+stat AS (SELECT *, CASE WHEN n >= 8 AND v > 0 THEN mean_difference / sqrt(v / n) * sqrt((n - 1) / n) END AS statistic FROM agg),
+angle AS (SELECT *, atan(abs(statistic) / sqrt(df)) AS th FROM stat), pp AS (SELECT *, {_P} AS p FROM angle)
+SELECT rival, loss, n, round(model_loss + 1e-7, 4) AS model_loss, round(rival_loss + 1e-7, 4) AS rival_loss, round(mean_difference + 1e-7, 4) AS mean_difference, round(statistic + 1e-7, 4) AS statistic, df AS degrees_of_freedom, round(p + 1e-7, 4) AS p_value,
+  CASE WHEN p IS NULL THEN NULL WHEN p >= 0.05 THEN 'indistinguishable' WHEN mean_difference < 0 THEN 'model is better' ELSE 'rival is better' END AS verdict FROM pp""",
+    "design_matrix": f"""{_MONTHS}, target_changes AS (SELECT origin, month, change FROM changes WHERE series_id = '{TARGET}'),
+wide AS (SELECT origin, month, change AS y, false AS is_next FROM target_changes UNION ALL SELECT origin, (max(month) + to_months(1))::DATE, NULL, true FROM target_changes GROUP BY origin),
+filled AS (SELECT w.origin, w.month, w.is_next, w.y, {_COLUMNS}, ({_DIRTY}) AS dirty FROM wide w {_JOINS}),
+stated AS (SELECT *, {_MISSING} AS missing FROM filled),
+marked AS (SELECT *, CASE WHEN NOT is_next AND dirty THEN 'excluded' WHEN missing <> '' THEN 'incomplete' ELSE 'ok' END AS status FROM stated)
+SELECT origin, month, is_next, round(y + 1e-7, 4) AS y, {", ".join(f"round({n} + 1e-7, 4) AS {n}" for n in _NAMES)}, status, missing, count(*) FILTER (status = 'ok' AND NOT is_next) OVER (PARTITION BY origin) AS n_ok FROM marked""",
+    "upsert_observations": f"WITH {OBS} SELECT series_id, obs_date, realtime_start, realtime_end, round(value + 1e-7, 4) AS value FROM obs WHERE series_id <> '{WEEKLY}'",
+    "release_calendar": f"WITH {OBS} SELECT 194::INT AS release_id, origin AS release_date FROM releases WHERE origin <= DATE '2001-06-30'",
+    "series_summary": f"WITH {OBS} SELECT series_id, count(*) AS n_rows, count(DISTINCT obs_date) AS n_dates, round(count(*) / count(DISTINCT obs_date) + 1e-7, 4) AS revision_density, max(obs_date) AS latest FROM obs GROUP BY series_id",
+    "store_violations": f"""WITH {OBS}, snap AS (SELECT r.origin, o.obs_date, count(*) AS n FROM releases r, obs o WHERE series_id = '{TARGET}' AND realtime_start <= origin AND realtime_end >= origin GROUP BY ALL)
+SELECT count(*) AS n_rows, count(*) FILTER (realtime_start < DATE '2002-01-01') AS historical, count(*) FILTER (realtime_end < realtime_start) AS inverted, (SELECT count(*) FROM snap WHERE n > 1) AS repeated FROM obs""",
+    "history": f"""WITH {OBS}, cur AS (SELECT series_id, obs_date, value, value - lag(value) OVER (PARTITION BY series_id ORDER BY obs_date) AS mom, row_number() OVER (PARTITION BY series_id ORDER BY obs_date DESC) AS nth
+  FROM obs WHERE realtime_end = DATE '9999-12-31' AND series_id <> '{WEEKLY}') SELECT series_id, obs_date, round(value + 1e-7, 4) AS value, round(mom + 1e-7, 4) AS mom FROM cur WHERE nth <= 12""",
+}

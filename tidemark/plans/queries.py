@@ -1,3 +1,183 @@
-"""Queries by name."""
+"""Queries by name, over series derived from the order tables (tidemark.sources.derived)."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.functions import columns as C
+from tidemark.operators import design, explain, features, ridge, scoring, store
+from tidemark.operators.design import CHANGE, LEVEL, TRAILING_MEAN, Term
+from tidemark.plans import backtest
+from tidemark.sources import derived
+from tidemark.sources.registry import registry, to_canonical, unit_label
+
+TARGET, REGIME = derived.TARGET, derived.REGIME
+TERMS = (
+    Term("trailing_12", TARGET, TRAILING_MEAN, 1),
+    Term("change_lag1", TARGET, CHANGE, 1),
+    Term("change_lag2", TARGET, CHANGE, 2),
+    Term("high_change", "2-HIGH", CHANGE, 1),
+    Term("other_level", "4-NOT SPECIFIED", LEVEL, 2),
+    Term("shipped_level", derived.WEEKLY, LEVEL, 0),
+    Term("shipped_change", derived.WEEKLY, CHANGE, 0),
+)
+NAIVE = ("random_walk", "mean_3m", "mean_6m", "drift")
+
+
+def _inputs(spark: SparkSession, sf_dir: str):
+    observed = derived.observations(spark, sf_dir)
+    return observed, derived.releases(observed), registry(spark, derived.SERIES)
+
+
+def _scored(spark: SparkSession, sf_dir: str, scorecard: str = "vintage", models=NAIVE, common: bool = True) -> DataFrame:
+    observed, calendar, dimension = _inputs(spark, sf_dir)
+    return backtest.walk_forward(observed, calendar, dimension, TARGET, TERMS, REGIME, scorecard, models, common)
+
+
+def _rounded(df: DataFrame, digits: int = 4) -> DataFrame:
+    """Rounded for comparison; the small shift keeps values off exact ties, where engines differ by the last bit."""
+    return df.select(*(F.round(F.col(c) + 1e-7, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+def _panel(spark: SparkSession, sf_dir: str, shifted: bool = False) -> DataFrame:
+    observed, calendar, dimension = _inputs(spark, sf_dir)
+    if shifted:
+        return features.lag_shifted_panel(observed, backtest.origins_of(observed, calendar, "lag_shifted", TARGET), dimension, TARGET)
+    return features.panel(observed, calendar, dimension)
+
+
+def observations_vintages(spark, sf_dir):
+    return _rounded(derived.observations(spark, sf_dir))
+
+
+def canonical_values(spark, sf_dir):
+    observed, _, dimension = _inputs(spark, sf_dir)
+    scaled = to_canonical(observed.filter(C.is_current()), dimension)
+    labels = dimension.select("series_id", unit_label(F.col("units")).alias("unit"))
+    return _rounded(scaled.join(labels, "series_id").select("series_id", "obs_date", "value", "unit"))
+
+
+def asof_panel(spark, sf_dir):
+    return _rounded(_panel(spark, sf_dir))
+
+
+def lag_shifted_panel(spark, sf_dir):
+    return _rounded(_panel(spark, sf_dir, shifted=True))
+
+
+def weekly_to_monthly(spark, sf_dir):
+    weekly = derived.observations(spark, sf_dir).filter((F.col("series_id") == derived.WEEKLY) & C.is_current())
+    return _rounded(features.monthly(weekly, ["series_id"], min_weeks=4))
+
+
+def monthly_changes(spark, sf_dir):
+    return _rounded(features.changes(_panel(spark, sf_dir), ["origin", "series_id"]))
+
+
+def trailing_mean(spark, sf_dir):
+    moved = features.changes(_panel(spark, sf_dir).filter(F.col("series_id") == TARGET), ["origin"])
+    return _rounded(design.trailing_mean(moved, 12, 6, REGIME))
+
+
+def baseline_forecasts(spark, sf_dir):
+    return _rounded(backtest.forecasts(_panel(spark, sf_dir), TARGET, TERMS, REGIME, NAIVE))
+
+
+def scorecard_baselines(spark, sf_dir):
+    return _rounded(scoring.scorecard(_scored(spark, sf_dir)))
+
+
+def scorecard_lag_shifted(spark, sf_dir):
+    return _rounded(scoring.scorecard(_scored(spark, sf_dir, "lag_shifted")))
+
+
+def relative_mae(spark, sf_dir):
+    return _rounded(scoring.relative_mae(scoring.scorecard(_scored(spark, sf_dir)), "random_walk"))
+
+
+def attempted_scored(spark, sf_dir):
+    """Origins attempted, scored by all models, and dropped."""
+    every = _scored(spark, sf_dir, common=False).groupBy("origin").agg(F.countDistinct("model").alias("k"))
+    full = F.count_if(F.col("k") == len(NAIVE))
+    return every.agg(F.count(F.lit(1)).alias("n_attempted"), full.alias("n_scored"), (F.count(F.lit(1)) - full).alias("n_dropped"))
+
+
+def significance(spark, sf_dir):
+    return _rounded(scoring.diebold_mariano(scoring.paired(_scored(spark, sf_dir), "mean_3m")))
+
+
+def design_matrix(spark, sf_dir):
+    rows = design.rows(_panel(spark, sf_dir), TERMS, TARGET, REGIME)
+    return _rounded(rows.withColumn("missing", F.array_join("missing", ",")))
+
+
+def _ridge(spark, sf_dir):
+    return ridge.forecasts(design.rows(_panel(spark, sf_dir), TERMS, TARGET, REGIME), TERMS)
+
+
+def ridge_forecasts(spark, sf_dir):
+    return _rounded(_ridge(spark, sf_dir).drop("drivers"))
+
+
+def ridge_scorecard(spark, sf_dir):
+    return _rounded(scoring.scorecard(_scored(spark, sf_dir, models=(*NAIVE, "ridge"))))
+
+
+def explanations(spark, sf_dir):
+    return explain.explained(_ridge(spark, sf_dir)).select("origin", "headline", "interval", "anchor", F.array_join("driver_sentences", "; ").alias("drivers"))
+
+
+def forecast_json(spark, sf_dir):
+    return explain.payload(_ridge(spark, sf_dir))
+
+
+def _as_batch(observed: DataFrame, day: str) -> DataFrame:
+    return observed.withColumn("source", F.lit("derived")).withColumn("fetched_at", F.lit(day).cast("timestamp"))
+
+
+def upsert_observations(spark, sf_dir):
+    """Two overlapping batches: the first ends every window it knows last, the second closes them; once more changes nothing."""
+    observed = derived.observations(spark, sf_dir).filter(F.col("series_id") != derived.WEEKLY)
+    first = observed.filter("realtime_end < '9999-12-31'").withColumn("realtime_end", F.when(F.col("realtime_start") == F.max("realtime_start").over(_of_date()), F.lit("9999-12-31").cast("date")).otherwise(F.col("realtime_end")))
+    stored = store.upserted(_as_batch(first, "2001-01-01"), _as_batch(observed, "2002-01-01"))
+    again = store.upserted(stored, _as_batch(observed, "2002-01-01"))
+    return _rounded(again.select("series_id", "obs_date", "realtime_start", "realtime_end", "value"))
+
+
+def _of_date():
+    from pyspark.sql import Window
+
+    return Window.partitionBy("series_id", "obs_date")
+
+
+def release_calendar(spark, sf_dir):
+    """The calendar after a repeated upsert, up to a cutoff."""
+    days = derived.releases(derived.observations(spark, sf_dir)).select(F.lit(194).alias("release_id"), F.col("origin").alias("release_date"))
+    return store.release_upserted(days, days.filter("release_date > '2000-01-01'")).filter("release_date <= '2001-06-30'")
+
+
+def series_summary(spark, sf_dir):
+    """Rows, dates, revisions for each date and the newest date of every series."""
+    return _rounded(derived.observations(spark, sf_dir).groupBy("series_id").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.countDistinct("obs_date").alias("n_dates"),
+        (F.count(F.lit(1)) / F.countDistinct("obs_date")).alias("revision_density"), F.max("obs_date").alias("latest")))
+
+
+def store_violations(spark, sf_dir):
+    """What the guards would refuse: overlapping windows, inverted ones, repeated dates in a snapshot."""
+    observed, calendar, _ = _inputs(spark, sf_dir)
+    report = store.batch_report(_as_batch(observed, "2002-01-01"))
+    asked = calendar.select("origin", F.col("origin").alias("as_of"), F.lit(TARGET).alias("series_id"))
+    repeated = features.duplicate_dates(store.at_origins(observed, asked), ["origin", "series_id"]).agg(F.count(F.lit(1)).alias("repeated"))
+    return report.select("n_rows", "historical", "inverted", F.lit(1).alias("k")).join(repeated.withColumn("k", F.lit(1)), "k").drop("k")
+
+
+def history(spark, sf_dir):
+    return _rounded(features.history(derived.observations(spark, sf_dir).filter(F.col("series_id") != derived.WEEKLY), 12))
+
+
+QUERIES = {f.__name__: f for f in (
+    observations_vintages, canonical_values, asof_panel, lag_shifted_panel, weekly_to_monthly, monthly_changes, trailing_mean, baseline_forecasts,
+    scorecard_baselines, scorecard_lag_shifted, relative_mae, attempted_scored, significance, design_matrix, ridge_forecasts, ridge_scorecard,
+    explanations, forecast_json, upsert_observations, release_calendar, series_summary, store_violations, history)}

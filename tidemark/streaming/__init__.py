@@ -1 +1,17 @@
-"""Streaming."""
+"""Streaming ingest of revisions (an extension: the batch store is what callers need)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+from tidemark.operators.store import Store
+
+
+def upsert_stream(batches: DataFrame, store: Store, checkpoint: str):
+    """Write each micro-batch of observations to the store; a batch that comes again changes nothing."""
+
+    def write(batch: DataFrame, _: int) -> None:
+        if batch.take(1):
+            store.upsert(batch)
+
+    return batches.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
