@@ -86,5 +86,7 @@ def mix(docs: DataFrame, weights: Sequence[float], most_epochs: float = 3, seed:
         if turn < fills:
             used = state.groupBy("_source").agg(F.sum("_new").alias("_used"))
             state = state.join(used, "_source").withColumn("_free", F.col("_free") - F.col("_used")).drop("_used", "_new")
+            # Written before the next pass, so that its windows are dealt by (source, bucket) and not as this join was.
+            state = durable(state, "mix-left")
     copies = F.col("epochs") + F.col("extra")
     return state.select(F.col("id").alias(id_col), "size", F.col("source").alias(source_col), "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
