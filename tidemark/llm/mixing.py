@@ -84,7 +84,7 @@ def mix(docs: DataFrame, weights: Sequence[float], most_epochs: float = 3, seed:
         state = state.withColumn("extra", F.when(F.col("_new") > 0, 1).otherwise(F.col("extra")))
         state = durable(state, f"mix-{turn + 1}")
         if turn < fills:
-            used = state.groupBy("_source").agg(F.sum("_new").alias("_used"))
+            used = durable(state.groupBy("_source").agg(F.sum("_new").alias("_used")), "mix-used")  # one row a source, of known size
             state = state.join(used, "_source").withColumn("_free", F.col("_free") - F.col("_used")).drop("_used", "_new")
             # Written before the next pass, so that its windows are dealt by (source, bucket) and not as this join was.
             state = durable(state, "mix-left")
