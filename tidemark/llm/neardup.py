@@ -326,7 +326,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         found = components(links.union(more))
 
     smallest = nodes.join(found, "node", "left").select("node", "id", F.coalesce("component", "node").alias("component"))
-    least = smallest.groupBy("component").agg(F.min("id").alias("component_id"))
+    least = durable(smallest.groupBy("component").agg(F.min("id").alias("component_id")), "least")  # apart, so that the join below can split a hot component
     of_node = smallest.join(least, "component").select("node", "component_id")
     linked = known.select("id", "n_shingles", "node").join(of_node, "node").select("id", "n_shingles", "component_id")
     alone = sketched.filter(F.col("node").isNull()).select("id", "n_shingles", F.col("id").alias("component_id"))
