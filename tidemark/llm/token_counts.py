@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import encoder
+from tidemark.llm.common import durable, encoder
 
 
 def lengths(docs: DataFrame, tokenizer: str, text_col: str = "text") -> DataFrame:
@@ -32,8 +32,8 @@ def lengths(docs: DataFrame, tokenizer: str, text_col: str = "text") -> DataFram
 
 
 def histogram(docs: DataFrame, tokenizer: str, text_col: str = "text") -> DataFrame:
-    """Documents by encoded length; one row for each length that occurs."""
-    return lengths(docs, tokenizer, text_col).groupBy("n_tokens").agg(F.count(F.lit(1)).alias("documents"))
+    """Documents by encoded length; one row for each length that occurs. Stored, so that readers never encode again."""
+    return durable(lengths(docs, tokenizer, text_col).groupBy("n_tokens").agg(F.count(F.lit(1)).alias("documents")), "lengths")
 
 
 def answers(hist: DataFrame, width: int = 4096) -> DataFrame:
