@@ -352,3 +352,13 @@ def test_pipeline_stages(spark):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, sf)
     assert empty.count() == 0
+
+
+def test_classifier_counts_a_repeated_id_once(spark):
+    rows = [(1, "a few plain words here")] * 40 + [(1, "### $$$ |||"), (4, "other words of another text"), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    ids = docs.select(F.col("doc_id").alias("id")).distinct()
+    got = classifier._measured(docs, ids, "doc_id", "text")
+    assert got.shape == (3, classifier.FEATURES)
+    first = min(classifier.features(t).tobytes() for t in {t for i, t in rows if i == 1})
+    assert sorted(map(bytes, got)) == sorted([first, classifier.features(rows[-2][1]).tobytes(), classifier.features(None).tobytes()])

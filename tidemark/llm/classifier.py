@@ -6,8 +6,9 @@ unbiased risk  pi E_P[l(z)] + max(0, E_U[l(-z)] - pi E_P[l(-z)])  with the logis
 by a documented parameter; every document is scored by its whole text, and by nothing but its text.
 
 Defined results: a null text counts as empty, and empty texts get the score of an all-zero measurement; equal texts
-have equal scores; conflicting labels of one id count as negative, so it is no trusted positive; without any
-trusted positive every score is the prior's default of 0.5; columns besides id and text are ignored.
+have equal scores; conflicting labels of one id count as negative, so it is no trusted positive; a repeated id counts
+once in a sample, with the measurements that come first in order; without any trusted positive every score is the
+prior's default of 0.5; columns besides id and text are ignored.
 """
 
 from __future__ import annotations
@@ -132,7 +133,7 @@ def fit(p, u, steps: int = 300) -> Model:
 
 
 def _measured(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str):
-    """Measurements of the texts of a bounded set of ids, on the driver."""
+    """Measurements of the texts of a bounded set of ids, on the driver: one row an id, however often it is repeated."""
     import numpy as np
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(ids), "id", "left_semi")
@@ -141,9 +142,10 @@ def _measured(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str):
         import pyarrow as pa
 
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([features(x.as_py()).tobytes() for x in batch.column(0)], pa.binary())], names=["x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([features(x.as_py()).tobytes() for x in batch.column(1)], pa.binary())], names=["id", "x"])
 
-    got = rows.select("text").mapInArrow(run, "x binary").collect()  # twice SAMPLE rows at most, but for repeated ids
+    measured = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, x binary")
+    got = measured.groupBy("id").agg(F.min("x").alias("x")).select("x").collect()  # SAMPLE rows at most
     return np.frombuffer(b"".join(sorted(bytes(r["x"]) for r in got)), np.float32).reshape(-1, FEATURES)
 
 
@@ -152,7 +154,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     learnable = labels.select(F.col(id_col).alias("id"), "quality").filter(F.col("id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("id")))
     trusted = learnable.groupBy("id").agg(F.min("quality").alias("q")).filter("q = 1").select("id")
     choose = lambda ids: ids.orderBy(F.xxhash64("id", F.lit(3)), "id").limit(sample)
-    everything = docs.select(F.col(id_col).alias("id")).filter(F.col("id").isNotNull() & ~held_out(F.col("id")))
+    everything = docs.select(F.col(id_col).alias("id")).filter(F.col("id").isNotNull() & ~held_out(F.col("id"))).distinct()
     return fit(_measured(docs, choose(trusted), id_col, text_col), _measured(docs, choose(everything), id_col, text_col))
 
 
