@@ -260,6 +260,15 @@ def test_near_duplicates_against_all_pairs(docs, rows, nothing, few, words, monk
     assert few or neardup.near_duplicates(nothing, words, 80).count() == 0
 
 
+def test_near_duplicates_link_rows_without_an_id_and_ids_with_many_texts(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    far = " ".join(f"v{i}" for i in range(60))
+    rows = [(None, base), (None, f"{base} x"), (7, f"{base} y"), (8, far), (8, "other words stand here now"), (8, f"{far} z"), (None, None)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, 80)
+    found = Counter(map(tuple, got.collect()))
+    assert found == Counter([(None, 57, 7, False), (None, 58, 7, False), (7, 58, 7, True), (8, 57, 8, True), (8, 2, 8, True), (8, 58, 8, True), (None, 0, None, True)])
+
+
 def test_estimates_are_near_the_truth():
     import numpy as np
 

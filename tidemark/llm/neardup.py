@@ -16,7 +16,8 @@ lets pass what is within five standard errors of the threshold.
 
 Defined results: words are runs of other characters than ASCII white space, A-Z lower-cased; a text with fewer words
 than a shingle is one shingle; a text without words or a null text has the empty set and is linked with nothing;
-repeated rows are linked; two rows with one id stay two documents; columns besides id and text are ignored.
+repeated rows are linked; two rows with one id stay two documents; rows without an id are linked like others, and a
+component without any id has none; columns besides id and text are ignored.
 """
 
 from __future__ import annotations
@@ -114,8 +115,9 @@ def _may_link(a, b, n_a, n_b, percent: int):
 
 
 def sketch(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, node, registers): node is a 128-bit digest of the set, null for the empty set."""
-    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    """(id, of_text, n_shingles, node, registers): of_text is a hash of the text, node a 128-bit digest of the set, null for the empty set."""
+    text = F.col(text_col).cast("string")
+    narrow = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("of_text"), text.alias("text"))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -123,14 +125,14 @@ def sketch(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str =
 
         for batch in batches:
             n, node, regs = [], [], []
-            for x in batch.column(1):
+            for x in batch.column(2):
                 h = hashes(x.as_py(), words)
                 n.append(len(h))
                 node.append(xxh3_128_digest(h.tobytes()) if len(h) else None)
                 regs.append(registers(h).tobytes() if len(h) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(regs, pa.binary())], names=["id", "n_shingles", "node", "registers"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(regs, pa.binary())], names=["id", "of_text", "n_shingles", "node", "registers"])
 
-    return narrow.mapInArrow(run, f"id {narrow.schema['id'].dataType.simpleString()}, n_shingles long, node binary, registers binary")
+    return narrow.mapInArrow(run, f"id {narrow.schema['id'].dataType.simpleString()}, of_text long, n_shingles long, node binary, registers binary")
 
 
 def _bands(nodes: DataFrame) -> DataFrame:
@@ -299,7 +301,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     """For each row: id, n_shingles, component_id (the smallest id reachable by links) and kept (it is that one)."""
     sketched = durable(sketch(docs, words, id_col, text_col), "sketch")
     known = sketched.filter(F.col("node").isNotNull())
-    nodes = durable(known.groupBy("node").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers")), "nodes")
+    nodes = durable(known.groupBy("node").agg(F.min("id").alias("id"), F.min(F.struct("id", "of_text")).alias("rep"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers")), "nodes")
     bands = _bands(nodes)
     shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     members = durable(bands.join(shared, "band"), "members")
@@ -309,9 +311,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     near = (F.col("a") != F.col("node")) & (100 * F.least("n", "n_a") >= percent * F.greatest("n", "n_a"))
     stars = members.join(hubs, "band").filter(near).select("a", F.col("node").alias("b")).distinct()
 
-    rep = nodes.join(degree.select("node"), "node", "left_semi").select(F.col("node"), F.col("id").alias("_rep"))
-    whole = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
-    texts = durable(_of_node(whole.join(rep, F.col("_id") == F.col("_rep")).select("node", "text"), words), "texts")
+    # Found by id and hash of the text: an id may be missing or stand for many texts, and a text for many ids.
+    rep = nodes.join(degree.select("node"), "node", "left_semi").select("node", F.col("rep.id").alias("_rep"), F.col("rep.of_text").alias("_rep_text"))
+    text = F.col(text_col).cast("string")
+    whole = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_of_text"), text.alias("text"))
+    texts = durable(_of_node(whole.join(rep, F.col("_id").eqNullSafe(F.col("_rep")) & (F.col("_of_text") == F.col("_rep_text"))).select("node", "text"), words), "texts")
 
     links = durable(_confirmed(durable(_estimated(stars, nodes, percent), "stars"), texts, words, percent), "links")
     found = components(links)
@@ -334,7 +338,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 
 
 def _of_node(texts: DataFrame, words: int) -> DataFrame:
-    """Of (node, text), the rows whose text has the node's set: an id may stand for several texts. One row a node."""
+    """Of (node, text), the rows whose text has the node's set: texts may share a hash. One row a node."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
