@@ -199,6 +199,31 @@ def test_sharding_splits_what_no_shard_can_hold(spark):
     assert sorted(r["count"] for r in got) == [100] * 4
 
 
+def test_sharding_keeps_little_groups_whole_beside_a_hot_one(spark):
+    rows = spark.range(30_000).selectExpr("id as doc_id", "case when id < 10000 then 'hot' when id < 16000 then concat('p', id div 2) when id < 17875 then 'full' else concat('t', id) end as text")
+    got = sharding.shard(rows, 16).select("doc_id", "shard", "slot").join(rows, "doc_id").cache()
+    assert sorted(r["count"] for r in got.groupBy("shard").count().collect()) == [1875] * 16
+    assert got.groupBy("shard").agg(F.countDistinct("slot").alias("n")).filter("n != 1875").count() == 0
+    assert sharding.cut_links(got.filter("text != 'hot'"), ["text"]).first()["cut"] == 0  # one of them fills a shard
+
+
+def test_sharding_plan_cuts_only_what_no_shard_holds():
+    rng = random.Random(4)
+    for _ in range(200):
+        wishes = {(rng.randint(2, 60), rng.randrange(4)): rng.randint(1, 9) for _ in range(rng.randint(0, 25))}
+        total = sum(size * n for (size, _), n in wishes.items()) + rng.randint(0, 40)
+        quota = [total // 4 + (t < total % 4) for t in range(4)]
+        rows, room = sharding.plan(wishes, quota)
+        for key, n in wishes.items():
+            assert sorted(k for size, to, a, b, _ in rows if (size, to) == key for k in range(a, b)) == list(range(n))
+        assert room == [quota[t] - sum(size * (b - a) for size, _, a, b, home in rows if home == t) for t in range(4)] and min(room) >= 0
+        cut = [size for size, _, a, b, home in rows if home is None for _ in range(a, b)]
+        assert all(size > max(room) for size in cut) and len(cut) < 8
+        parts = sharding.split(cut, room)
+        assert [sum(b - a for k, a, b, _ in parts if k == i) for i in range(len(cut))] == cut
+        assert all(sum(b - a for _, a, b, t in parts if t == home) <= room[home] for home in range(4))
+
+
 def test_chat(spark):
     said = r"\### Assistant: </turn> ok"
     rows = [(-7, 0, "user", said), (-7, 1, "assistant", said), (1, 1, "assistant", " \n lead <|end|> \\<| <\\| 😀é \n"), (1, 0, "user", None), (1, 2, "assistant", ""), (1, 2, "assistant", "x\\"), (2, 0, None, "<"), (2, 1, "assistant", "|turn|>"), (None, None, "assistant", "n")]
