@@ -64,6 +64,15 @@ def test_encoder_gives_the_tokenizers_ids():
         assert e(t) == np.array(e.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), repr(t)
 
 
+def test_encoder_gives_the_ids_of_the_file_for_texts_with_added_tokens():
+    from tokenizers import Tokenizer
+
+    e, plain = Encoder(TOKENIZER), Tokenizer.from_file(TOKENIZER)
+    assert list(memoryview(e("a <|endoftext|> b")).cast("I")) == [64, 220, 50256, 275]
+    for t in ("<|endoftext|>", "a<|endoftext|>b c", "x <|endoftext|><|endoftext|>\n", "<|endoftext|", "one <| endoftext|> two"):
+        assert list(memoryview(e(t)).cast("I")) == plain.encode(t, add_special_tokens=False).ids, t
+
+
 def test_quality_rules_against_plain_loops(docs, rows, nothing):
     got = sorted(map(tuple, quality_rules.ledger(docs).select("doc_id", *quality_rules.MEASURES).collect()))
     want = []

@@ -92,8 +92,8 @@ class Encoder:
 
     The pre-tokenizer always breaks before a space that stands between two other characters, so a text
     without " " before white space is the concatenation of its pieces cut there. The model of the tokenizer
-    computes the ids of each pre-token once; pieces and pre-tokens are kept in bounded tables. Other texts
-    are encoded as a whole by the tokenizer.
+    computes the ids of each pre-token once; pieces and pre-tokens are kept in bounded tables. Other texts,
+    and those that contain an added token's string, are encoded as a whole by the tokenizer.
     """
 
     def __init__(self, path: str, most: int = 400_000):
@@ -105,7 +105,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)").search
         self.model = self.tokenizer.model
         self.cut = regex.compile(PATTERN).findall
         # The printable form of byte-level BPE: printable bytes stand for themselves, others follow from 256 on.
@@ -126,7 +127,7 @@ class Encoder:
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
-        if text[-1] == " " or _SPACES.search(text):
+        if text[-1] == " " or _SPACES.search(text) or self.added(text):
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         head, *rest = text.split(" ")
         return b"".join(map(self.tokens.__getitem__, self.cut(head))) + b"".join(map(self.pieces.__getitem__, rest))
