@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import classifier, mixing, neardup, packing, quality_rules
-from tidemark.llm.common import durable, read
+from tidemark.llm.common import WORD, durable, read
 from tidemark.llm.queries import ACCEPT, CONTEXT, MOST_EPOCHS, POLICY, TOKENIZER, WEIGHTS
 
 
@@ -26,18 +26,32 @@ def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return docs.withColumn("_score", score(F.col("text"))).filter(F.col("_score") >= ACCEPT).select(*docs.columns)
 
 
+def _numbered(docs: DataFrame, name: str) -> DataFrame:
+    """With _row, a number for each row. Ids may be missing or repeat. Stored, so that all readers see the same numbers."""
+    return durable(docs.withColumn("_row", F.monotonically_increasing_id()), name)
+
+
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, that with the smallest id; of repeated rows one."""
-    kept = neardup.near_duplicates(docs, words=5, percent=80).filter("kept").select(F.col("doc_id").alias("_kept"))
-    stays = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
-    return stays.dropDuplicates(["doc_id", "text"])
+    """One row of each group of near-duplicates stays, that with the smallest id; of repeated rows one.
+
+    Rows without an id come last. Texts without words are linked with nothing, so of those only repeated rows go.
+    """
+    rows = _numbered(docs, "near-dedup-rows")
+    found = neardup.near_duplicates(rows, words=5, percent=80, id_col="_row").select("_row", F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("_group"))
+    text = F.col("text").cast("string")
+    short = rows.select("_row", "doc_id", F.xxhash64(text).alias("_tie"), F.when(~text.rlike(WORD), text).alias("_blank"))
+    alone = F.col("_group").isNull()
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("_tie").alias("c"), F.col("_row").alias("row")))
+    kept = found.join(short, "_row").groupBy("_group", F.when(alone, F.col("doc_id")).alias("_id"), F.when(alone, F.col("_blank")).alias("_text")).agg(first.alias("_first"))
+    return rows.join(kept.select(F.col("_first.row").alias("_row")), "_row", "left_semi").select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; documents that it does not take go."""
-    copies = mixing.mix(docs, WEIGHTS, MOST_EPOCHS).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies")).filter("_copies > 0")
-    taken = docs.join(copies, docs["doc_id"].eqNullSafe(copies["_id"]))
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies").cast("long")))).select(*docs.columns)
+    """Each row as often as the mix takes it; rows that it does not take go. Rows without an id draw by their text."""
+    rows = _numbered(docs, "mixing-rows")
+    draw = F.coalesce(F.col("doc_id"), F.xxhash64(F.col("text").cast("string")))
+    copies = mixing.mix(rows, WEIGHTS, MOST_EPOCHS, id_col="_row", draw=draw).filter("copies > 0").select("_row", F.col("copies").cast("long").alias("_copies"))
+    return rows.join(copies, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -397,6 +397,35 @@ def test_pipeline_stages(spark):
     assert empty.count() == 0
 
 
+def test_near_dedup_stage_decides_by_row(spark):
+    import corpus_pipeline
+
+    near = [" ".join(f"{c}{i}" for i in range(80)) for c in "pqr"]
+    data = [(1, near[0]), (2, "quite another text stands in this place"), (2, near[0] + " x"), (None, near[0] + " y"), (None, "words of a row that has no id"), (None, near[1]), (None, near[1] + " x"), (None, near[1] + " y"), (5, near[2] + " x"), (5, near[2]), (5, near[2]), (7, " "), (7, " "), (8, " "), (None, None), (None, None), (9, "")]
+    docs = spark.createDataFrame(data, "doc_id long, text string").withColumn("source", F.lit("s")).repartition(3)
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup_stage(spark, docs, "").collect()]
+    named = [r for r in got if not (r[1] or "").startswith(("q0", "r0"))]
+    assert Counter(named) == Counter([data[0], data[1], data[4], (7, " "), (8, " "), (None, None), (9, "")])
+    assert [i for i, t in got if t and t.startswith("q0")] == [None] and [i for i, t in got if t and t.startswith("r0")] == [5]
+
+
+def test_mixing_stage_takes_rows_and_not_ids(spark):
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    data = [(None if i % 3 == 0 else i % 40 if i % 3 == 1 else 1000 + i, f"t{i} " + "w " * rng.randint(0, 30), "abc"[i % 2 + (i % 7 == 0)]) for i in range(400)]
+    data += data[:30]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(3)
+    taken = Counter()
+    for r in corpus_pipeline.mixing_stage(spark, docs, "").collect():
+        taken[r["source"]] += len(r["text"].split())
+    rows = mixing.mix(docs, corpus_pipeline.WEIGHTS, corpus_pipeline.MOST_EPOCHS).select("source", "target").distinct().collect()
+    for r in rows:
+        assert r["target"] - 32 <= taken[r["source"]] <= r["target"] + 1e-6
+    again = corpus_pipeline.mixing_stage(spark, docs.repartition(5), "").collect()
+    assert sorted(map(str, again)) == sorted(map(str, corpus_pipeline.mixing_stage(spark, docs, "").collect()))
+
+
 def test_classifier_counts_a_repeated_id_once(spark):
     rows = [(1, "a few plain words here")] * 40 + [(1, "### $$$ |||"), (4, "other words of another text"), (5, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")

@@ -52,15 +52,15 @@ def targets(sizes: DataFrame, weights: Sequence[float], most_epochs: float) -> D
     return rows.select("source", "source_size", F.coalesce(target, F.col("_cap")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: Sequence[float], most_epochs: float = 3, seed: int = 17, fills: int = 2, weight: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: Sequence[float], most_epochs: float = 3, seed: int = 17, fills: int = 2, weight: Column | None = None, draw: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """For each row: id, size, source, source_size, target, epochs (whole times taken) and taken (words).
 
     `weight`: quality weight of a document, a Column over `docs`. `fills`: further passes over the documents that
-    fit into what the pass before left free.
+    fit into what the pass before left free. `draw`: what a document's draw is hashed from, its id where none is given.
     """
     text = F.col(text_col).cast("string")
     size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
-    u = (F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.lit(seed)), 11) + 0.5) / float(1 << 53)
+    u = (F.shiftrightunsigned(F.xxhash64(F.col(id_col) if draw is None else draw, F.lit(seed)), 11) + 0.5) / float(1 << 53)
     rows = docs.select(
         F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), F.xxhash64(text).alias("_tie"),
         (-F.log(u) / (quality_weight(text) if weight is None else weight)).alias("_key"),
@@ -73,7 +73,7 @@ def mix(docs: DataFrame, weights: Sequence[float], most_epochs: float = 3, seed:
     known = known.withColumn("_free", F.floor(F.col("target")) - F.col("epochs") * F.col("source_size"))
     joined = rows.join(known, rows["source"].eqNullSafe(known["source"])).drop(known["source"])
     state = durable(joined.withColumn("_source", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).withColumn("extra", F.lit(0)), "mix-0")
-    order = [F.col("_key"), F.col("id"), F.col("size"), F.col("_tie")]
+    order = [F.col("_key"), F.col("size"), F.col("_tie"), F.col("id")]
     cells = cells_for(n_rows)
     bucket = F.floor((1.0 - F.exp(-F.col("_key"))) * cells)  # follows the key, nearly even
     for turn in range(fills + 1):
