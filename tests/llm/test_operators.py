@@ -1,4 +1,5 @@
 import random
+import struct
 import zlib
 from collections import Counter, defaultdict
 from hashlib import sha256
@@ -272,6 +273,45 @@ def test_damaged_media():
         assert media.describe(bad) is None or media.demux(bad, media.describe(bad)) is not None
 
 
+def test_media_with_two_tracks_and_with_fragments(spark):
+    def track(number, codec, sizes, offsets, keys, duration):
+        pack = lambda *v: struct.pack(f">{len(v)}I", *v)
+        stbl = media.box(
+            b"stbl", media.full(b"stsd", pack(1), media.box(codec, bytes(8))), media.full(b"stts", pack(1, len(sizes), 10) if sizes else pack(0)), media.full(b"stsc", pack(1, 1, 1, 1) if sizes else pack(0)),
+            media.full(b"stsz", pack(0, len(sizes), *sizes)), media.full(b"stco", pack(len(offsets), *offsets)), *([media.full(b"stss", pack(len(keys), *keys))] if keys else []),
+        )
+        return media.box(b"trak", media.full(b"tkhd", pack(0, 0, number, 0, 0)), media.box(b"mdia", media.full(b"mdhd", pack(0, 0, 100, duration, 0)), media.box(b"minf", stbl)))
+
+    def two(base):
+        video, sound = track(1, b"avc1", [3, 4], [base, base + 5], [1], 20), track(2, b"mp4a", [2, 1], [base + 3, base + 9], [], 20)
+        return media.box(b"ftyp", b"isom") + media.box(b"moov", video, sound)
+
+    data = two(len(two(0)) + 8) + media.box(b"mdat", b"VVVssWWWWt")
+    video, sound = media.describe_all(data)
+    assert (video.codec, video.duration, video.keyframes, media.demux(data, video)) == ("avc1", 20, [0], b"VVVWWWW")
+    assert (sound.codec, sound.track, sound.keyframes, media.demux(data, sound)) == ("mp4a", 2, [0, 1], b"sst")
+
+    trex = [media.full(b"trex", struct.pack(">5I", n, 1, 10, 2, 0x10000 if n == 1 else 0)) for n in (1, 2)]
+    head = media.box(b"ftyp", b"isom") + media.box(b"moov", track(1, b"avc1", [], [], [], 0), track(2, b"mp4a", [], [], [], 0), media.box(b"mvex", *trex))
+
+    def moof(at):
+        first = media.full(b"trun", struct.pack(">IiIIIII", 2, at, 0, 7, 3, 7, 1), flags=0x305)  # first sample is a keyframe; own durations and sizes
+        second = media.full(b"trun", struct.pack(">I", 2))  # goes on after the track before, in the usual size
+        mine = media.full(b"tfhd", struct.pack(">I", 1), flags=0x20000)
+        return media.box(b"moof", media.full(b"mfhd", struct.pack(">I", 1)), media.box(b"traf", mine, first), media.box(b"traf", media.full(b"tfhd", struct.pack(">I", 2)), second))
+
+    part = moof(len(moof(0)) + 8)
+    parts = head + part + media.box(b"mdat", b"VVVWabcd") + part + media.box(b"mdat", b"XXXYefgh")
+    video, sound = media.describe_all(parts)
+    assert (video.duration, video.keyframes, media.demux(parts, video)) == (28, [0, 2], b"VVVWXXXY")
+    assert (sound.duration, sound.keyframes, media.demux(parts, sound)) == (40, [0, 1, 2, 3], b"abcdefgh")
+
+    got = {r["id"]: r for r in media.inspect(spark.createDataFrame([(1, data), (2, parts), (3, b"no")], "id long, media binary")).collect()}
+    assert [(t["track"], t["codec"], t["payload_sha256"]) for t in got[1]["tracks"]] == [(1, "avc1", sha256(b"VVVWWWW").hexdigest()), (2, "mp4a", sha256(b"sst").hexdigest())]
+    assert got[1]["payload_sha256"] == got[1]["tracks"][0]["payload_sha256"] and got[3]["tracks"] is None
+    assert [(t["n_samples"], t["duration_s"], t["payload_bytes"]) for t in got[2]["tracks"]] == [(4, 0.28, 8), (4, 0.4, 8)]
+
+
 def brute_components(rows, words, percent):
     sets = [(i, neardup.shingles(t or "", words)) for i, t, *_ in rows]
     label = list(range(len(sets)))

@@ -1,8 +1,8 @@
 """Media columns: ISO media containers (MP4 and relatives).
 
-`walk` goes through nested boxes by their sizes, `describe` decodes the sample tables of the first track and gives
-codec, duration, sample byte ranges and keyframe byte ranges without decoding a payload, and `demux` reads the
-stored bytes back by those ranges. `mux` writes a container with one track of uncompressed 8-bit samples.
+`tree` reads nested boxes by their sizes, `describe_all` decodes the sample tables and the movie fragments of every track
+and gives codec, duration, sample byte ranges and keyframe byte ranges without decoding a payload, and `demux` reads a
+track's stored bytes back by those ranges. `mux` writes a container with one track of uncompressed 8-bit samples.
 
 Defined results: a null or empty text is stored as 64 zero bytes; bytes that are no container, or a damaged one, give
 a null description and no payload; repeated rows and equal texts give equal values; columns besides id and text are
@@ -25,7 +25,7 @@ KEY_EVERY = 64  # samples
 RATE = 8000  # bytes, that is 8-bit samples, a second
 
 #: Boxes that hold boxes, from the ISO base media file format (fixed values).
-CONTAINERS = (b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta")
+CONTAINERS = (b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta", b"mvex", b"moof", b"traf")
 
 
 def box(kind: bytes, *parts: bytes) -> bytes:
@@ -37,29 +37,52 @@ def full(kind: bytes, *parts: bytes, version: int = 0, flags: int = 0) -> bytes:
     return box(kind, struct.pack(">I", version << 24 | flags), *parts)
 
 
-def walk(data: bytes, start: int = 0, end: int | None = None) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
-    """(path, begin, end) of the body of every box, outer boxes first. Raises ValueError where sizes don't fit."""
-    stack = [((), start, len(data) if end is None else end)]
+@dataclass
+class Box:
+    kind: bytes
+    start: int  # of its header
+    begin: int  # of its body
+    end: int
+    inner: list[Box]
+
+    def all(self, kind: bytes) -> list[Box]:
+        return [x for x in self.inner if x.kind == kind]
+
+    def at(self, *path: bytes) -> Box:
+        """The first box along a path of kinds; KeyError without one."""
+        found = self
+        for kind in path:
+            found = next((x for x in found.inner if x.kind == kind), None)
+            if found is None:
+                raise KeyError(kind)
+        return found
+
+
+def tree(data: bytes) -> Box:
+    """All boxes, below one that stands for the whole. Raises ValueError where sizes don't fit."""
+    top = Box(b"", 0, 0, len(data), [])
+    stack = [top]
     while stack:
-        path, at, stop = stack.pop()
-        while at < stop:
-            if stop - at < 8:
+        outer = stack.pop()
+        at = outer.begin
+        while at < outer.end:
+            if outer.end - at < 8:
                 raise ValueError("a box ends early")
             size, kind = struct.unpack_from(">I4s", data, at)
             head = 8
             if size == 1:
-                if stop - at < 16:
+                if outer.end - at < 16:
                     raise ValueError("a box ends early")
                 size, head = struct.unpack_from(">Q", data, at + 8)[0], 16
             elif size == 0:
-                size = stop - at
-            if size < head or at + size > stop:
+                size = outer.end - at
+            if size < head or at + size > outer.end:
                 raise ValueError("a box is larger than what holds it")
-            inner = (*path, kind)
-            yield inner, at + head, at + size
+            outer.inner.append(Box(kind, at, at + head, at + size, []))
             if kind in CONTAINERS:
-                stack.append((inner, at + head, at + size))
+                stack.append(outer.inner[-1])
             at += size
+    return top
 
 
 @dataclass
@@ -69,54 +92,125 @@ class Description:
     duration: int  # of the timescale
     samples: list[tuple[int, int]]  # byte ranges (offset, length)
     keyframes: list[int]  # sample numbers from 0
+    track: int = 1  # its id
+
+
+def _track(data: bytes, trak: Box) -> Description:
+    """From the sample tables of one track."""
+    a = trak.at(b"tkhd").begin
+    (number,) = struct.unpack_from(">I", data, a + (20 if data[a] == 1 else 12))
+    a = trak.at(b"mdia", b"mdhd").begin
+    timescale, duration = struct.unpack_from(">IQ", data, a + 20) if data[a] == 1 else struct.unpack_from(">II", data, a + 12)
+    stbl = trak.at(b"mdia", b"minf", b"stbl")
+    a = stbl.at(b"stsd").begin
+    codec = data[a + 12 : a + 16].decode("latin-1")
+    a = stbl.at(b"stsz").begin
+    each, n = struct.unpack_from(">II", data, a + 4)
+    if each * n > len(data):
+        raise ValueError("samples are larger than the file")
+    sizes = [each] * n if each else list(struct.unpack_from(f">{n}I", data, a + 12))
+    wide = bool(stbl.all(b"co64"))
+    a = stbl.at(b"co64" if wide else b"stco").begin
+    (chunks,) = struct.unpack_from(">I", data, a + 4)
+    offsets = struct.unpack_from(f">{chunks}{'Q' if wide else 'I'}", data, a + 8)
+    a = stbl.at(b"stsc").begin
+    (runs,) = struct.unpack_from(">I", data, a + 4)
+    table = [struct.unpack_from(">III", data, a + 8 + 12 * i) for i in range(runs)]
+    samples, k = [], 0
+    for i, (first, per, _) in enumerate(table):
+        last = table[i + 1][0] - 1 if i + 1 < runs else chunks
+        for c in range(first - 1, last):
+            at = offsets[c]
+            for _ in range(per):
+                if k >= n:
+                    break
+                samples.append((at, sizes[k]))
+                at += sizes[k]
+                k += 1
+    if k != n:
+        raise ValueError("samples without a place")
+    keyframes = list(range(n))  # without the box every sample is one
+    if stbl.all(b"stss"):
+        a = stbl.at(b"stss").begin
+        (keys,) = struct.unpack_from(">I", data, a + 4)
+        keyframes = [x - 1 for x in struct.unpack_from(f">{keys}I", data, a + 8)]
+    return Description(codec, timescale, duration, samples, keyframes, number)
+
+
+def _fragments(data: bytes, top: Box, tracks: dict[int, Description]) -> None:
+    """Add the samples of movie fragments to their tracks."""
+    usual, added = {}, dict.fromkeys(tracks, 0)
+    for trex in (x for mvex in top.at(b"moov").all(b"mvex") for x in mvex.all(b"trex")):
+        number, _, *values = struct.unpack_from(">5I", data, trex.begin + 4)
+        usual[number] = values  # duration, size and flags of a sample
+    for moof in top.all(b"moof"):
+        reached = moof.start  # the end of the data of the fragment's track before
+        for traf in moof.all(b"traf"):
+            a = traf.at(b"tfhd").begin
+            has, number = struct.unpack_from(">II", data, a)
+            has, a = has & 0xFFFFFF, a + 8
+            base = moof.start if has & 0x20000 else reached
+            if has & 0x1:
+                (base,) = struct.unpack_from(">Q", data, a)
+            a += (8 if has & 0x1 else 0) + (4 if has & 0x2 else 0)
+            values = list(usual.get(number, (0, 0, 0)))
+            for i, bit in enumerate((0x8, 0x10, 0x20)):
+                if has & bit:
+                    (values[i],) = struct.unpack_from(">I", data, a)
+                    a += 4
+            track, at = tracks[number], base
+            for trun in traf.all(b"trun"):
+                a = trun.begin
+                has, n = struct.unpack_from(">II", data, a)
+                has, a = has & 0xFFFFFF, a + 8
+                if has & 0x1:
+                    at, a = base + struct.unpack_from(">i", data, a)[0], a + 4
+                first = None
+                if has & 0x4:
+                    (first,), a = struct.unpack_from(">I", data, a), a + 4
+                fields = [bit for bit in (0x100, 0x200, 0x400, 0x800) if has & bit]
+                if not fields and (n * values[1] > len(data) or n > len(data)):
+                    raise ValueError("samples are larger than the file")
+                for k in range(n):
+                    own = dict(zip(fields, struct.unpack_from(f">{len(fields)}I", data, a), strict=True))
+                    a += 4 * len(fields)
+                    flags = first if k == 0 and first is not None else own.get(0x400, values[2])
+                    if not flags & 0x10000:  # not a non-sync sample
+                        track.keyframes.append(len(track.samples))
+                    track.samples.append((at, own.get(0x200, values[1])))
+                    added[number] += own.get(0x100, values[0])
+                    at += own.get(0x200, values[1])
+            reached = at
+    for trak in top.at(b"moov").all(b"trak") if top.all(b"moof") else ():
+        number = _track(data, trak).track
+        a = trak.at(b"mdia", b"minf", b"stbl", b"stts").begin
+        (runs,) = struct.unpack_from(">I", data, a + 4)
+        tables = sum(n * each for n, each in (struct.unpack_from(">II", data, a + 8 + 8 * i) for i in range(runs)))
+        tracks[number].duration = tables + added[number]  # mdhd may count the fragments or not
 
 
-def describe(data: bytes) -> Description | None:
-    """From the first track's sample tables; None for what is no container."""
+def describe_all(data: bytes) -> list[Description] | None:
+    """Every track, in the container's order, with the samples of its tables and of fragments; None for what is no container."""
     try:
-        boxes: dict[bytes, tuple[int, int]] = {}
-        tracks = 0
-        for path, a, b in walk(data):
-            tracks += path[-1] == b"trak"
-            if path[-1] == b"mdat" or tracks <= 1:
-                boxes.setdefault(path[-1], (a, b))
-        a, _ = boxes[b"mdhd"]
-        timescale, duration = struct.unpack_from(">IQ", data, a + 20) if data[a] == 1 else struct.unpack_from(">II", data, a + 12)
-        codec = data[boxes[b"stsd"][0] + 12 : boxes[b"stsd"][0] + 16].decode("latin-1")
-        a = boxes[b"stsz"][0]
-        each, n = struct.unpack_from(">II", data, a + 4)
-        sizes = [each] * n if each else list(struct.unpack_from(f">{n}I", data, a + 12))
-        wide = b"co64" in boxes
-        a = boxes[b"co64" if wide else b"stco"][0]
-        (chunks,) = struct.unpack_from(">I", data, a + 4)
-        offsets = struct.unpack_from(f">{chunks}{'Q' if wide else 'I'}", data, a + 8)
-        a = boxes[b"stsc"][0]
-        (runs,) = struct.unpack_from(">I", data, a + 4)
-        table = [struct.unpack_from(">III", data, a + 8 + 12 * i) for i in range(runs)]
-        samples, k = [], 0
-        for i, (first, per, _) in enumerate(table):
-            last = table[i + 1][0] - 1 if i + 1 < runs else chunks
-            for c in range(first - 1, last):
-                at = offsets[c]
-                for _ in range(per):
-                    if k >= n:
-                        break
-                    samples.append((at, sizes[k]))
-                    at += sizes[k]
-                    k += 1
-        if k != n or any(o + s > len(data) for o, s in samples):
+        top = tree(data)
+        found = [_track(data, trak) for trak in top.at(b"moov").all(b"trak")]
+        tracks = {t.track: t for t in found}
+        if not found or len(tracks) < len(found):
             return None
-        if b"stss" in boxes:
-            a = boxes[b"stss"][0]
-            (keys,) = struct.unpack_from(">I", data, a + 4)
-            keyframes = [x - 1 for x in struct.unpack_from(f">{keys}I", data, a + 8)]
-        else:
-            keyframes = list(range(n))  # without the box every sample is one
-        return Description(codec, timescale, duration, samples, keyframes)
+        _fragments(data, top, tracks)
+        if any(o < 0 or o + s > len(data) for t in found for o, s in t.samples):
+            return None
+        return found
     except (KeyError, ValueError, struct.error, IndexError):
         return None
 
 
+def describe(data: bytes) -> Description | None:
+    """The first track; None for what is no container."""
+    found = describe_all(data)
+    return found[0] if found else None
+
+
 def demux(data: bytes, found: Description) -> bytes:
     """The stored samples by their byte ranges; neighbouring ranges are read together."""
     parts, begin, end = [], None, None
@@ -176,7 +270,7 @@ def feature(found: Description | None) -> str | None:
     ranges = [found.samples[k] for k in found.keyframes if k < len(found.samples)]
     shown = [f"{a}+{n}" for a, n in (ranges[0], ranges[-1])] if ranges else ["", ""]
     digest = zlib.crc32(",".join(f"{a}+{n}" for a, n in ranges).encode())
-    return f"{found.codec.strip()};{found.duration / found.timescale:.3f}s;{len(found.samples)};{len(ranges)};{';'.join(shown)};{digest}"
+    return f"{found.codec.strip()};{found.duration / max(1, found.timescale):.3f}s;{len(found.samples)};{len(ranges)};{';'.join(shown)};{digest}"
 
 
 def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -198,30 +292,37 @@ def inspect(media: DataFrame, media_col: str = "media") -> DataFrame:
     """`media` without its bytes, with what the containers say and digests of the payloads that were read back.
 
     Adds codec, duration_s, n_samples, keyframes (offset and length each), payload_bytes, payload_sha256,
-    tail_crc32 (of the last 64 bytes), media_bytes, media_sha256 and feature.
+    tail_crc32 (of the last 64 bytes), media_bytes, media_sha256 and feature, of the first track, and tracks: the same
+    of every track.
     """
     kept = [c for c in media.columns if c != media_col]
-    added = "codec string, duration_s double, n_samples long, keyframes array<struct<offset: long, length: long>>, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    names = ["codec", "duration_s", "n_samples", "keyframes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    added = "codec string, duration_s double, n_samples long, keyframes array<struct<offset: long, length: long>>, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tracks array<struct<track: long, codec: string, duration_s: double, n_samples: long, keyframes: array<struct<offset: long, length: long>>, payload_bytes: long, payload_sha256: string>>"
+    names = ["codec", "duration_s", "n_samples", "keyframes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tracks"]
 
     def run(batches: Iterator) -> Iterator:
         from hashlib import sha256
 
         import pyarrow as pa
 
-        types = [pa.string(), pa.float64(), pa.int64(), pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64())])), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+        keys_type = pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64())]))
+        track_type = pa.struct([("track", pa.int64()), ("codec", pa.string()), ("duration_s", pa.float64()), ("n_samples", pa.int64()), ("keyframes", keys_type), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string())])
+        types = [pa.string(), pa.float64(), pa.int64(), keys_type, pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(track_type)]
         for batch in batches:
             rows = []
             for x in batch.column(batch.num_columns - 1):
                 data = x.as_py() or b""
-                found = describe(data)
+                found = describe_all(data)
                 sizes = (len(data), sha256(data).hexdigest())
                 if found is None:
-                    rows.append((None, None, None, None, None, None, None, *sizes, None))
+                    rows.append((None, None, None, None, None, None, None, *sizes, None, None))
                     continue
-                payload = demux(data, found)
-                keys = [{"offset": found.samples[k][0], "length": found.samples[k][1]} for k in found.keyframes if k < len(found.samples)]
-                rows.append((found.codec, found.duration / max(1, found.timescale), len(found.samples), keys, len(payload), sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), *sizes, feature(found)))
+                tracks, tail = [], b""
+                for t in found:
+                    payload = demux(data, t)
+                    tail = tail if tracks else payload[-UNIT:]
+                    keys = [{"offset": t.samples[k][0], "length": t.samples[k][1]} for k in t.keyframes if k < len(t.samples)]
+                    tracks.append({"track": t.track, "codec": t.codec, "duration_s": t.duration / max(1, t.timescale), "n_samples": len(t.samples), "keyframes": keys, "payload_bytes": len(payload), "payload_sha256": sha256(payload).hexdigest()})
+                rows.append((*list(tracks[0].values())[1:], zlib.crc32(tail), *sizes, feature(found[0]), tracks))
             columns = list(zip(*rows, strict=True)) or [()] * len(types)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns - 1)), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=[*kept, *names])
 
