@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +18,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: Paths written in each open scope, the innermost last.
 _open: list[list[str]] = []
+_path_of: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def durable(df: DataFrame, name: str) -> DataFrame:
@@ -26,7 +28,15 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     if _open:
         _open[-1].append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    _path_of[found] = path
+    return found
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the table that `durable` returned as `df`, once nothing reads it; other tables stay."""
+    if path := _path_of.pop(df, None):
+        remove(df.sparkSession, path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -40,7 +50,7 @@ class Scope:
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write `df`, so that it stays when the scope's tables go; it belongs to the scope around, if there is one."""
-        at = _open.index(self.paths)
+        at = next(i for i, paths in enumerate(_open) if paths is self.paths)
         inner = _open[at:]
         del _open[at:]
         try:
