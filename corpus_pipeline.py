@@ -1,7 +1,8 @@
 """A training corpus from `documents`: rules, classifier, near-duplicates, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; what it decides takes effect.
-All but the last return the columns of `docs`. Names of columns added on the way start with an underscore and go again.
+All but the last return the columns of `docs`. Names of columns added on the way are made so that `docs` has none of
+them. Ids may be missing or repeat; nulls, empty tables and further columns are as the operators define.
 """
 
 from __future__ import annotations
@@ -10,25 +11,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import classifier, mixing, neardup, packing, quality_rules
-from tidemark.llm.common import WORD, durable, read
+from tidemark.llm.common import WORD, discard, durable, fresh, read, scratch
 from tidemark.llm.queries import ACCEPT, CONTEXT, MOST_EPOCHS, POLICY, TOKENIZER, WEIGHTS
 
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the policy rejects go."""
-    judged = quality_rules.measure(docs).withColumn("_failed", quality_rules.failures("_measures"))
-    return judged.filter(~quality_rules.rejected(POLICY, "_failed")).select(*docs.columns)
+    measures = fresh("_measures", docs)
+    judged = quality_rules.measure(docs, out=measures)
+    failed = fresh("_failed", judged)
+    return judged.withColumn(failed, quality_rules.failures(measures)).filter(~quality_rules.rejected(POLICY, failed)).select(*docs.columns)
 
 
 def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the acceptance level go."""
     score = classifier.score_column(classifier.train(docs, read(spark, sf_dir, "labels")))
-    return docs.withColumn("_score", score(F.col("text"))).filter(F.col("_score") >= ACCEPT).select(*docs.columns)
+    return docs.filter(score(F.col("text").cast("string")) >= ACCEPT)
 
 
-def _numbered(docs: DataFrame, name: str) -> DataFrame:
-    """With _row, a number for each row. Ids may be missing or repeat. Stored, so that all readers see the same numbers."""
-    return durable(docs.withColumn("_row", F.monotonically_increasing_id()), name)
+def _numbered(docs: DataFrame, row: str, name: str) -> DataFrame:
+    """With `row`, a number for each row. Ids may be missing or repeat. Stored, so that all readers see the same numbers."""
+    return durable(docs.withColumn(row, F.monotonically_increasing_id()), name)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,22 +39,27 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Rows without an id come last. Texts without words are linked with nothing, so of those only repeated rows go.
     """
-    rows = _numbered(docs, "near-dedup-rows")
-    found = neardup.near_duplicates(rows, words=5, percent=80, id_col="_row").select("_row", F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("_group"))
+    row = fresh("_row", docs)
+    rows = _numbered(docs, row, "near-dedup-rows")
+    found = neardup.near_duplicates(rows, words=5, percent=80, id_col=row)
+    found = found.select(F.col(row).alias("row"), F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("group"))
     text = F.col("text").cast("string")
-    short = rows.select("_row", "doc_id", F.xxhash64(text).alias("_tie"), F.when(~text.rlike(WORD), text).alias("_blank"))
-    alone = F.col("_group").isNull()
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("_tie").alias("c"), F.col("_row").alias("row")))
-    kept = found.join(short, "_row").groupBy("_group", F.when(alone, F.col("doc_id")).alias("_id"), F.when(alone, F.col("_blank")).alias("_text")).agg(first.alias("_first"))
-    return rows.join(kept.select(F.col("_first.row").alias("_row")), "_row", "left_semi").select(*docs.columns)
+    short = rows.select(F.col(row).alias("row"), F.col("doc_id").alias("id"), F.xxhash64(text).alias("tie"), F.when(~text.rlike(WORD), text).alias("blank"))
+    alone = F.col("group").isNull()
+    first = F.min(F.struct(F.col("id").isNull().alias("a"), F.col("id").alias("b"), F.col("tie").alias("c"), "row"))
+    kept = found.join(short, "row").groupBy("group", F.when(alone, F.col("id")).alias("id"), F.when(alone, F.col("blank")).alias("text")).agg(first.alias("first"))
+    return rows.join(kept.select(F.col("first.row").alias(row)), row, "left_semi").select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row as often as the mix takes it; rows that it does not take go. Rows without an id draw by their text."""
-    rows = _numbered(docs, "mixing-rows")
-    draw = F.coalesce(F.col("doc_id"), F.xxhash64(F.col("text").cast("string")))
-    copies = mixing.mix(rows, WEIGHTS, MOST_EPOCHS, id_col="_row", draw=draw).filter("copies > 0").select("_row", F.col("copies").cast("long").alias("_copies"))
-    return rows.join(copies, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+    """Each row as often as the mix takes it; rows that it does not take go."""
+    row = fresh("_row", docs)
+    rows = _numbered(docs, row, "mixing-rows")
+    draw = F.xxhash64("doc_id", F.col("text").cast("string"))
+    times = fresh("_times", rows)
+    copies = mixing.mix(rows, WEIGHTS, MOST_EPOCHS, id_col=row, draw=draw).filter("copies > 0").select(row, F.sequence(F.lit(1).cast("long"), F.col("copies").cast("long")).alias(times))
+    each = fresh("_copy", rows)
+    return rows.join(copies, row).withColumn(each, F.explode(times)).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,8 +81,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = durable(docs, name)
-    return docs
+    for name, stage in STAGES[:-1]:
+        with scratch(spark) as scope:
+            made = scope.keep(stage(spark, docs, sf_dir), name)
+        discard(docs)
+        docs = made
+    return STAGES[-1][1](spark, docs, sf_dir)

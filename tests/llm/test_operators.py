@@ -74,6 +74,16 @@ def test_encoder_gives_the_ids_of_the_file_for_texts_with_added_tokens():
         assert list(memoryview(e(t)).cast("I")) == plain.encode(t, add_special_tokens=False).ids, t
 
 
+def test_encoder_gives_the_ids_of_the_file_for_every_class_of_character():
+    from tokenizers import Tokenizer
+
+    e, plain = Encoder(TOKENIZER), Tokenizer.from_file(TOKENIZER)
+    points = [*range(0x80, 0xD800, 7), *range(0xE000, 0x40000, 61), 0x558, 0x208F, 0x10940, 0x16EA0, 0x323B0]
+    for c in map(chr, points):
+        t = f"x{c}'s {c}1 y{c}"
+        assert list(memoryview(e(t)).cast("I")) == plain.encode(t, add_special_tokens=False).ids, hex(ord(c))
+
+
 def test_quality_rules_against_plain_loops(docs, rows, nothing):
     got = sorted(map(tuple, quality_rules.ledger(docs).select("doc_id", *quality_rules.MEASURES).collect()))
     want = []
@@ -168,25 +178,25 @@ def test_url_filter_against_plain_rules(spark):
     index = url_filter.Index.build(entries)
     assert sorted(map(tuple, url_filter.judge(df, index).select("page_id", "judged.*").collect())) == want
     table = spark.createDataFrame(entries, "key string, rule string, verdict string")
-    assert sorted(map(tuple, url_filter.judge_by_join(df, table, index.lengths, "page_id").collect())) == want
+    assert sorted(map(tuple, url_filter.judge_by_join(df, table, index.lengths).select("page_id", "judged.*").collect())) == want
     assert {r["judged"]["verdict"] for r in url_filter.judge(df, url_filter.Index.build([])).collect()} == {"allow"}
     assert url_filter.judge(df.limit(0), index).count() == 0
-    with pytest.raises(ValueError):
-        url_filter.Index.build(entries, most=2)
+    again = df.union(df).withColumn("_answer", F.lit("x"))
+    for most in (100, 2):  # mapped, joined
+        got = url_filter.judge_entries(again, table, most=most)
+        assert sorted(map(tuple, got.select("page_id", "judged.*").collect())) == sorted([*want, *want])
+        assert {"page_id", "url", "host", "_answer", "judged"} == set(got.columns)
 
 
-def test_collisions_are_confirmed_by_string():
-    import numpy as np
-
-    index = url_filter.Index.build([("a.com /x", "a.com/x", "block"), ("b.com /x", "b.com/x", "allow")])
-    digest = np.frombuffer(index.digests, "<u8").copy()
-    digest[:] = digest[0]  # every key has the digest of the first
+def test_collisions_are_confirmed_by_string(tmp_path):
     from xxhash import xxh64_intdigest
 
-    asked = index.keys[0]
-    digest[:] = xxh64_intdigest(asked.encode())
+    index = url_filter.Index.build([("a.com /x", "a.com/x", "block"), ("b.com /x", "b.com/x", "allow")])
+    asked = index.entries[0][0]
+    index.digests = [xxh64_intdigest(asked.encode())] * 2  # every key has the digest of the first
+    (tmp_path / "index").write_bytes(index.file())
     host, path = asked.split(" ")
-    assert index.keys[url_filter.probe(index, digest, [(host, path)])[0]] == asked
+    assert url_filter.probe(url_filter.Mapped(str(tmp_path / "index")), index.lengths, [(host, path), ("c.com", "/x")]) == [index.entries[0], None]
 
 
 def test_sharding(docs, rows, nothing):
@@ -217,6 +227,34 @@ def test_sharding_keeps_little_groups_whole_beside_a_hot_one(spark):
     assert sharding.cut_links(got.filter("text != 'hot'"), ["text"]).first()["cut"] == 0  # one of them fills a shard
 
 
+@pytest.mark.parametrize("texts,copies,most", [(2000, 4, 0), (200, 40, 8)])
+def test_sharding_with_every_row_linked(spark, texts, copies, most):
+    rows = spark.range(texts * copies).selectExpr("id as doc_id", f"concat('t', id % {texts}) as text")
+    got = sharding.shard(rows, 16).join(rows, "doc_id").cache()
+    assert sorted(r["count"] for r in got.groupBy("shard").count().collect()) == [texts * copies // 16] * 16
+    assert got.groupBy("text").agg(F.countDistinct("shard").alias("n")).filter("n > 1").count() <= most
+
+
+def test_sharding_moves_linked_documents_together(spark):
+    rng = random.Random(12)
+    rows = spark.createDataFrame([(i, f"text {i // 2 if i < 40 else i}") for i in range(400)] + [(7, "again"), (None, "x"), (500, None)], "doc_id long, text string")
+    pairs = [(i, j, 1.0) for k in range(0, 400, 10) for i in range(k, k + 10) for j in range(i + 1, k + 10)] + [(rng.randrange(400), rng.randrange(400), 0.25) for _ in range(60)]
+    links = spark.createDataFrame([*pairs, (3, 3, 9.0), (3, 999, 9.0), (500, 1, 9.0), (None, 1, 9.0)], "a long, b long, weight double")
+    plain, led = (sharding.shard(rows, 4, links=x) for x in (None, links))
+    known = spark.createDataFrame([p for p in pairs if p[0] != p[1]], "a long, b long, weight double")
+    before, after = (sharding.cut_weight(x.dropDuplicates(["doc_id"]), known).first() for x in (plain, led))
+    assert after["cut"] < 0.35 * before["cut"]
+    counts = sorted(r["count"] for r in led.groupBy("shard").count().collect())
+    assert sum(counts) == 403 and counts[-1] - counts[0] <= 1
+    assert led.join(rows.filter("doc_id < 40"), "doc_id").groupBy("text").agg(F.countDistinct("shard").alias("n")).filter("n > 1 and text != 'again'").count() <= 4
+    assert sharding.shard(rows.limit(0), 4, links=links).count() == 0
+
+
+def test_sharding_grants_what_comes_back_and_what_room_is_free():
+    got = sharding.allowed({(0, 1): 10, (1, 0): 4, (2, 1): 6}, [0, 6, 0])
+    assert got == {(0, 1): 4 + 3, (1, 0): 4, (2, 1): 3}
+
+
 def test_sharding_plan_cuts_only_what_no_shard_holds():
     rng = random.Random(4)
     for _ in range(200):
@@ -273,6 +311,42 @@ def test_damaged_media():
         assert media.describe(bad) is None or media.demux(bad, media.describe(bad)) is not None
 
 
+def patched(data, kind, at, *values):
+    """`data` with numbers (32 bits) written `at` bytes into the first box of a kind."""
+    i = data.index(kind) + 4 + at
+    return data[:i] + struct.pack(f">{len(values)}I", *values) + data[i + 4 * len(values) :]
+
+
+def test_media_tables_that_lie(spark):
+    good = media.mux(bytes(range(64)) * 130)
+    n = 130
+    damaged = [patched(good, b"stsz", 8, 0xFFFFFFF0), patched(good, b"stsz", 4, 0, 0xFFFFFFF0), patched(good, b"stco", 4, 0xFFFFFFF0), patched(good, b"stsc", 4, 0xFFFFFFF0), patched(good, b"stss", 4, 0xFFFFFFF0), patched(good, b"stsz", 4, 0xFFFFFFF0), patched(good, b"stco", 8, 0xFFFFFFF0)]
+    assert [media.describe_all(x) for x in damaged] == [None] * len(damaged)
+    assert media.describe(patched(good, b"stsc", 12, 0xFFFFFFF0)).samples == media.describe(good).samples  # more a chunk than there are
+    assert media.describe(patched(good, b"stss", 8, 0)).keyframes == [64, 128]  # entry 0 names no sample
+    assert media.describe(patched(good, b"stss", 8, n + 1)).keyframes == [64, 128]
+    still = patched(good, b"mdhd", 12, 0)  # timescale 0
+    assert media.feature(media.describe(still)).split(";")[1] == f"{n * 64:.3f}s"
+    got = media.inspect(spark.createDataFrame([(i, x) for i, x in enumerate([*damaged, still, None])], "id long, media binary")).collect()
+    assert [r["codec"] for r in sorted(got, key=lambda r: r["id"])] == [None] * len(damaged) + ["raw ", None]
+
+
+def test_media_with_64_bit_sizes_and_offsets():
+    payload = bytes(range(256)) * 3
+    good = media.mux(payload)
+    i = good.index(b"mdat") - 4
+    wide = good[:i] + struct.pack(">I4sQ", 1, b"mdat", len(payload) + 16) + payload
+    moved = media.describe(patched(wide, b"stco", 8, i + 16))
+    assert media.demux(wide, moved) == payload
+    j, old = good.index(b"stco") - 4, media.describe(good).samples[0][0]
+    co64 = media.full(b"co64", struct.pack(">IQ", 1, old + 4))
+    data = good[:j] + co64 + good[j + 20 :]
+    for kind in (b"moov", b"trak", b"mdia", b"minf", b"stbl"):
+        k = data.index(kind) - 4
+        data = data[:k] + struct.pack(">I", struct.unpack_from(">I", data, k)[0] + 4) + data[k + 4 :]
+    assert media.demux(data, media.describe(data)) == payload
+
+
 def test_media_with_two_tracks_and_with_fragments(spark):
     def track(number, codec, sizes, offsets, keys, duration):
         pack = lambda *v: struct.pack(f">{len(v)}I", *v)
@@ -326,12 +400,75 @@ def brute_components(rows, words, percent):
     return sorted((i, len(s), least[k], i == least[k]) for k, (i, s) in zip(label, sets, strict=True))
 
 
-@pytest.mark.parametrize("few,words", [(2, 4), (0, 4), (2, 5)])
-def test_near_duplicates_against_all_pairs(docs, rows, nothing, few, words, monkeypatch):
-    monkeypatch.setattr(neardup, "FEW", few)
+@pytest.mark.parametrize("light,words", [(32, 4), (0, 4), (0, 5)])
+def test_near_duplicates_against_all_pairs(docs, rows, nothing, light, words, monkeypatch):
+    monkeypatch.setattr(neardup, "LIGHT", light)
     got = sorted(map(tuple, neardup.near_duplicates(docs, words, 80).collect()))
     assert got == brute_components(rows, words, 80)
-    assert few or neardup.near_duplicates(nothing, words, 80).count() == 0
+    assert light or neardup.near_duplicates(nothing, words, 80).count() == 0
+
+
+@pytest.mark.parametrize("block", [4096, 3])
+def test_rare_shingles_find_every_pair(spark, block, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    rng = random.Random(11)
+    texts = []
+    for _ in range(30):  # families of texts that differ in a few words, next to the threshold
+        base = [rng.choice("abcdefghij") + str(rng.randint(0, 30)) for _ in range(rng.randint(5, 40))]
+        for _ in range(rng.randint(1, 6)):
+            w = list(base)
+            for p in rng.sample(range(len(w)), rng.randint(0, 3)):
+                w[p] = f"z{rng.randint(0, 9)}"
+            texts.append(" ".join(w))
+    texts = sorted(set(texts))
+    node = lambda i: i.to_bytes(4, "big")
+    table = spark.createDataFrame([(node(i), t) for i, t in enumerate(texts)], "node binary, text string")
+    crowded = table.select("node", F.col("node").alias("component"))
+    got = {tuple(sorted((bytes(a), bytes(b)))) for a, b in neardup._rare(crowded, table, 3, 80).collect()}
+    sets = [neardup.shingles(t, 3) for t in texts]
+    want = {(node(i), node(j)) for j in range(len(sets)) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    assert want and want <= got and len(got) < 6 * len(want)
+
+
+def test_texts_that_share_what_is_common_never_meet(spark):
+    core = "alpha beta gamma delta epsilon zeta eta theta iota"
+    rows = spark.range(3000).select(F.col("id").cast("string").cast("binary").alias("node"), F.concat(F.lit(f"{core} u"), F.col("id").cast("string")).alias("text"))
+    assert neardup._rare(rows.select("node", F.col("node").alias("component")), rows, 4, 80).count() == 0
+    linked = rows.withColumn("text", F.regexp_replace("text", "u1$", "u2"))  # the text of 1 is then that of 2
+    assert neardup._rare(linked.select("node", F.col("node").alias("component")), linked, 4, 80).count() == 1
+
+
+def test_registers_against_plain_loops():
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    for n in (1, 5, 300, 5000):
+        h = np.unique(rng.integers(0, 2**63, n, np.uint64) << np.uint64(1))
+        smallest = {}
+        for x in map(int, h):
+            b = ((x >> 32) * neardup.REGISTERS) >> 32
+            smallest[b] = min(x, smallest.get(b, x))
+        got = neardup.registers(h)
+        assert [i for i, v in enumerate(got) if v != neardup.EMPTY] == sorted(smallest)
+        for b, x in smallest.items():
+            rest = max(0, x - b * ((1 << 64) // neardup.REGISTERS)) >> 5
+            bits = rest.bit_length()
+            mantissa = (rest << neardup.MANTISSA + 1 >> bits) - (1 << neardup.MANTISSA) if bits else 0
+            assert got[b] == (58 - bits) << neardup.MANTISSA | mantissa
+
+
+def test_filled_registers_agree_as_often_as_sets_are_similar():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    agree = []
+    for _ in range(400):
+        h = rng.integers(0, 2**63, 12, np.uint64) << np.uint64(1)
+        a, b = (neardup.registers(np.unique(x)) for x in (h[:10], h[2:]))
+        filled = neardup._filled(np.array([a, b]))
+        assert (filled != neardup.EMPTY).all()
+        agree.append((filled[0] == filled[1]).mean())
+    assert abs(np.mean(agree) - 8 / 12) < 0.03
 
 
 def test_near_duplicates_link_rows_without_an_id_and_ids_with_many_texts(spark):
@@ -390,6 +527,66 @@ def test_mixing(spark, nothing):
     assert mixing.mix(nothing, (5, 2, 1), 3).count() == 0
 
 
+def test_mixing_deals_even_cells_whatever_the_weights(spark, monkeypatch):
+    seen = []
+    real = mixing.prefix
+
+    def spy(df, keys, bucket, *rest):
+        seen.append([r["n"] for r in df.groupBy(*keys, bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()])
+        return real(df, keys, bucket, *rest)
+
+    monkeypatch.setattr(mixing, "prefix", spy)
+    df = spark.range(40_000).selectExpr("id as doc_id", "concat('w ', id) as text", "'a' as source").union(spark.range(40_000).selectExpr("-id", "'w w'", "'b'"))
+    mixing.mix(df, (1, 1), 3, weight=F.when(F.col("source") == "a", 0.1).otherwise(F.when(F.col("doc_id") % 2 == 0, 1.0).otherwise(0.3)))
+    assert all(max(n) < 1.3 * sum(n) / len(n) for n in seen) and seen
+
+
+def test_mixing_query(spark):
+    from tidemark.llm.queries import op10_mixing
+
+    got = op10_mixing(spark, "/root/testdata/sf0.001").collect()
+    docs = {r["doc_id"]: r for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    assert sorted(r["doc_id"] for r in got) == sorted(docs)
+    sizes = Counter()
+    for r in docs.values():
+        sizes[r["source"]] += len((r["text"] or "").encode().split())
+    taken, target, longest = Counter(), {}, Counter()
+    for r in got:
+        source = docs[r["doc_id"]]["source"]
+        assert r["size"] == len((docs[r["doc_id"]]["text"] or "").encode().split()) and r["source_size"] == sizes[source] and r["taken"] <= 3 * r["size"]
+        taken[source] += r["taken"]
+        target[source] = r["target"]
+        longest[source] = max(longest[source], r["size"])
+    assert sum(target.values()) == pytest.approx(sum(sizes.values()))
+    assert all(target[s] <= 3 * sizes[s] + 1e-6 and taken[s] <= target[s] + 1e-6 and taken[s] > target[s] - longest[s] for s in sizes)
+
+
+def test_sharding_query(spark):
+    from tidemark.llm.queries import op5_sharding
+
+    got = op5_sharding(spark, "/root/testdata/sf0.001").collect()
+    assert {(r["law"], r["grown_shard"]) for r in got} == {("rows", None)}
+    assert sorted({r["shard"] for r in got}) == list(range(16))
+
+
+def test_packing_query(spark):
+    from tokenizers import Tokenizer
+
+    from tidemark.llm.queries import op3_best_fit_packing
+
+    plain = Tokenizer.from_file(TOKENIZER)
+    got = op3_best_fit_packing(spark, "/root/testdata/sf0.001").collect()
+    ids = {r["doc_id"]: [*plain.encode(r["text"] or "", add_special_tokens=False).ids, 0] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    parts = defaultdict(list)
+    for r in got:
+        want = ids[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+        assert r["ids_crc32"] == zlib.crc32(struct.pack(f"<{len(want)}I", *want)) and len(want) == r["length"] <= 2048
+        parts[r["doc_id"]].append((r["start"], r["length"], r["piece"]))
+    for i, found in parts.items():
+        assert sum(n for _, n, _ in found) == len(ids[i]) and [k for *_, k in sorted(found)] == list(range(len(found)))
+    assert set(parts) == set(ids)
+
+
 def test_heavier_documents_come_first_more_often(spark):
     df = spark.createDataFrame([(i, "w " * 10 + ("### " * 8 if i % 2 else "good " * 8), "a" if i < 900 else "b") for i in range(1000)], "doc_id long, text string, source string")
     got = mixing.mix(df, (1, 9), 3).filter("source = 'a' and taken > 0").select((F.col("doc_id") % 2).alias("junk")).groupBy("junk").count().collect()
@@ -437,6 +634,61 @@ def test_pipeline_stages(spark):
     assert empty.count() == 0
 
 
+def test_pipeline_stages_with_clashing_columns_and_nulls(spark, rows):
+    import corpus_pipeline
+
+    names = ["_measures", "_failed", "_row", "_copy", "_times", "_score", "id", "size", "row", "group", "first", "failed", "judged", "copies", "_id", "text_crc32"]
+    docs = spark.createDataFrame([r[:4] for r in rows], "doc_id long, text string, lang string, source string").select("*", *(F.lit(n).alias(n) for n in names)).repartition(3)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, "/root/testdata/sf0.001")
+        assert got.columns == docs.columns, name
+        assert {tuple(r[n] for n in names) for r in got.collect()} <= {tuple(names)}, name
+        empty = stage(spark, docs.limit(0), "/root/testdata/sf0.001")
+        assert empty.columns == docs.columns and empty.count() == 0, name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() >= len(rows)
+
+
+def test_quality_stage_against_plain_verdicts(spark, rows):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(r[0], r[1]) for r in rows], "doc_id long, text string")
+
+    def bad(t):
+        n, chars, symbols, dup, repeat, lines = quality_rules.measures(t)
+        return n < 50 or 100 * repeat > 50 * n or 2 * symbols > n or (lines >= 8 and 2 * dup > lines) or 2 * chars < 3 * n or chars > 40 * n
+
+    got = Counter(r["text"] for r in corpus_pipeline.quality_rules_stage(spark, docs, "").collect())
+    assert got == Counter(t for _, t, *_ in rows if not bad(t))
+
+
+def test_classifier_stage_keeps_what_scores_high(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").union(spark.read.parquet(f"{sf}/documents.parquet").limit(5).withColumn("doc_id", F.lit(None).cast("long")))
+    model = classifier.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    import numpy as np
+
+    want = Counter()
+    for r in docs.collect():
+        x = classifier.features(r["text"]).astype(np.float16).astype(float)
+        z = sum(w * (v - m) / s for w, v, m, s in zip(model.weights, x, model.mean, model.scale, strict=True)) + model.bias
+        want[r["doc_id"], r["text"]] += 1 / (1 + np.exp(-z)) >= 0.7
+    got = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.classifier_stage(spark, docs, sf).collect())
+    assert got == +want
+
+
+def test_scratch_tables_go(spark, docs):
+    import glob
+
+    from tidemark.tables import shared_dir
+
+    before = set(glob.glob(f"{shared_dir(spark)}/tidemark-*"))
+    got = neardup.near_duplicates(docs, 4, 80)
+    left = set(glob.glob(f"{shared_dir(spark)}/tidemark-*")) - before
+    assert len(left) == 1 and "near-duplicates" in left.pop() and got.count()
+
+
 def test_near_dedup_stage_decides_by_row(spark):
     import corpus_pipeline
 
@@ -467,10 +719,95 @@ def test_mixing_stage_takes_rows_and_not_ids(spark):
 
 
 def test_classifier_counts_a_repeated_id_once(spark):
-    rows = [(1, "a few plain words here")] * 40 + [(1, "### $$$ |||"), (4, "other words of another text"), (5, None)]
+    rows = [(1, "a few plain words here")] * 40 + [(1, "### $$$ |||"), (4, "other words of another text"), (6, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     ids = docs.select(F.col("doc_id").alias("id")).distinct()
-    got = classifier._measured(docs, ids, "doc_id", "text")
+    labels = ids.select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    got = classifier.trusted(classifier.measured(docs), labels)
+    assert {zlib.crc32(b"1") % 4, zlib.crc32(b"4") % 4, zlib.crc32(b"6") % 4}.isdisjoint({2})
+    half = lambda t: classifier.features(t).astype("float16").tobytes()
+    first = min(half(t) for t in {t for i, t in rows if i == 1})
     assert got.shape == (3, classifier.FEATURES)
-    first = min(classifier.features(t).tobytes() for t in {t for i, t in rows if i == 1})
-    assert sorted(map(bytes, got)) == sorted([first, classifier.features(rows[-2][1]).tobytes(), classifier.features(None).tobytes()])
+    assert sorted(map(bytes, got.astype("float16"))) == sorted([first, half(rows[-2][1]), half(None)])
+
+
+def test_risk_gradient_and_curvature_against_plain_loops():
+    import math
+
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    p, u, w, prior = np.c_[rng.normal(1, 1, (40, 3)), np.ones(40)], np.c_[rng.normal(0, 1, (90, 3)), np.ones(90)], rng.normal(size=4), 0.4
+    loss = lambda z: math.log1p(math.exp(-z))
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
+    total = classifier.sums_at(w, u)
+    own, negative = classifier.risk(w, p, total, prior)
+    assert own == pytest.approx(prior * sum(loss(dot(w, x)) for x in p) / 40)
+    unbiased = lambda w: sum(loss(-dot(w, x)) for x in u) / 90 - prior * sum(loss(-dot(w, x)) for x in p) / 40
+    assert negative == pytest.approx(unbiased(w))
+    whole = lambda w: prior * sum(loss(dot(w, x)) for x in p) / 40 + unbiased(w)
+    gradient, curvature = total[2:6] / 90 - prior * p.mean(0), total[6:].reshape(4, 4) / 90
+    for i in range(4):
+        e = np.eye(4)[i] * 1e-4
+        assert gradient[i] == pytest.approx((whole(w + e) - whole(w - e)) / 2e-4, abs=1e-6)
+        for j in range(4):
+            f = np.eye(4)[j] * 1e-3
+            e3 = np.eye(4)[i] * 1e-3
+            assert curvature[i, j] == pytest.approx((whole(w + e3 + f) - whole(w + e3 - f) - whole(w - e3 + f) + whole(w - e3 - f)) / 4e-6, abs=1e-4)
+
+
+def test_descent_reaches_the_smallest_risk_that_is_not_negative():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    p, u = np.c_[rng.normal(1.5, 1, (300, 2)), np.ones(300)], np.c_[np.r_[rng.normal(1.5, 1, (300, 2)), rng.normal(-1.5, 1, (700, 2))], np.ones(1000)]
+    at = lambda w: classifier.sums_at(w, u)
+    w = classifier.descend(p, at, 0.3)
+    ridge = np.diag([classifier.PENALTY / 300] * 2 + [1e-9])
+
+    def objective(w):
+        own, negative = classifier.risk(w, p, at(w), 0.3)
+        return own + max(0.0, negative) + w @ ridge @ w / 2
+
+    assert classifier.risk(w, p, at(w), 0.3)[1] >= 0
+    assert all(objective(w) <= objective(w + d) + 1e-5 for d in rng.normal(scale=0.05, size=(200, 3)) if classifier.risk(w + d, p, at(w + d), 0.3)[1] >= 0)
+    tight = classifier.descend(p, at, 0.9)  # a prior far too high: the clamp holds it
+    assert classifier.risk(tight, p, at(tight), 0.9)[1] >= 0
+
+
+def test_prior_against_plain_counts():
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    for share in (0.2, 0.6, 0.9):
+        p, u = rng.normal(3, 1, 4000), np.r_[rng.normal(3, 1, int(20000 * share)), rng.normal(-3, 1, int(20000 * (1 - share)))]
+        cuts = classifier.cuts_of(p)
+        above = np.array([sum(1 for x in u if x >= c) for c in cuts[::7]])
+        counted = (u[:, None] >= cuts).sum(0)
+        assert (counted[::7] == above).all()
+        assert classifier.class_prior(p, counted, len(u)) == pytest.approx(share, abs=0.05)
+
+
+def test_sums_over_tasks_are_those_of_all_rows(spark, docs, rows):
+    import numpy as np
+
+    stored = classifier.measured(docs)
+    x = np.array([classifier.features(t).astype(np.float16) for _, t, *_ in rows], float)
+    assert np.allclose(classifier.summed(stored, classifier.moments_of), classifier.moments_of(x))
+    w = np.linspace(-1, 1, classifier.FEATURES)
+    assert np.allclose(classifier.summed(stored, lambda x: classifier.sums_at(w, x)), classifier.sums_at(w, x))
+    assert classifier.summed(stored.limit(0), classifier.moments_of) is None
+
+
+def test_classifier_query(spark):
+    from tidemark.llm.queries import op1_quality_classifier
+
+    got = op1_quality_classifier(spark, "/root/testdata/sf0.001").collect()
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    assert sorted(r["doc_id"] for r in got) == sorted(texts)
+    by_text = defaultdict(set)
+    for r in got:
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+        assert 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7)
+        by_text[texts[r["doc_id"]]].add(r["score"])
+    assert all(len(v) == 1 for v in by_text.values())

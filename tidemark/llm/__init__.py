@@ -1,4 +1,4 @@
 """Operators of a training-data pipeline: filtering, near-duplicates, mixing, packing, formatting.
 
-Nothing outside this package imports it, and it imports nothing else of the library.
+Nothing outside this package imports it; of the rest of the library it imports tidemark.tables.
 """

@@ -3,33 +3,19 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
+import unicodedata
 from array import array
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: A word is a run of characters other than ASCII white space.
-WORD = r"[^\x20\x09-\x0D]+"
-
+from tidemark.tables import discard, durable, fresh, scratch
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+__all__ = ["WORD", "Encoder", "cells_for", "discard", "durable", "encoder", "fresh", "prefix", "read", "scratch", "words_of"]
 
-
-def durable(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` below the shared folder and read it back: lineage ends here and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: A word is a run of characters other than ASCII white space.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -92,8 +78,9 @@ class Encoder:
 
     The pre-tokenizer always breaks before a space that stands between two other characters, so a text
     without " " before white space is the concatenation of its pieces cut there. The model of the tokenizer
-    computes the ids of each pre-token once; pieces and pre-tokens are kept in bounded tables. Other texts,
-    and those that contain an added token's string, are encoded as a whole by the tokenizer.
+    computes the ids of each pre-token once; pieces and pre-tokens are kept in bounded tables. Other texts, those that
+    contain an added token's string, and those with a character that Python's tables don't assign, whose class the
+    pattern and the tokenizer may see differently, are encoded as a whole by the tokenizer.
     """
 
     def __init__(self, path: str, most: int = 400_000):
@@ -114,6 +101,7 @@ class Encoder:
         others = [b for b in range(256) if b not in set(plain)]
         shown = {b: chr(256 + i) for i, b in enumerate(others)}
         self.printable = "".join(shown.get(b, chr(b)) for b in range(256))
+        self.assigned = _Kept(lambda c: unicodedata.category(c) != "Cn", 0x20000)
         self.tokens = _Kept(self._of_pretoken, most)
         self.pieces = _Kept(self._of_piece, most)
 
@@ -127,7 +115,7 @@ class Encoder:
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
-        if text[-1] == " " or _SPACES.search(text) or self.added(text):
+        if text[-1] == " " or _SPACES.search(text) or self.added(text) or not (text.isascii() or all(map(self.assigned.__getitem__, set(text)))):
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         head, *rest = text.split(" ")
         return b"".join(map(self.tokens.__getitem__, self.cut(head))) + b"".join(map(self.pieces.__getitem__, rest))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import durable
+from tidemark.tables import durable
 
 
 def components(links: DataFrame) -> DataFrame:

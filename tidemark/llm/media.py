@@ -4,8 +4,9 @@
 and gives codec, duration, sample byte ranges and keyframe byte ranges without decoding a payload, and `demux` reads a
 track's stored bytes back by those ranges. `mux` writes a container with one track of uncompressed 8-bit samples.
 
-Defined results: a null or empty text is stored as 64 zero bytes; bytes that are no container, or a damaged one, give
-a null description and no payload; repeated rows and equal texts give equal values; columns besides id and text are
+Defined results: a null or empty text is stored as 64 zero bytes; bytes that are no container, or a damaged one (a table
+larger than its box, samples beyond the file), give a null description and no payload; keyframe numbers that name no
+sample are left out; a timescale of 0 counts as 1; repeated rows and equal texts give equal values; columns besides id and text are
 ignored; an empty table gives no rows.
 """
 
@@ -106,24 +107,26 @@ def _track(data: bytes, trak: Box) -> Description:
     codec = data[a + 12 : a + 16].decode("latin-1")
     a = stbl.at(b"stsz").begin
     each, n = struct.unpack_from(">II", data, a + 4)
-    if each * n > len(data):
+    if max(each, 1) * n > len(data) or (not each and a + 12 + 4 * n > stbl.at(b"stsz").end):
         raise ValueError("samples are larger than the file")
     sizes = [each] * n if each else list(struct.unpack_from(f">{n}I", data, a + 12))
     wide = bool(stbl.all(b"co64"))
     a = stbl.at(b"co64" if wide else b"stco").begin
     (chunks,) = struct.unpack_from(">I", data, a + 4)
+    if a + 8 + chunks * (8 if wide else 4) > stbl.at(b"co64" if wide else b"stco").end:
+        raise ValueError("a table is larger than its box")
     offsets = struct.unpack_from(f">{chunks}{'Q' if wide else 'I'}", data, a + 8)
     a = stbl.at(b"stsc").begin
     (runs,) = struct.unpack_from(">I", data, a + 4)
+    if a + 8 + 12 * runs > stbl.at(b"stsc").end:
+        raise ValueError("a table is larger than its box")
     table = [struct.unpack_from(">III", data, a + 8 + 12 * i) for i in range(runs)]
     samples, k = [], 0
     for i, (first, per, _) in enumerate(table):
         last = table[i + 1][0] - 1 if i + 1 < runs else chunks
         for c in range(first - 1, last):
             at = offsets[c]
-            for _ in range(per):
-                if k >= n:
-                    break
+            for _ in range(min(per, n - k)):
                 samples.append((at, sizes[k]))
                 at += sizes[k]
                 k += 1
@@ -133,7 +136,9 @@ def _track(data: bytes, trak: Box) -> Description:
     if stbl.all(b"stss"):
         a = stbl.at(b"stss").begin
         (keys,) = struct.unpack_from(">I", data, a + 4)
-        keyframes = [x - 1 for x in struct.unpack_from(f">{keys}I", data, a + 8)]
+        if a + 8 + 4 * keys > stbl.at(b"stss").end:
+            raise ValueError("a table is larger than its box")
+        keyframes = [x - 1 for x in struct.unpack_from(f">{keys}I", data, a + 8) if 1 <= x <= n]
     return Description(codec, timescale, duration, samples, keyframes, number)
 
 
@@ -169,7 +174,7 @@ def _fragments(data: bytes, top: Box, tracks: dict[int, Description]) -> None:
                 if has & 0x4:
                     (first,), a = struct.unpack_from(">I", data, a), a + 4
                 fields = [bit for bit in (0x100, 0x200, 0x400, 0x800) if has & bit]
-                if not fields and (n * values[1] > len(data) or n > len(data)):
+                if n * max(values[1] if not has & 0x200 else 1, 1) > len(data) or a + 4 * len(fields) * n > trun.end:
                     raise ValueError("samples are larger than the file")
                 for k in range(n):
                     own = dict(zip(fields, struct.unpack_from(f">{len(fields)}I", data, a), strict=True))
@@ -185,6 +190,8 @@ def _fragments(data: bytes, top: Box, tracks: dict[int, Description]) -> None:
         number = _track(data, trak).track
         a = trak.at(b"mdia", b"minf", b"stbl", b"stts").begin
         (runs,) = struct.unpack_from(">I", data, a + 4)
+        if a + 8 + 8 * runs > trak.at(b"mdia", b"minf", b"stbl", b"stts").end:
+            raise ValueError("a table is larger than its box")
         tables = sum(n * each for n, each in (struct.unpack_from(">II", data, a + 8 + 8 * i) for i in range(runs)))
         tracks[number].duration = tables + added[number]  # mdhd may count the fragments or not
 

@@ -6,6 +6,9 @@ Complete epochs precede the fractional selection: a budget of 2.4 times a source
 then documents in key order for the remaining 0.4. Documents are taken whole; what the first pass leaves free,
 because the next document in order is too long, goes in the same order to documents that still fit.
 
+Documents of a source are dealt to cells by the share of its keys that are smaller, computed from the counts of its
+weights, so that cells follow the key and are even whatever the weights are.
+
 Built of DataFrame functions only. Defined results: a null or empty text has size 0; sources are dealt weights in
 code-point order, null last as a source of its own; repeated rows share one key and are taken each on its own;
 an empty table gives an empty mix; columns besides id, text and source are ignored. Reruns agree.
@@ -18,8 +21,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, cells_for, durable, prefix
+from tidemark.llm.common import WORD, cells_for, durable, prefix, scratch
+
 
+#: Steps of the weights that the cells are computed from.
+LEVELS = 20
 
 
 def quality_weight(text: Column) -> Column:
@@ -56,26 +62,38 @@ def mix(docs: DataFrame, weights: Sequence[float], most_epochs: float = 3, seed:
     """For each row: id, size, source, source_size, target, epochs (whole times taken) and taken (words).
 
     `weight`: quality weight of a document, a Column over `docs`. `fills`: further passes over the documents that
-    fit into what the pass before left free. `draw`: what a document's draw is hashed from, its id where none is given.
+    fit into what the pass before left free. `draw`: what a document's draw is hashed from, its id and text where none is
+    given.
     """
+    with scratch(docs.sparkSession) as scope:
+        return scope.keep(_mixed(docs, weights, most_epochs, seed, fills, weight, draw, id_col, text_col, source_col), "mix")
+
+
+def _mixed(docs: DataFrame, weights: Sequence[float], most_epochs: float, seed: int, fills: int, weight: Column | None, draw: Column | None, id_col: str, text_col: str, source_col: str) -> DataFrame:
     text = F.col(text_col).cast("string")
     size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
-    u = (F.shiftrightunsigned(F.xxhash64(F.col(id_col) if draw is None else draw, F.lit(seed)), 11) + 0.5) / float(1 << 53)
+    u = (F.shiftrightunsigned(F.xxhash64(*([F.col(id_col), text] if draw is None else [draw]), F.lit(seed)), 11) + 0.5) / float(1 << 53)
     rows = docs.select(
         F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), F.xxhash64(text).alias("_tie"),
-        (-F.log(u) / (quality_weight(text) if weight is None else weight)).alias("_key"),
-    )
+        (quality_weight(text) if weight is None else weight).alias("_weight"), (-F.log(u)).alias("_key"),
+    ).withColumn("_key", F.col("_key") / F.col("_weight"))
+    rows = rows.withColumn("_level", F.greatest(F.lit(1), F.least(F.lit(LEVELS), F.round(F.col("_weight") * LEVELS)))).drop("_weight")
     rows = durable(rows, "mix-keys")
-    total = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_n"))
-    goal = durable(targets(total.drop("_n"), weights, most_epochs), "mix-targets")  # one row a source
+    total = rows.groupBy("source", "_level").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_n"))
+    total = total.groupBy("source").agg(F.sum("source_size").alias("source_size"), F.sum("_n").alias("_n"), F.collect_list(F.struct((F.col("_level") / LEVELS).alias("w"), "_n")).alias("_levels"))
+    total = durable(total, "mix-sources")  # one row a source
+    goal = durable(targets(total.select("source", "source_size"), weights, most_epochs), "mix-targets")
     n_rows = rows.count()
     known = goal.select("source", "source_size", "target", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long").alias("epochs"))
     known = known.withColumn("_free", F.floor(F.col("target")) - F.col("epochs") * F.col("source_size"))
+    known = known.join(total.select(F.col("source").alias("_of"), "_n", "_levels"), F.col("source").eqNullSafe(F.col("_of"))).drop("_of")
     joined = rows.join(known, rows["source"].eqNullSafe(known["source"])).drop(known["source"])
+    cells = cells_for(n_rows)
+    smaller = F.aggregate("_levels", F.lit(0.0), lambda acc, x: acc + x["_n"] * (1.0 - F.exp(-F.col("_key") * x["w"])))
+    joined = joined.withColumn("_cell", F.floor(smaller / F.col("_n") * cells)).drop("_levels", "_n", "_level")
     state = durable(joined.withColumn("_source", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).withColumn("extra", F.lit(0)), "mix-0")
     order = [F.col("_key"), F.col("size"), F.col("_tie"), F.col("id")]
-    cells = cells_for(n_rows)
-    bucket = F.floor((1.0 - F.exp(-F.col("_key"))) * cells)  # follows the key, nearly even
+    bucket = F.col("_cell")
     for turn in range(fills + 1):
         fits = (F.col("extra") == 0) & (F.col("size") > 0) & (F.col("size") <= F.col("_free"))
         summed = prefix(state, ["_source"], bucket, order, "_before", F.when(fits, F.col("size")).otherwise(F.lit(0).cast("long")))

@@ -3,13 +3,21 @@
 A document's set of word shingles is hashed into buckets; each bucket's smallest hash is stored compressed, as the
 count of its leading zeros and a few mantissa bits. Bands of these registers propose candidates, the share of equal
 registers, corrected for chance collisions of compressed values, estimates their Jaccard similarity, and pairs
-that may reach the threshold are confirmed on their full sets.
+that may reach the threshold are confirmed on their full sets. For the bands alone, a register without a hash borrows
+that of the first filled bucket in an order of its own, so that a register of two sets agrees with a chance of their
+similarity, however few shingles they have; the stored registers, which the estimate reads, stay empty.
 
-Work never grows with the square of a group. Documents with equal sets are one node. In each band bucket a hub (the
-member that shares most buckets) is compared with every other member; the links found are joined into components;
-only then are members of one bucket that are still in different components compared with each other, in blocks,
-whose pairs are counted and confirmed in place where they would be many.
-Pairs inside a component cannot change it and are left out, so components lose no link between candidates.
+Documents with equal sets are one node. In each band bucket a hub (the member that shares most buckets) is compared
+with every other member, and the links found are joined into components. Pairs inside a component cannot change it;
+only members of one bucket that are still in different components meet:
+
+* where a bucket has few members outside its largest component, those meet all its members;
+* members of other buckets meet where the rarest shingles of one are among the rarest of the other. Sets that are
+  similar enough must share one of those, so no pair is lost, and texts that share what is common and differ in what is
+  rare never meet, however many they are.
+
+Work grows with the number of pairs that are nearly similar, not with the square of a bucket, and components lose no
+link between candidates.
 
 With 24 bands of 4 registers a pair at similarity 0.8 is missed with a chance below 4 in a million, and the estimate
 lets pass what is within five standard errors of the threshold.
@@ -27,15 +35,16 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import durable
 from tidemark.llm.components import components
+from tidemark.tables import durable, scratch
 
 BANDS, ROWS = 24, 4
 REGISTERS = BANDS * ROWS
 MANTISSA = 10  # bits
 EMPTY = 0xFFFF
-BLOCK = 512  # members of a bucket that are compared at once with so many others
-FEW = 2  # candidates for each row of a pair of blocks; beyond, they are confirmed where the blocks meet
+BLOCK = 4096  # rows of a shared shingle that meet at once with so many others
+PART = 4096  # pairs of one hub that are joined with its registers or text at once
+LIGHT = 32  # members outside its largest component that meet a whole bucket; no pair depends on it
 ERRORS = 5  # standard errors below the threshold that the estimate lets pass
 
 
@@ -76,16 +85,10 @@ def registers(sorted_hashes):
         top = (sorted_hashes >> np.uint64(32)) * np.uint64(REGISTERS)
         bucket = (top >> np.uint64(32)).astype(np.int64)  # follows the hash, so a bucket's first is its smallest
         used, first = np.unique(bucket, return_index=True)
-        width = (1 << 64) // REGISTERS
-        rest = [int(h) - int(b) * width for h, b in zip(sorted_hashes[first], used, strict=True)]
-        value = []
-        for x in rest:
-            x = max(0, x)
-            bits = x.bit_length()
-            zeros = 63 - bits
-            mantissa = (x << (MANTISSA + 1) >> bits) & ((1 << MANTISSA) - 1) if bits else 0
-            value.append(min(max(zeros, 0), 62) << MANTISSA | mantissa)
-        out[used] = value
+        low, start = sorted_hashes[first], used.astype(np.uint64) * np.uint64((1 << 64) // REGISTERS)
+        share, bits = np.frexp((np.where(low > start, low - start, np.uint64(0)) >> np.uint64(5)).astype(np.float64))  # exact
+        mantissa = np.maximum(0, (2 * share - 1) * (1 << MANTISSA)).astype(np.uint16)
+        out[used] = (58 - bits).astype(np.uint16) << np.uint16(MANTISSA) | mantissa
     return out
 
 
@@ -135,17 +138,53 @@ def sketch(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str =
     return narrow.mapInArrow(run, f"id {narrow.schema['id'].dataType.simpleString()}, of_text long, n_shingles long, node binary, registers binary")
 
 
+_borrowed: list = []
+
+
+def _filled(regs):
+    """Rows of registers in which empty ones have borrowed (see above)."""
+    import numpy as np
+    from xxhash import xxh64_intdigest
+
+    if not _borrowed:
+        _borrowed.append(np.array([sorted(range(REGISTERS), key=lambda b: (b != r, xxh64_intdigest(bytes((r, b))))) for r in range(REGISTERS)]))
+    order = _borrowed[0]
+    first = (regs != EMPTY)[:, order].argmax(2)
+    return np.take_along_axis(regs, order[np.arange(REGISTERS), first], 1)
+
+
 def _bands(nodes: DataFrame) -> DataFrame:
-    """(band, at, node, n): a row for each band that is not empty; at is the band's number."""
-    width = 2 * ROWS
-    parts = F.expr(f"filter(transform(sequence(0, {BANDS - 1}), i -> struct(i as i, substring(registers, i * {width} + 1, {width}) as part)), x -> x.part != X'{'FF' * width}')")
-    return nodes.select("node", "n", F.explode(parts).alias("p")).select(F.xxhash64("p.i", "p.part").alias("band"), F.col("p.i").alias("at"), "node", "n")
+    """(band, node, n): a row for each band of each node."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        number = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for batch in batches:
+            for k in range(0, batch.num_rows, 512):
+                part = batch.slice(k, 512)
+                regs = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint16).reshape(-1, REGISTERS)
+                x = (_filled(regs).view(np.uint64) ^ number) * np.uint64(0xBF58476D1CE4E5B9)
+                x = ((x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)) ^ number
+                of = pa.array(np.repeat(np.arange(part.num_rows), BANDS))
+                yield pa.RecordBatch.from_arrays([pa.array(x.ravel().view(np.int64)), part.column(0).take(of), part.column(1).take(of)], names=["band", "node", "n"])
+
+    return nodes.select("node", "n", "registers").mapInArrow(run, "band long, node binary, n long")
+
+
+def _sided(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
+    """(a, b) with `column` of both nodes and n where the table has it. A hub's row is dealt to as many parts as its pairs need."""
+    side = lambda x: table.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in table.columns if c in (column, "n")))
+    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
+    dealt = pairs.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts"))).drop("parts")
+    hubs = side("a").join(parts, "a").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+    return dealt.join(side("b"), "b").join(hubs, ["a", "part"])
 
 
 def _estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose registers allow a link."""
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("registers").alias(f"r_{x}"))
-    both = pairs.join(side("b"), "b").join(side("a"), "a")
+    both = _sided(pairs, nodes, "registers")
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -153,17 +192,16 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
         for batch in batches:
             if batch.num_rows:
-                regs = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("r_a", "r_b")]
+                regs = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("registers_a", "registers_b")]
                 ok = _may_link(*regs, *(batch.column(c).to_numpy() for c in ("n_a", "n_b")), percent)
                 yield batch.select(["a", "b"]).filter(pa.array(ok))
 
-    return both.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(run, "a binary, b binary")
+    return both.select("a", "b", "n_a", "n_b", "registers_a", "registers_b").mapInArrow(run, "a binary, b binary")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Pairs (a, b) that are linked by their full sets. texts: (node, text)."""
-    side = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"t_{x}"))
-    both = pairs.join(side("b"), "b").join(side("a"), "a")
+    both = _sided(pairs, texts, "text")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -171,7 +209,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) ->
         last, of_last = None, set()
         for batch in batches:
             ok = []
-            for a, t_a, t_b in zip(*(batch.column(c) for c in ("a", "t_a", "t_b")), strict=True):
+            for a, t_a, t_b in zip(*(batch.column(c) for c in ("a", "text_a", "text_b")), strict=True):
                 if (key := a.as_py()) != last:
                     last, of_last = key, shingles(t_a.as_py(), words)
                 other = shingles(t_b.as_py(), words)
@@ -179,137 +217,88 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) ->
                 ok.append(100 * common >= percent * (len(of_last) + len(other) - common))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return both.select("a", "b", "t_a", "t_b").mapInArrow(run, "a binary, b binary")
-
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
 
-def _blocks(members: DataFrame) -> DataFrame:
-    """Members (band, at, node, n, component) of buckets with several components, dealt as pairs of blocks.
 
-    Blocks i and j of a bucket meet under the key (band, i, j); `own` is a member's block.
-    """
-    mixed = members.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("c")).filter("lo != hi").select("band", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    rows = members.join(mixed, "band").withColumn("own", own)
-    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
-    return rows.select("band", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "node", "n", "component", "own", "at")
+def _mixed(placed: DataFrame) -> DataFrame:
+    """Members (band, node, n, component) of buckets with several components, with outside (not in the largest) and light."""
+    sizes = placed.groupBy("band", "component").agg(F.count(F.lit(1)).alias("c"))
+    bands = sizes.groupBy("band").agg(F.sum("c").alias("all"), F.max(F.struct("c", "component")).alias("most")).filter(F.col("all") > F.col("most.c"))
+    bands = bands.select("band", F.col("most.component").alias("largest"), (F.col("all") - F.col("most.c") <= LIGHT).alias("light"))
+    return placed.join(bands, "band").select("band", "node", "n", "component", (F.col("component") != F.col("largest")).alias("outside"), "light")
 
 
-def _pairs_of(rows: list, percent: int) -> Iterator:
-    """(x, places of others) for the pairs across components of one pair of blocks whose registers allow a link.
+def _similar_size(a: str, b: str, percent: int):
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
-    A pair that shares several buckets counts in the first of them only.
-    """
-    import numpy as np
 
-    regs = np.frombuffer(b"".join(r[8] for r in rows), np.uint16).reshape(-1, REGISTERS)
-    n = np.array([r[4] for r in rows])
-    comp = np.unique(np.array([r[5].hex() for r in rows]), return_inverse=True)[1]
-    own = np.array([r[6] for r in rows])
-    i, j, at = rows[0][1], rows[0][2], rows[0][7]
-    place = np.arange(len(rows))
-    for x in np.flatnonzero(own == i):
-        other = np.flatnonzero((comp != comp[x]) & ((own == j) if i != j else (place > x)) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x])))
-        if len(other):
-            mine = np.broadcast_to(regs[x], (len(other), REGISTERS))
-            same = ((mine == regs[other]).reshape(-1, BANDS, ROWS).all(2)) & (mine != EMPTY).reshape(-1, BANDS, ROWS).any(2)
-            ok = _may_link(mine, regs[other], np.full(len(other), n[x]), n[other], percent) & (same.argmax(1) == at)
-            if ok.any():
-                yield x, other[ok]
+def _met(light: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of each bucket's few members outside its largest component with all its members of others."""
+    x = light.filter("outside").select("band", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("of_b"))
+    y = light.select("band", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("of_a"), "outside")
+    once = ~F.col("outside") | (F.col("a") < F.col("b"))
+    return x.join(y, "band").filter((F.col("of_a") != F.col("of_b")) & once & _similar_size("n_a", "n_b", percent)).select("a", "b").distinct()
 
 
-def _groups(batches: Iterator) -> Iterator[list]:
-    """The rows of each key (band, i, j), which come together."""
-    from itertools import groupby
+def _rare(crowded: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Pairs (a, b) across components that may reach the threshold, of nodes (node, component) that meet in crowded buckets.
 
-    rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
-    for _, group in groupby(rows, key=lambda r: r[:3]):
-        yield list(group)
-
-
-def _dealt(blocks: DataFrame, *others: DataFrame) -> DataFrame:
-    names = [*blocks.columns, *(c for side in others for c in side.columns if c != "node")]
-    for side in others:
-        blocks = blocks.join(side, "node")
-    return blocks.select(names).repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
-
-
-def _across(blocks: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) of each pair of blocks, or, where there are more than a few for each row, its key alone."""
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        def batch_of(out: list):
-            types = (pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.int32())
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=["a", "b", "band", "i", "j"])
-
-        out: list = []
-        for rows in _groups(batches):
-            found = []
-            for x, others in _pairs_of(rows, percent):
-                found += [(rows[x][3], rows[y][3]) for y in others]
-                if len(found) > FEW * len(rows):
-                    found = [(None, None)]
-                    break
-            out += [(*p, *rows[0][:3]) for p in found]
-            if len(out) > 10_000:
-                yield batch_of(out)
-                out = []
-        yield batch_of(out)
-
-    return _dealt(blocks, nodes.select("node", "registers")).mapInArrow(run, "a binary, b binary, band long, i int, j int")
-
-
-def _within(blocks: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links (a, b) of pairs of blocks with many candidates, found on the full sets where the blocks meet.
-
-    Common shingles of one member with all others are counted at once over an index of the blocks' hashes. Links that
-    join what earlier ones have joined are left out, so there are fewer links than rows.
+    Each set is ordered from its rarest shingle to its most common. Of two sets of sizes n <= m that share at least
+    percent of their union, the first n - ceil(2 p n / (1 + p)) + 1 of the smaller and the first m - ceil(p m) + 1 of the
+    larger have one in common (p: percent / 100), and beyond the first that they have in common there must be enough of
+    both left. A shingle of many sets is dealt to blocks.
     """
-
-    def linked(rows: list) -> Iterator:
-        import numpy as np
-
-        sets = [hashes(r[9], words) for r in rows]
-        flat = np.concatenate(sets)
-        order = np.argsort(flat, kind="stable")
-        owner = np.repeat(np.arange(len(rows)), [len(h) for h in sets])[order]
-        flat = flat[order]
-        n = np.array([len(h) for h in sets])
-        joined = np.unique(np.array([r[5].hex() for r in rows]), return_inverse=True)[1]
-        for x, others in _pairs_of(rows, percent):
-            begin, end = np.searchsorted(flat, sets[x], "left"), np.searchsorted(flat, sets[x], "right")
-            count = end - begin
-            at = np.repeat(begin - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
-            common = np.bincount(owner[at], minlength=len(rows))[others]
-            for y in others[100 * common >= percent * (n[x] + n[others] - common)]:
-                if joined[x] != joined[y]:
-                    joined[joined == joined[y]] = joined[x]
-                    yield rows[x][3], rows[y][3]
+    rows = texts.join(crowded, "node").select("node", "component", "text")
 
     def run(batches: Iterator) -> Iterator:
+        import numpy as np
         import pyarrow as pa
 
-        for rows in _groups(batches):
-            out = list(linked(rows))
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.binary()) for k in (0, 1)], names=["a", "b"])
-
-    return _dealt(blocks, nodes.select("node", "registers"), texts).mapInArrow(run, "a binary, b binary").distinct()
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                sets = [hashes(t.as_py(), words) for t in part.column(2)]
+                size = np.array([len(h) for h in sets], np.int64)
+                of = pa.array(np.repeat(np.arange(part.num_rows), size))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(of), part.column(1).take(of), pa.array(np.repeat(size, size)), pa.array(np.concatenate(sets).view(np.int64))], names=["node", "component", "n", "shingle"])
+
+    flat = durable(rows.mapInArrow(run, "node binary, component binary, n long, shingle long"), "shingles")
+    common = flat.groupBy("shingle").agg(F.count(F.lit(1)).alias("c"))
+    ordered = flat.join(common, "shingle").groupBy("node").agg(F.first("component").alias("component"), F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("c", "shingle"))).alias("s"))
+    n = F.col("n")
+    probed = n - F.ceil(n * percent / 100) + 1
+    indexed = n - F.ceil(2 * percent * n / (100 + percent)) + 1
+    keys = ordered.select("node", "component", "n", indexed.alias("indexed"), F.posexplode(F.slice("s", F.lit(1), probed.cast("int"))).alias("place", "k"))
+    keys = durable(keys.filter("k.c > 1").select(F.col("k.shingle").alias("shingle"), "place", (F.col("place") < F.col("indexed")).alias("index"), "node", "component", "n"), "keys")
+    several = keys.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.bool_or("index").alias("any"), F.count(F.lit(1)).alias("c"))
+    blocks = several.filter("lo != hi and any").select("shingle", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
+    own, each = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = keys.join(blocks, "shingle").withColumn("own", own)
+    small = dealt.filter("index").select("shingle", F.col("own").alias("i"), each.alias("j"), F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("place").alias("p_a"), F.col("component").alias("of_a"))
+    large = dealt.select("shingle", each.alias("i"), F.col("own").alias("j"), F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("place").alias("p_b"), F.col("component").alias("of_b"))
+    first = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
+    left = F.least(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b"))
+    enough = (100 + percent) * left >= percent * (F.col("n_a") + F.col("n_b"))
+    return small.join(large, ["shingle", "i", "j"]).filter(first & enough & (F.col("of_a") != F.col("of_b")) & (100 * F.col("n_a") >= percent * F.col("n_b"))).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row: id, n_shingles, component_id (the smallest id reachable by links) and kept (it is that one)."""
+    with scratch(docs.sparkSession) as scope:
+        return scope.keep(_grouped(docs, words, percent, id_col, text_col), "near-duplicates")
+
+
+def _grouped(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     sketched = durable(sketch(docs, words, id_col, text_col), "sketch")
     known = sketched.filter(F.col("node").isNotNull())
     nodes = durable(known.groupBy("node").agg(F.min("id").alias("id"), F.min(F.struct("id", "of_text")).alias("rep"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers")), "nodes")
-    bands = _bands(nodes)
+    bands = durable(_bands(nodes), "bands")
     shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     members = durable(bands.join(shared, "band"), "members")
 
     degree = members.groupBy("node").agg(F.sum("c").alias("degree"))
     hubs = members.join(degree, "node").groupBy("band").agg(F.max(F.struct("degree", "node", "n")).alias("h")).select("band", F.col("h.node").alias("a"), F.col("h.n").alias("n_a"))
-    near = (F.col("a") != F.col("node")) & (100 * F.least("n", "n_a") >= percent * F.greatest("n", "n_a"))
-    stars = members.join(hubs, "band").filter(near).select("a", F.col("node").alias("b")).distinct()
+    stars = durable(members.join(hubs, "band").filter((F.col("a") != F.col("node")) & _similar_size("n", "n_a", percent)).select("a", F.col("node").alias("b")).distinct(), "stars")
 
     # Found by id and hash of the text: an id may be missing or stand for many texts, and a text for many ids.
     rep = nodes.join(degree.select("node"), "node", "left_semi").select("node", F.col("rep.id").alias("_rep"), F.col("rep.of_text").alias("_rep_text"))
@@ -317,15 +306,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     whole = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_of_text"), text.alias("text"))
     texts = durable(_of_node(whole.join(rep, F.col("_id").eqNullSafe(F.col("_rep")) & (F.col("_of_text") == F.col("_rep_text"))).select("node", "text"), words), "texts")
 
-    links = durable(_confirmed(durable(_estimated(stars, nodes, percent), "stars"), texts, words, percent), "links")
+    links = durable(_confirmed(durable(_estimated(stars, nodes, percent), "near-stars"), texts, words, percent), "links")
     found = components(links)
-    placed = members.join(found, "node", "left").select("band", "at", "node", "n", F.coalesce("component", "node").alias("component"))
-    blocks = durable(_blocks(placed), "blocks")
-    across = durable(_across(blocks, nodes, percent), "across")
-    crowded = blocks.join(across.filter(F.col("a").isNull()).select("band", "i", "j"), ["band", "i", "j"], "left_semi")
-    crowded = crowded.select(blocks.columns)
-    pairs = across.filter(F.col("a").isNotNull()).select("a", "b").union(_within(crowded, nodes, texts, words, percent))
-    more = durable(_confirmed(durable(pairs.distinct(), "pairs"), texts, words, percent), "links")
+    placed = members.join(found, "node", "left").select("band", "node", "n", F.coalesce("component", "node").alias("component"))
+    mixed = durable(_mixed(placed), "mixed")
+    crowded = durable(mixed.filter(~F.col("light")).select("node", "component").distinct(), "crowded")
+    met = _met(mixed.filter("light"), percent)
+    if crowded.limit(1).count():
+        met = met.union(_rare(crowded, texts, words, percent)).distinct()
+    pairs = durable(_estimated(durable(met, "met"), nodes, percent), "pairs")
+    more = durable(_confirmed(pairs, texts, words, percent), "links")
     if more.limit(1).count():
         found = components(links.union(more))
 

@@ -101,9 +101,9 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int = 0, id
     cut = durable(pieces(docs, tokenizer, capacity, end, id_col, text_col), "pieces")
     counts = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}  # capacity rows at most
     slots = spark.createDataFrame(plan(counts, capacity), PLAN).coalesce(1)
-    rank_order = [F.col(id_col), F.col("piece"), F.col("ids_crc32")]
+    rank_order = [F.col(id_col), F.col("piece"), F.col("ids_crc32"), F.col("start")]
     n_cells = cells_for(sum(counts.values()))
-    ranked = prefix(cut, ["length"], F.pmod(F.xxhash64(id_col, "piece"), F.lit(n_cells)), rank_order, "_rank")
+    ranked = prefix(cut, ["length"], F.pmod(F.xxhash64(id_col, "piece", "ids_crc32"), F.lit(n_cells)), rank_order, "_rank")
     at = (F.col("_rank") >= F.col("rank_from")) & (F.col("_rank") < F.col("rank_to"))
     placed = ranked.join(F.broadcast(slots.withColumnRenamed("length", "_length")), (F.col("length") == F.col("_length")) & at)
     nth = F.col("_rank") - F.col("rank_from")

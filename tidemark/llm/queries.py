@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import chat, classifier, media, mixing, neardup, packing, quality_rules, sharding, token_counts, url_filter
-from tidemark.llm.common import read
+from tidemark.llm.common import durable, read, scratch
 
 #: Parameters that the queries fix.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -23,10 +23,11 @@ LISTED_HOSTS = ("spam-farm.example.org", "cheap-pills.example.com")
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    score = classifier.score_column(classifier.train(docs, read(spark, sf_dir, "labels")))
-    scored = docs.select("doc_id", classifier.held_out(F.col("doc_id")).alias("held_out"), score(F.col("text").cast("string")).alias("score"))
-    return scored.withColumn("predicted", (F.col("score") >= ACCEPT).cast("int"))
+    with scratch(spark) as scope:
+        rows = durable(classifier.measured(read(spark, sf_dir, "documents")), "measured")
+        model = classifier.train_stored(rows, read(spark, sf_dir, "labels"))
+        scored = rows.select(F.col("id").alias("doc_id"), classifier.held_out(F.col("id")).alias("held_out"), classifier.score_stored(model, F.col("x")).alias("score"))
+        return scope.keep(scored.withColumn("predicted", (F.col("score") >= ACCEPT).cast("int")), "scores")
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
