@@ -45,6 +45,7 @@ EMPTY = 0xFFFF
 BLOCK = 4096  # rows of a shared shingle that meet at once with so many others
 PART = 4096  # pairs of one hub that are joined with its registers or text at once
 LIGHT = 32  # members outside its largest component that meet a whole bucket; no pair depends on it
+SLOTS = 1 << 18  # counters of shingle frequencies
 ERRORS = 5  # standard errors below the threshold that the estimate lets pass
 
 
@@ -243,33 +244,52 @@ def _met(light: DataFrame, percent: int) -> DataFrame:
 def _rare(crowded: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Pairs (a, b) across components that may reach the threshold, of nodes (node, component) that meet in crowded buckets.
 
-    Each set is ordered from its rarest shingle to its most common. Of two sets of sizes n <= m that share at least
-    percent of their union, the first n - ceil(2 p n / (1 + p)) + 1 of the smaller and the first m - ceil(p m) + 1 of the
-    larger have one in common (p: percent / 100), and beyond the first that they have in common there must be enough of
-    both left. A shingle of many sets is dealt to blocks.
+    Each set is ordered from its rarest shingle to its most common; frequencies are counted in `SLOTS` slots of hashes,
+    as any order that all sets share finds all pairs. Of two sets of sizes n <= m that share at least percent of their
+    union, the first n - ceil(2 p n / (1 + p)) + 1 of the smaller and the first m - ceil(p m) + 1 of the larger have one
+    in common (p: percent / 100), and beyond the first that they have in common there must be enough of both left. A
+    shingle of many sets is dealt to blocks.
     """
-    rows = texts.join(crowded, "node").select("node", "component", "text")
+    import numpy as np
+
+    rows = durable(texts.join(crowded, "node").select("node", "component", "text"), "crowded-texts")
+
+    def count(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for t in batch.column(0):
+                np.add.at(total, (hashes(t.as_py(), words) % np.uint64(SLOTS)).astype(np.int64), 1)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["slot", "c"])
+
+    counted = rows.select("text").mapInArrow(count, "slot int, c long").groupBy("slot").agg(F.sum("c").alias("c")).toPandas()  # SLOTS rows at most
+    common = np.zeros(SLOTS, np.int64)
+    common[counted["slot"].to_numpy()] = counted["c"].to_numpy()
+    known = rows.sparkSession.sparkContext.broadcast(common)  # SLOTS numbers
 
     def run(batches: Iterator) -> Iterator:
-        import numpy as np
         import pyarrow as pa
 
+        common = known.value
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                sets = [hashes(t.as_py(), words) for t in part.column(2)]
-                size = np.array([len(h) for h in sets], np.int64)
-                of = pa.array(np.repeat(np.arange(part.num_rows), size))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(of), part.column(1).take(of), pa.array(np.repeat(size, size)), pa.array(np.concatenate(sets).view(np.int64))], names=["node", "component", "n", "shingle"])
-
-    flat = durable(rows.mapInArrow(run, "node binary, component binary, n long, shingle long"), "shingles")
-    common = flat.groupBy("shingle").agg(F.count(F.lit(1)).alias("c"))
-    ordered = flat.join(common, "shingle").groupBy("node").agg(F.first("component").alias("component"), F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("c", "shingle"))).alias("s"))
-    n = F.col("n")
-    probed = n - F.ceil(n * percent / 100) + 1
-    indexed = n - F.ceil(2 * percent * n / (100 + percent)) + 1
-    keys = ordered.select("node", "component", "n", indexed.alias("indexed"), F.posexplode(F.slice("s", F.lit(1), probed.cast("int"))).alias("place", "k"))
-    keys = durable(keys.filter("k.c > 1").select(F.col("k.shingle").alias("shingle"), "place", (F.col("place") < F.col("indexed")).alias("index"), "node", "component", "n"), "keys")
+            of, place, index, size, keys = [], [], [], [], []
+            for k, t in enumerate(batch.column(2)):
+                h = hashes(t.as_py(), words)
+                n = len(h)
+                probed, indexed = n - -(-percent * n // 100) + 1, n - -(-2 * percent * n // (100 + percent)) + 1
+                h = h[np.lexsort((h, common[(h % np.uint64(SLOTS)).astype(np.int64)]))[:probed]]
+                of.append(np.full(len(h), k))
+                size.append(np.full(len(h), n))
+                place.append(np.arange(len(h)))
+                index.append(np.arange(len(h)) < indexed)
+                keys.append(h.view(np.int64))
+            of, *columns = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (of, keys, place, size))
+            flags = pa.array(np.concatenate(index) if index else np.empty(0, bool))
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1]), flags, batch.column(0).take(pa.array(of)), batch.column(1).take(pa.array(of)), pa.array(columns[2])], names=["shingle", "place", "index", "node", "component", "n"])
+
+    keys = durable(rows.mapInArrow(run, "shingle long, place long, index boolean, node binary, component binary, n long"), "keys")
     several = keys.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.bool_or("index").alias("any"), F.count(F.lit(1)).alias("c"))
     blocks = several.filter("lo != hi and any").select("shingle", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
     own, each = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
