@@ -57,18 +57,29 @@ def value_of(text) -> Column:
     return F.when(~trimmed.isin("", "."), trimmed).cast("double")
 
 
-def jobs_phrase(thousands) -> Column:
-    """An amount of jobs in words, to the even thousand."""
-    k = F.bround(_col(thousands), 0)
-    return (
-        F.when(k.isNull(), F.lit("an unknown change"))
-        .when(k == 0, F.lit("no net change"))
-        .otherwise(F.concat(F.when(k > 0, F.lit("a gain of ")).otherwise(F.lit("a loss of ")), F.format_number(F.abs(k) * 1000, 0), F.lit(" jobs")))
-    )
-
-
-def article(noun) -> Column:
-    return F.when(F.lower(F.substring(_col(noun), 1, 1)).isin("a", "e", "i", "o", "u"), F.lit("An")).otherwise(F.lit("A"))
+def even(x, digits: int = 0) -> Column:
+    """Rounded half to even; what an engine's last bits add to a sum is rounded off first, so that ties stay ties."""
+    return F.bround(F.round(_col(x), 8), digits)
+
+
+def jobs_phrase(thousands, signed: bool = True) -> Column:
+    """An amount of jobs in words, to the even thousand; unsigned: the size alone."""
+    k = even(thousands)
+    count = F.concat(F.format_number(F.abs(k) * 1000, 0), F.lit(" jobs"))
+    said = F.when(k == 0, F.lit("no net change")).when(k > 0, F.concat(F.lit("a gain of "), count)).otherwise(F.concat(F.lit("a loss of "), count))
+    return F.when(k.isNull(), F.lit("an unknown number of jobs")).otherwise(said if signed else count)
+
+
+def article(number) -> Column:
+    """The article before a number that is read aloud: eight, eleven, eighteen and what begins with eight take "An"."""
+    n = _col(number).cast("string")
+    return F.when(n.startswith("8") | n.isin("11", "18"), F.lit("An")).otherwise(F.lit("A"))
+
+
+def quantity(value, unit) -> Column:
+    """A value with its unit: thousands of persons as persons, others to one decimal."""
+    v, u = _col(value), _col(unit)
+    return F.when(u == "thousands of persons", F.format_number(even(v * 1000), 0)).when(F.coalesce(u, F.lit("")) == "", F.format_number(even(v, 1), 1)).otherwise(F.concat(F.format_number(even(v, 1), 1), F.lit(" "), u))
 
 
 def direction(contribution) -> Column:

@@ -71,15 +71,19 @@ def trailing_mean(target_changes: DataFrame, window: int, least: int, regime: tu
     return target_changes.select(*keys, "month", F.when(F.count(clean).over(w) >= least, F.avg(clean).over(w)).alias("trailing"))
 
 
-def rows(panel: DataFrame, terms: Sequence[Term], target: str, regime: tuple[str, str], min_samples: int = 24) -> DataFrame:
-    """(origin, month, is_next, y, a column a term, status, missing, n_ok).
+def rows(panel: DataFrame, terms: Sequence[Term], target: str, regime: tuple[str, str], min_samples: int = 24, lags: dict[str, int] | None = None, moved: DataFrame | None = None) -> DataFrame:
+    """(origin, month, is_next, y, a column a term, status, missing, n_ok, last_change, skip_reason).
 
     status: `ok`, `excluded` (the target month or a month that a level or change term reads is in the regime) or
     `incomplete` (a term is missing, then named in `missing`). The row to predict has is_next and is not tested
-    against the regime. n_ok counts the origin's complete training rows; an origin under min_samples cannot be used.
+    against the regime. n_ok counts the origin's complete training rows, last_change is its newest change outside the
+    regime. skip_reason says why the origin cannot be used: fewer than min_samples complete rows, or a term without a
+    value for the row to predict. lags: publication lags by series, which no term may undercut. moved: the panel's
+    changes, where they are there already.
     """
+    check_terms(terms, target, lags or {})
     keyed = ["origin", "series_id"]
-    moved = changes(panel, keyed)
+    moved = changes(panel, keyed) if moved is None else moved
     of_target = moved.filter(F.col("series_id") == target).select("origin", "month", "change")
     own = F.struct("month", F.col("change").alias("y"), F.lit(False).alias("is_next"))
     added = F.struct(F.add_months("month", 1).alias("month"), F.lit(None).cast("double").alias("y"), F.lit(True).alias("is_next"))
@@ -106,5 +110,10 @@ def rows(panel: DataFrame, terms: Sequence[Term], target: str, regime: tuple[str
     missing = F.filter(F.array(*(F.when(F.col(t.name).isNull(), F.lit(t.name)) for t in terms)), lambda x: x.isNotNull())
     status = F.when(~F.col("is_next") & dirty, "excluded").when(F.size(missing) > 0, "incomplete").otherwise("ok")
     out = joined.withColumn("status", status).withColumn("missing", missing)
-    ok = F.count_if((F.col("status") == "ok") & ~F.col("is_next")).over(Window.partitionBy("origin"))
-    return out.select("origin", "month", "is_next", "y", *(t.name for t in terms), "status", "missing", ok.alias("n_ok"))
+    of_origin = Window.partitionBy("origin")
+    ok = F.count_if((F.col("status") == "ok") & ~F.col("is_next")).over(of_origin)
+    last = F.max(F.when(~F.col("is_next") & ~excluded("month", regime), F.struct("month", "y"))).over(of_origin)["y"]
+    out = out.withColumn("n_ok", ok).withColumn("last_change", last).withColumn("_unknown", F.max(F.when(F.col("is_next"), F.array_join("missing", ", "))).over(of_origin))
+    few = F.concat(F.lit(f"{min_samples} complete rows are needed, there are "), F.col("n_ok").cast("string"))
+    reason = F.when(F.col("n_ok") < min_samples, few).when(F.col("_unknown") != "", F.concat(F.lit("no value for "), "_unknown"))
+    return out.select("origin", "month", "is_next", "y", *(t.name for t in terms), "status", "missing", "n_ok", "last_change", reason.alias("skip_reason"))

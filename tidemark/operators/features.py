@@ -51,16 +51,33 @@ def duplicate_dates(snapshot: DataFrame, keys: list[str]) -> DataFrame:
     return snapshot.groupBy(*keys, "obs_date").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
+def _by_month(known: DataFrame, dimension: DataFrame, min_weeks: int) -> DataFrame:
+    """(origin, series_id, month, value, weeks_used) from each origin's snapshot: weekly series by `monthly`'s rule, others as they are.
+
+    Two values of one reference date in a snapshot are an error.
+    """
+    facts = F.broadcast(dimension.select("series_id", "frequency", "scale_to_thousands"))  # a row a series
+    rows = known.join(facts, "series_id").withColumn("value", F.col("value") * F.col("scale_to_thousands"))
+    used, weekly = F.count("value"), F.col("frequency") == "W"
+    out = rows.groupBy("origin", "series_id", "frequency", month_of("obs_date").alias("month")).agg(
+        RULES["mean"]("value").alias("mean"), used.cast("int").alias("weeks_used"), F.count(F.lit(1)).alias("n"), F.size(F.collect_set("obs_date")).alias("dates"))
+    twice = F.raise_error(F.concat(F.lit("several values of one date in the snapshot of "), "series_id", F.lit(" on "), F.col("origin").cast("string"))).cast("double")
+    value = F.when(F.col("n") > F.col("dates"), twice).when(~weekly | (F.col("weeks_used") >= min_weeks), F.col("mean"))
+    return out.select("origin", "series_id", "month", value.alias("value"), "weeks_used")
+
+
+def _asked(origins: DataFrame, dimension: DataFrame, *columns: Column) -> DataFrame:
+    """Every origin with every series of the registry."""
+    return origins.select("origin", *columns, F.explode(F.lit([r["series_id"] for r in dimension.select("series_id").collect()])).alias("series_id"))
+
+
 def panel(observed: DataFrame, origins: DataFrame, dimension: DataFrame, one_day: int = 1, min_weeks: int = 2) -> DataFrame:
     """(origin, series_id, month, value, weeks_used) as known `one_day` before each origin, all origins in one plan.
 
-    origins: (origin). dimension: the registry, whose frequency sends a series down the weekly or the monthly path.
+    origins: (origin). dimension: the registry, whose frequency says whether a series is averaged over weeks.
     """
-    asked = origins.select("origin", F.date_sub("origin", one_day).alias("as_of"), F.explode(F.lit([r["series_id"] for r in dimension.select("series_id").collect()])).alias("series_id"))
-    known = at_origins(observed, asked)
-    by = known.join(F.broadcast(dimension.select("series_id", "frequency", "scale_to_thousands")), "series_id").withColumn("value", F.col("value") * F.col("scale_to_thousands"))
-    keys = ["origin", "series_id"]
-    return monthly(by.filter("frequency = 'W'"), keys, min_weeks).unionByName(passed_through(by.filter("frequency = 'M'"), keys))
+    asked = _asked(origins, dimension, F.date_sub("origin", one_day).alias("as_of"))
+    return _by_month(at_origins(observed, asked), dimension, min_weeks)
 
 
 def lag_shifted_panel(observed: DataFrame, target_months: DataFrame, dimension: DataFrame, target: str, min_weeks: int = 2) -> DataFrame:
@@ -71,14 +88,21 @@ def lag_shifted_panel(observed: DataFrame, target_months: DataFrame, dimension:
     """
     from tidemark.functions.columns import is_current
 
-    now = observed.filter(is_current())
-    lags = dimension.select("series_id", "frequency", "scale_to_thousands", F.col("publication_lag_months").alias("lag"))
-    rows = now.join(F.broadcast(lags), "series_id").withColumn("value", F.col("value") * F.col("scale_to_thousands"))
-    asked = target_months.select("origin", F.explode(F.lit([r["series_id"] for r in dimension.select("series_id").collect()])).alias("series_id"))
+    lags = F.broadcast(dimension.select("series_id", F.col("publication_lag_months").alias("lag")))
     limit = F.when(F.col("series_id") == target, F.date_sub("origin", 1)).otherwise(F.last_day(F.expr("add_months(origin, -lag)")))
-    cut = rows.join(asked, "series_id").filter(F.col("obs_date") <= limit)
-    keys = ["origin", "series_id"]
-    return monthly(cut.filter("frequency = 'W'"), keys, min_weeks).unionByName(passed_through(cut.filter("frequency = 'M'"), keys))
+    cut = observed.filter(is_current()).join(_asked(target_months, dimension).join(lags, "series_id").withColumn("limit", limit), "series_id").filter(F.col("obs_date") <= F.col("limit"))
+    return _by_month(cut.drop("lag", "limit"), dimension, min_weeks)
+
+
+def months_available(panel: DataFrame, moved: DataFrame, target: str) -> DataFrame:
+    """(origin, series_id, months): a feature's months with a value, the target's changes."""
+    of_target = moved.filter(F.col("series_id") == target)
+    return panel.filter((F.col("series_id") != target) & F.col("value").isNotNull()).select("origin", "series_id").union(of_target.select("origin", "series_id")).groupBy("origin", "series_id").agg(F.count(F.lit(1)).alias("months"))
+
+
+def default_as_of(observed: DataFrame) -> DataFrame:
+    """(series_id, as_of): the newest day on which something of a series became known, for a snapshot without a stated day."""
+    return observed.groupBy("series_id").agg(F.max("realtime_start").alias("as_of"))
 
 
 def history(observed: DataFrame, last: int) -> DataFrame:

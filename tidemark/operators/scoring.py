@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,9 +30,10 @@ def scorecard(scored: DataFrame, by: tuple[str, ...] = ("model",), nominal: floa
     return out.withColumn("coverage_gap", F.col("interval_coverage") - nominal)
 
 
-def relative_mae(cards: DataFrame, reference: str) -> DataFrame:
-    """By how many percent of the reference's MAE a model is better, and which model is best."""
-    together = cards.agg(F.collect_list(F.struct("mae", "model")).alias("c"))  # a row a model
+def relative_mae(cards: DataFrame, reference: str, order: Sequence[str] = ()) -> DataFrame:
+    """By how many percent of the reference's MAE a model is better, and which model is best: of equal ones the first in `order`."""
+    place = F.coalesce(F.array_position(F.lit(list(order)), F.col("model")), F.lit(0)) if order else F.lit(0)
+    together = cards.agg(F.collect_list(F.struct("mae", place.alias("place"), "model")).alias("c"))  # a row a model
     ref = F.filter("c", lambda m: m["model"] == reference)[0]["mae"]
     each = together.select(ref.alias("ref"), F.array_min("c")["model"].alias("best"), F.explode("c").alias("m"))
     return each.select("m.model", "m.mae", (100 * (F.col("ref") - F.col("m.mae")) / F.col("ref")).alias("relative_mae"), (F.col("m.model") == F.col("best")).alias("is_best"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.exceptions import StorageError
 from tidemark.functions.columns import known_on
 from tidemark.schemas import OBSERVATION_KEY
+from tidemark.tables import durable, scratch
 
 
 def upserted(stored: DataFrame, batch: DataFrame, key=OBSERVATION_KEY, order: Column | None = None) -> DataFrame:
@@ -46,68 +49,113 @@ def check_batch(batch: DataFrame) -> int:
 
 
 class Store:
-    """Parquet tables below a folder: observations by series, and release dates.
+    """Tables below a folder: observations by series, and release dates.
 
-    A write replaces only the partitions of the series in its batch; it goes to a new version of those partitions
-    first, so a failed job leaves what was there.
+    Every write makes a new version of what it changes: of each series in a batch, or of the release dates. A manifest,
+    written last and under a new name, says which versions count, so a job that fails leaves what was there and readers
+    never see half a batch. Versions that no manifest of the last two names are removed at the next write.
+    One writer at a time.
     """
 
     def __init__(self, spark, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _read(self, table: str, schema: str) -> DataFrame:
-        from pyspark.errors import AnalysisException
-
-        try:
-            return self.spark.read.schema(schema).parquet(f"{self.path}/{table}")
-        except AnalysisException as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
+    def _fs(self, path: str):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
+
+    def _names(self, path: str) -> list[str]:
+        fs, at = self._fs(path)
+        return sorted(f.getPath().getName() for f in fs.listStatus(at)) if fs.exists(at) else []
+
+    def exists(self) -> bool:
+        return bool(self._names(f"{self.path}/manifests"))
+
+    def versions(self, back: int = 0) -> dict[str, str]:
+        """Folder by series id, and that of the release dates under "", of the newest manifest or one `back` from it."""
+        found = [n for n in self._names(f"{self.path}/manifests") if n.isdigit()]
+        if len(found) <= back:
+            return {}
+        rows = self.spark.read.schema("name string, folder string").parquet(f"{self.path}/manifests/{found[-1 - back]}")
+        return {r["name"]: r["folder"] for r in rows.collect()}  # a row a series
+
+    def _commit(self, changed: dict[str, str]) -> None:
+        found = [int(n) for n in self._names(f"{self.path}/manifests") if n.isdigit()]
+        now = self.versions() | changed
+        path = f"{self.path}/manifests/{max(found, default=0) + 1:012d}"
+        self.spark.createDataFrame(list(now.items()), "name string, folder string").coalesce(1).write.parquet(f"{path}.new")
+        fs, at = self._fs(path)
+        if not fs.rename(self._fs(f"{path}.new")[1], at):
+            raise StorageError(f"the manifest {path} could not be put in place")
+        named = set(now.values()) | set(self.versions(1).values())
+        for name in self._names(f"{self.path}/versions"):
+            if name not in {f.split("/")[0] for f in named}:
+                fs.delete(self._fs(f"{self.path}/versions/{name}")[1], True)
+
+    def _read(self, names, schema: str) -> DataFrame:
+        """The rows of the named entries: of all series, where names is None."""
+        found = self.versions()
+        folders = sorted({f for n, f in found.items() if (n if names is None else n in names)})
+        if not folders:
             return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*(f"{self.path}/versions/{f}" for f in folders))
 
     def observations(self, series_id: str | None = None, as_of=None, start=None) -> DataFrame:
         from tidemark.schemas import OBSERVATIONS
 
-        rows = self._read("observations", OBSERVATIONS)
-        if series_id is not None:
-            rows = rows.filter(F.col("series_id") == series_id)
+        rows = self._read(None if series_id is None else {series_id}, OBSERVATIONS)
         if as_of is not None:
             rows = rows.filter(known_on(F.lit(as_of).cast("date")))
         return rows if start is None else rows.filter(F.col("obs_date") >= F.lit(start).cast("date"))
 
     def upsert(self, batch: DataFrame) -> int:
-        """Rows written (submitted, not changed)."""
+        """Rows written (submitted, not changed). The batch is stored first, so that its source is asked once."""
         from tidemark.schemas import OBSERVATIONS
 
-        n = check_batch(batch)
-        if n:
-            touched = batch.select("series_id").distinct()
-            stored = self._read("observations", OBSERVATIONS).join(touched, "series_id", "left_semi")
-            columns = [c.strip().split(" ")[0] for c in OBSERVATIONS.split(",")]
-            merged = upserted(stored.select(columns), batch.select(columns), order=F.col("fetched_at")).checkpoint()
-            merged.repartition("series_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("series_id").parquet(f"{self.path}/observations")
+        columns = [c.strip().split(" ")[0] for c in OBSERVATIONS.split(",")]
+        with scratch(self.spark):
+            batch = durable(batch.select(columns), "batch")
+            n = check_batch(batch)
+            if n:
+                series = sorted(r["series_id"] for r in batch.select("series_id").distinct().collect())  # a row a series
+                merged = upserted(self._read(set(series), OBSERVATIONS).select(columns), batch, order=F.col("fetched_at"))
+                version = uuid.uuid4().hex
+                merged.withColumn("_of", F.hex(F.encode("series_id", "UTF-8"))).repartition("_of").write.partitionBy("_of").parquet(f"{self.path}/versions/{version}")
+                written = {s: f"{version}/_of={s.encode().hex().upper()}" for s in series}
+                self._commit(written)
         return n
 
     def releases(self, release_id: int, upto=None) -> DataFrame:
         from tidemark.schemas import RELEASE_DATES
 
-        rows = self._read("release_dates", RELEASE_DATES).filter(F.col("release_id") == release_id)
+        rows = self._read({""}, RELEASE_DATES).filter(F.col("release_id") == release_id)
         return rows if upto is None else rows.filter(F.col("release_date") <= F.lit(upto).cast("date"))
 
     def upsert_releases(self, batch: DataFrame) -> int:
         from tidemark.schemas import RELEASE_DATES
 
-        new = release_upserted(self._read("release_dates", RELEASE_DATES), batch.select("release_id", "release_date")).checkpoint()
-        new.write.mode("overwrite").parquet(f"{self.path}/release_dates")
-        return batch.count()
+        with scratch(self.spark):
+            batch = durable(batch.select("release_id", "release_date"), "release-dates")
+            n = batch.count()
+            if n:
+                version = uuid.uuid4().hex
+                release_upserted(self._read({""}, RELEASE_DATES), batch).write.parquet(f"{self.path}/versions/{version}")
+                self._commit({"": version})
+        return n
+
+
+#: Parts that the dates of a series are dealt to, so that a few series keep many tasks busy.
+SPREAD = 8
 
 
 def at_origins(observed: DataFrame, origins: DataFrame, as_of: str = "as_of") -> DataFrame:
     """Every origin's snapshot of every series in one join: the series is an equality key, the window a range.
 
     `origins` needs the columns (series_id, as_of) and may carry more; it is small next to the observations, and
-    Spark broadcasts it where its measured size allows.
+    Spark broadcasts it where its measured size allows. Reference dates are dealt to parts, which are a second key.
     """
-    o, w = observed.alias("o"), origins.alias("w")
-    on = (F.col("o.series_id") == F.col("w.series_id")) & known_on(F.col(f"w.{as_of}"), "o.realtime_start", "o.realtime_end")
-    return o.join(w, on).select("o.*", *(f"w.{c}" for c in origins.columns if c != "series_id"))
+    part = F.pmod(F.xxhash64("obs_date"), F.lit(SPREAD))
+    o = observed.withColumn("_part", part).alias("o")
+    w = origins.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long")))).alias("w")
+    on = (F.col("o.series_id") == F.col("w.series_id")) & (F.col("o._part") == F.col("w._part")) & known_on(F.col(f"w.{as_of}"), "o.realtime_start", "o.realtime_end")
+    return o.join(w, on).select(*(f"o.{c}" for c in observed.columns), *(f"w.{c}" for c in origins.columns if c != "series_id"))

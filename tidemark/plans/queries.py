@@ -11,6 +11,7 @@ from tidemark.operators.design import CHANGE, LEVEL, TRAILING_MEAN, Term
 from tidemark.plans import backtest
 from tidemark.sources import derived
 from tidemark.sources.registry import registry, to_canonical, unit_label
+from tidemark.tables import durable
 
 TARGET, REGIME = derived.TARGET, derived.REGIME
 TERMS = (
@@ -26,7 +27,8 @@ NAIVE = ("random_walk", "mean_3m", "mean_6m", "drift")
 
 
 def _inputs(spark: SparkSession, sf_dir: str):
-    observed = derived.observations(spark, sf_dir)
+    """Observations, stored so that the order tables are read once; release dates; the registry."""
+    observed = durable(derived.observations(spark, sf_dir), "observations")
     return observed, derived.releases(observed), registry(spark, derived.SERIES)
 
 
@@ -47,6 +49,10 @@ def _panel(spark: SparkSession, sf_dir: str, shifted: bool = False) -> DataFrame
     return features.panel(observed, calendar, dimension)
 
 
+def _stored_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return durable(_panel(spark, sf_dir), "panel")
+
+
 def observations_vintages(spark, sf_dir):
     return _rounded(derived.observations(spark, sf_dir))
 
@@ -81,7 +87,8 @@ def trailing_mean(spark, sf_dir):
 
 
 def baseline_forecasts(spark, sf_dir):
-    return _rounded(backtest.forecasts(_panel(spark, sf_dir), TARGET, TERMS, REGIME, NAIVE))
+    made = backtest.attempts(_stored_panel(spark, sf_dir), TARGET, TERMS, REGIME, NAIVE, registry(spark, derived.SERIES))
+    return _rounded(made.filter("point is not null").select("origin", "target_month", "model", "point", "lower", "upper", "n_train"))
 
 
 def scorecard_baselines(spark, sf_dir):
@@ -93,7 +100,7 @@ def scorecard_lag_shifted(spark, sf_dir):
 
 
 def relative_mae(spark, sf_dir):
-    return _rounded(scoring.relative_mae(scoring.scorecard(_scored(spark, sf_dir)), "random_walk"))
+    return _rounded(scoring.relative_mae(scoring.scorecard(_scored(spark, sf_dir)), "random_walk", NAIVE))
 
 
 def attempted_scored(spark, sf_dir):
@@ -107,29 +114,71 @@ def significance(spark, sf_dir):
     return _rounded(scoring.diebold_mariano(scoring.paired(_scored(spark, sf_dir), "mean_3m")))
 
 
+def _design(spark, sf_dir, panel=None):
+    dimension = registry(spark, derived.SERIES)
+    return design.rows(_stored_panel(spark, sf_dir) if panel is None else panel, TERMS, TARGET, REGIME, ridge.LEAST_ROWS, backtest.lags_of(dimension))
+
+
 def design_matrix(spark, sf_dir):
-    rows = design.rows(_panel(spark, sf_dir), TERMS, TARGET, REGIME)
-    return _rounded(rows.withColumn("missing", F.array_join("missing", ",")))
+    return _rounded(_design(spark, sf_dir).drop("last_change", "skip_reason").withColumn("missing", F.array_join("missing", ",")))
 
 
-def _ridge(spark, sf_dir):
-    return ridge.forecasts(design.rows(_panel(spark, sf_dir), TERMS, TARGET, REGIME), TERMS)
+def _ridge(spark, sf_dir, panel=None):
+    return ridge.forecasts(_design(spark, sf_dir, panel), TERMS, backtest.units_of(registry(spark, derived.SERIES)))
 
 
 def ridge_forecasts(spark, sf_dir):
     return _rounded(_ridge(spark, sf_dir).drop("drivers"))
 
 
+def ridge_drivers(spark, sf_dir):
+    """Every term's value, weight and contribution in every forecast."""
+    made = _ridge(spark, sf_dir).filter("point is not null").select("origin", F.inline("drivers"))
+    return _rounded(made.select("origin", "name", "value", "coefficient", "contribution"))
+
+
 def ridge_scorecard(spark, sf_dir):
     return _rounded(scoring.scorecard(_scored(spark, sf_dir, models=(*NAIVE, "ridge"))))
 
 
+def model_skips(spark, sf_dir):
+    """Which model could not forecast how many origins, and why."""
+    observed, calendar, dimension = _inputs(spark, sf_dir)
+    return backtest.skips(backtest.outcomes(observed, calendar, dimension, TARGET, TERMS, REGIME, "vintage", (*NAIVE, "ridge")))
+
+
+def recent_average(spark, sf_dir):
+    moved = features.changes(_panel(spark, sf_dir).filter(F.col("series_id") == TARGET), ["origin"])
+    return _rounded(explain.recent_average(moved, REGIME))
+
+
+def months_available(spark, sf_dir):
+    panel = _stored_panel(spark, sf_dir)
+    return features.months_available(panel, features.changes(panel, ["origin", "series_id"]), TARGET)
+
+
+def default_as_of(spark, sf_dir):
+    return features.default_as_of(derived.observations(spark, sf_dir))
+
+
+def _explained(spark, sf_dir):
+    """Ridge forecasts of all origins explained, with the measured accuracy of ridge and of the six-month mean."""
+    observed, calendar, dimension = _inputs(spark, sf_dir)
+    panel = durable(features.panel(observed, calendar, dimension), "panel")
+    moved = durable(features.changes(panel, ["origin", "series_id"]), "changes")
+    made = durable(_ridge(spark, sf_dir, panel), "ridge")
+    recent = explain.recent_average(moved.filter(F.col("series_id") == TARGET), REGIME)
+    cards = scoring.scorecard(backtest.walk_forward(observed, calendar, dimension, TARGET, TERMS, REGIME, models=("mean_6m", "ridge")))
+    return explain.explained(made, REGIME, recent, explain.stale_inputs(panel, made, dimension, TARGET), explain.accuracy_of(cards, "mean_6m"), as_of=F.date_sub("origin", 1))
+
+
 def explanations(spark, sf_dir):
-    return explain.explained(_ridge(spark, sf_dir)).select("origin", "headline", "interval", "anchor", F.array_join("driver_sentences", "; ").alias("drivers"))
+    said = F.array_join(F.transform("statements", lambda d: d["sentence"]), " ").alias("drivers")
+    return _explained(spark, sf_dir).select("origin", "headline", "interval", "anchor", said, "comparison", "context", F.array_join("caveats", " ").alias("caveats"))
 
 
 def forecast_json(spark, sf_dir):
-    return explain.payload(_ridge(spark, sf_dir))
+    return explain.payload(_explained(spark, sf_dir), TARGET)
 
 
 def _as_batch(observed: DataFrame, day: str) -> DataFrame:
@@ -180,4 +229,4 @@ def history(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     observations_vintages, canonical_values, asof_panel, lag_shifted_panel, weekly_to_monthly, monthly_changes, trailing_mean, baseline_forecasts,
     scorecard_baselines, scorecard_lag_shifted, relative_mae, attempted_scored, significance, design_matrix, ridge_forecasts, ridge_scorecard,
-    explanations, forecast_json, upsert_observations, release_calendar, series_summary, store_violations, history)}
+    explanations, forecast_json, ridge_drivers, model_skips, recent_average, months_available, default_as_of, upsert_observations, release_calendar, series_summary, store_violations, history)}
