@@ -1,11 +1,13 @@
+import json
 from datetime import date
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.exceptions import ConfigurationError
 from tidemark.functions import columns as C
-from tidemark.operators import baselines, design, features, ridge
+from tidemark.operators import baselines, design, explain, features, ridge
 from tidemark.sources.registry import ids, lookup, registry, to_canonical
 
 
@@ -31,7 +33,7 @@ def test_gaps_are_skipped_and_not_bridged(spark):
 
 def test_changes_across_vintages_are_refused(spark):
     d = lambda x: F.lit(x).cast("date")
-    v = features.safe_change(F.lit(132281.0), F.lit(134588.0), (d("2026-02-04"), d("9999-12-31")), (d("2026-01-07"), d("2026-02-03")), d("2026-02-10"))
+    v = features.safe_change(F.lit(902.0), F.lit(871.5), (d("2026-02-04"), d("9999-12-31")), (d("2026-01-07"), d("2026-02-03")), d("2026-02-10"))
     with pytest.raises(Exception, match="different vintages"):
         one(spark, v)
     assert one(spark, features.safe_change(F.lit(3.0), F.lit(1.0), (d("2026-02-04"), d("9999-12-31")), (d("2026-02-04"), d("9999-12-31")), d("2026-02-10"))) == 2.0
@@ -87,15 +89,105 @@ def test_terms_may_not_look_ahead():
     design.check_terms(design.default_terms("T"), "T", {"T": 1, "ICSA": 0, "JTSJOL": 2})
 
 
-def test_ridge_algebra():
-    import numpy as np
-
-    rng = np.random.default_rng(1)
-    x = rng.normal(size=(60, 4))
-    y = x @ [2.0, -1.0, 0.5, -3.0] + 50
-    assert np.allclose(ridge.Fit(x, y, 0.0).predict(x), y)
-    small, large = (np.abs(ridge.Fit(x, y, a).coefficients).sum() for a in (0.1, 100.0))
-    assert large < small
-    assert ridge.splits(25) == [] and ridge.splits(35) == [(24, 26), (26, 28), (28, 30), (30, 32), (32, 34), (34, 35)]
-    fit = ridge.Fit(x, y, 1.0)
-    assert fit.contributions(x[0]).sum() + fit.intercept == pytest.approx(fit.predict(x[0])[0])
+def test_ridge_against_plain_algebra():
+    rng = np.random.default_rng(21)
+    x = rng.normal([5.0, -300.0, 0.01], [1.0, 20.0, 0.002], (47, 3))
+    y = x @ [1.5, 0.25, 700.0] + rng.normal(0, 3, 47)
+    penalties = (0.5, 4.0, 60.0)
+
+    def plain(n, a):  # one system of equations for each prefix and penalty
+        m, s = x[:n].mean(0), x[:n].std(0)
+        z = (x[:n] - m) / s
+        w = np.linalg.solve(z.T @ z + a * np.eye(3), z.T @ (y[:n] - y[:n].mean()))
+        return lambda v: y[:n].mean() + (v - m) / s @ w
+
+    table = [(24, 28), (28, 32), (32, 36), (36, 40), (40, 44), (44, 47)]
+    assert ridge.fold_table(47).tolist() == [list(t) for t in table] and len(ridge.fold_table(25)) == 0
+    errors = {a: np.concatenate([y[i:j] - plain(i, a)(x[i:j]) for i, j in table]) for a in penalties}
+    best = min(penalties, key=lambda a: (errors[a] ** 2).mean())
+    new = np.array([6.0, -280.0, 0.012])
+    got = ridge.forecast(x, y, new, penalties, 0.8)
+    assert got["penalty"] == best and got["point"] == pytest.approx(plain(47, best)(new))
+    assert [got["lower"] - got["point"], got["upper"] - got["point"]] == pytest.approx(list(np.quantile(errors[best], [0.1, 0.9])))
+    assert got["intercept"] + got["contributions"].sum() == pytest.approx(got["point"])
+    assert ridge.forecast(x, y, new, (0.0,), 0.8)["point"] == pytest.approx(plain(47, 0.0)(new))
+    with pytest.raises(ValueError):
+        ridge.forecast(x, y, new, (-1.0,), 0.8)
+    flat = np.c_[x, np.full(47, 3.0)]  # an input that never changes moves nothing
+    assert ridge.forecast(flat, y, np.r_[new, 3.0], penalties, 0.8)["point"] == pytest.approx(got["point"])
+
+
+def test_top_drivers_break_ties_by_place(spark):
+    d = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(c).alias("contribution")) for n, c in (("a", -2.0), ("b", 5.0), ("c", 2.0), ("d", 1.0))))
+    assert [x["name"] for x in one(spark, ridge.top_drivers(d, 3))] == ["b", "a", "c"]
+
+
+@pytest.mark.parametrize("n,word", [(8, "An"), (11, "An"), (18, "An"), (80, "An"), (89, "An"), (81, "An"), (90, "A"), (12, "A"), (95, "A")])
+def test_articles_of_numbers(spark, n, word):
+    assert one(spark, C.article(F.lit(n))) == word
+
+
+def test_quantities(spark):
+    assert one(spark, C.quantity(F.lit(12.3455), F.lit("thousands of persons"))) == "12,346"
+    assert one(spark, C.quantity(F.lit(4.25), F.lit("percent"))) == "4.2 percent"
+    assert one(spark, C.quantity(F.lit(1234.56), F.lit(""))) == "1,234.6"
+    assert one(spark, C.jobs_phrase(F.lit(None).cast("double"))) == "an unknown number of jobs"
+    assert one(spark, C.jobs_phrase(F.lit(-7.0), signed=False)) == "7,000 jobs"
+    assert one(spark, C.even(F.lit(3232.4999999999995))) == one(spark, C.even(F.lit(3232.5))) == 3232.0
+
+
+def test_two_values_of_one_date_are_refused(spark):
+    row = lambda v, d: ("UNRATE", date(2024, 1, 1), d, date(9999, 12, 31), v)
+    observed = spark.createDataFrame([row(4.0, date(2024, 2, 1)), row(4.1, date(2024, 2, 2))], "series_id string, obs_date date, realtime_start date, realtime_end date, value double")
+    origins = spark.createDataFrame([(date(2024, 3, 1),)], "origin date")
+    with pytest.raises(Exception, match="several values"):
+        features.panel(observed, origins, registry(spark)).collect()
+    assert features.default_as_of(observed).first()["as_of"] == date(2024, 2, 2)
+
+
+def explained(spark, **change):
+    row = dict(origin=date(2024, 5, 1), target_month=date(2024, 4, 1), model="ridge", point=50.0, lower=10.0, upper=95.0, interval_level=0.8, n_train=40, baseline_point=20.0,
+               drivers=[("a", "first thing", "thousands of persons", 200.0, 1.0, 30.0), ("b", "second thing", "percent", 4.0, 1.0, -9.0), ("c", "third thing", "", 1.0, 1.0, 0.4)]) | change
+    kinds = "origin date, target_month date, model string, point double, lower double, upper double, interval_level double, n_train int, baseline_point double, drivers array<struct<name: string, label: string, unit: string, value: double, coefficient: double, contribution: double>>"
+    return spark.createDataFrame([tuple(row[k.split(" ")[0]] for k in kinds.split(", ") if k.split(" ")[0] in row)], kinds)
+
+
+REGIME_2020 = ("2020-03-01", "2022-06-01")
+
+
+def test_explanations(spark):
+    recent = spark.createDataFrame([(date(2024, 5, 1), 5, 60.0)], "origin date, recent_n int, recent_average double")
+    stale = spark.createDataFrame([(date(2024, 5, 1), ["Openings (2 months behind)"])], "origin date, stale array<string>")
+    accuracy = spark.createDataFrame([("ridge", 91.0, 39, "mean_6m", 100.0)], "model string, measured_mae double, measured_n long, rival string, rival_mae double")
+    e = explain.explained(explained(spark), REGIME_2020, recent, stale, accuracy).first().asDict(recursive=True)
+    assert e["headline"] == "The next report should show a gain of 50,000 jobs for April 2024."
+    assert e["interval"] == "An 80% range goes from a gain of 10,000 jobs to a gain of 95,000 jobs."
+    assert e["anchor"].startswith("The average of the 40 months of training is a gain of 29,000 jobs")
+    assert [(d["name"], d["direction"]) for d in e["statements"]] == [("a", "raises"), ("b", "lowers")]
+    assert e["statements"][0]["sentence"] == "First thing is 200,000, which adds 30,000 jobs."
+    assert e["statements"][1]["sentence"] == "Second thing is 4.0 percent, which takes away 9,000 jobs."
+    assert e["comparison"] == "That is 30,000 jobs above last month's print of a gain of 20,000 jobs."
+    assert e["context"] == "The last 5 prints averaged a gain of 60,000 jobs; this forecast is below that. Made from data known on 2024-05-01."
+    assert len(e["caveats"]) == 5 and "not clearly better" in e["caveats"][0] and "Openings (2 months behind)" in e["caveats"][4] and "March 2020 to June 2022" in e["caveats"][3]
+    assert all(s in explain.text(e) for s in (e["headline"], e["comparison"], "Caveats:", "  First thing"))
+    better = explain.explained(explained(spark), REGIME_2020, accuracy=accuracy.withColumn("measured_mae", F.lit(89.0))).first()
+    assert "clearly better than" in better["caveats"][0] and "not clearly" not in better["caveats"][0]
+    alone = explain.explained(explained(spark), REGIME_2020, accuracy=accuracy.withColumn("rival_mae", F.lit(None).cast("double"))).first()
+    assert alone["caveats"][0].endswith("missed by 91,000 jobs on average.")
+
+
+def test_explanations_without_what_is_not_known(spark):
+    e = explain.explained(explained(spark, drivers=None, lower=None, upper=None, baseline_point=None, model="mean_3m"), REGIME_2020).first()
+    assert e["interval"] is None and e["statements"] == [] and "no range" in e["caveats"][1] and len(e["caveats"]) == 3
+    assert e["anchor"].startswith("The rule mean 3m") and e["context"] == "Made from data known on 2024-05-01." and "no month before" in e["comparison"] and "not been measured" in e["caveats"][0]
+    assert "repeats last month's print" in explain.explained(explained(spark, baseline_point=50.5), REGIME_2020).first()["comparison"]
+    with pytest.raises(Exception, match="add up"):
+        explain.explained(explained(spark, point=2e6), REGIME_2020).collect()
+    with pytest.raises(ValueError):
+        explain.explained(explained(spark), REGIME_2020, count=0)
+
+
+def test_json_payload(spark):
+    body = json.loads(explain.payload(explain.explained(explained(spark, lower=None), REGIME_2020), "T").first()["json"])
+    assert list(body) == ["series_id", "month", "as_of", "model", "point_thousands", "lower_thousands", "upper_thousands", "interval_level", "n_train", "baseline_point_thousands", "headline", "interval_statement", "context", "anchor", "drivers", "caveats"]
+    assert (body["series_id"], body["month"], body["lower_thousands"], body["interval_statement"], body["drivers"][0]["contribution"]) == ("T", "2024-04-01", None, None, 30.0)

@@ -17,11 +17,11 @@ def row(start, end, value, day=date(2026, 4, 1), series="A", fetched=NOW):
 
 @pytest.fixture
 def three(spark):
-    rows = [row(date(2026, 5, 8), date(2026, 6, 4), 135428.0), row(date(2026, 6, 5), date(2026, 7, 1), 135494.0), row(date(2026, 7, 2), OPEN, 135467.0)]
+    rows = [row(date(2026, 5, 8), date(2026, 6, 4), 811.0), row(date(2026, 6, 5), date(2026, 7, 1), 814.5), row(date(2026, 7, 2), OPEN, 809.25)]
     return spark.createDataFrame(rows, OBSERVATIONS)
 
 
-@pytest.mark.parametrize("day,value", [("2026-05-07", None), ("2026-05-08", 135428.0), ("2026-06-04", 135428.0), ("2026-06-05", 135494.0), ("2026-07-02", 135467.0)])
+@pytest.mark.parametrize("day,value", [("2026-05-07", None), ("2026-05-08", 811.0), ("2026-06-04", 811.0), ("2026-06-05", 814.5), ("2026-07-02", 809.25)])
 def test_both_ends_of_a_window_count(three, day, value):
     from pyspark.sql import functions as F
 
@@ -59,3 +59,43 @@ def test_release_dates_are_a_set(spark, tmp_path):
     s.upsert_releases(days)
     assert s.releases(194).count() == 2
     assert s.releases(194, "2026-01-31").count() == 1
+
+
+def test_a_write_that_fails_leaves_what_was_there(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path / "s"))
+    assert not s.exists() and s.observations().count() == 0 and s.upsert(spark.createDataFrame([], OBSERVATIONS)) == 0
+    s.upsert(spark.createDataFrame([row(date(2026, 5, 8), OPEN, 1.0), row(date(2026, 5, 8), OPEN, 5.0, series="B/x y")], OBSERVATIONS))
+    real = s._commit
+    s._commit = lambda changed: (_ for _ in ()).throw(RuntimeError("lost"))
+    with pytest.raises(RuntimeError):
+        s.upsert(spark.createDataFrame([row(date(2026, 5, 8), OPEN, 2.0)], OBSERVATIONS))
+    s._commit = real
+    assert s.observations("A").first()["value"] == 1.0 and s.observations("B/x y").first()["value"] == 5.0
+    for v in (2.0, 3.0, 4.0):
+        s.upsert(spark.createDataFrame([row(date(2026, 5, 8), OPEN, v)], OBSERVATIONS))
+    assert s.observations("A").first()["value"] == 4.0 and s.observations("B/x y").first()["value"] == 5.0 and s.observations().count() == 2
+    assert len(s._names(f"{s.path}/versions")) == 3  # this one, the one before, and that of the series that did not change
+
+
+def test_stream_of_batches(spark, tmp_path):
+    from tidemark.streaming import upsert_stream
+
+    s = store.Store(spark, str(tmp_path / "s"))
+    for i, v in enumerate((1.0, 2.0)):
+        spark.createDataFrame([row(date(2026, 5, 8 + i), OPEN, v)], OBSERVATIONS).write.mode("append").parquet(str(tmp_path / "in"))
+        query = upsert_stream(spark.readStream.schema(OBSERVATIONS).parquet(str(tmp_path / "in")), s, str(tmp_path / "check")).trigger(availableNow=True).start()
+        query.awaitTermination()
+    assert sorted(r["value"] for r in s.observations().collect()) == [1.0, 2.0]
+
+
+def test_actuals_are_of_the_release_day(spark):
+    from tidemark.plans import backtest
+    from tidemark.sources.registry import registry
+
+    d = lambda m, x=1: date(2024, m, x)
+    rows = [("ADPMNUSNERSA", d(1), d(2, 3), d(3, 2), 5000.0), ("ADPMNUSNERSA", d(1), d(3, 3), OPEN, 6000.0), ("ADPMNUSNERSA", d(2), d(3, 3), OPEN, 9000.0), ("ICSA", d(2), d(3, 3), OPEN, 1.0)]
+    observed = spark.createDataFrame(rows, "series_id string, obs_date date, realtime_start date, realtime_end date, value double")
+    wanted = spark.createDataFrame([(d(3, 3), d(2)), (d(2, 3), d(1))], "origin date, target_month date")
+    plan = backtest.actuals_at_release(observed, wanted, registry(spark), "ADPMNUSNERSA")
+    assert {r["origin"]: r["actual"] for r in plan.collect()} == {d(3, 3): 3.0, d(2, 3): None}
+    assert "NestedLoop" not in plan._jdf.queryExecution().toString()

@@ -105,14 +105,15 @@ def default_as_of(observed: DataFrame) -> DataFrame:
     return observed.groupBy("series_id").agg(F.max("realtime_start").alias("as_of"))
 
 
-def history(observed: DataFrame, last: int) -> DataFrame:
+def history(observed: DataFrame, last: int, current: bool = True) -> DataFrame:
     """The newest `last` rows of each series in today's values, each with its change from the row before it.
 
-    The row before, not the month before: a gap is shown as one step.
+    The row before, not the month before: a gap is shown as one step. current: keep today's values only; otherwise
+    `observed` is one snapshot already.
     """
     from tidemark.functions.columns import is_current
 
     w = Window.partitionBy("series_id").orderBy("obs_date")
     newest = Window.partitionBy("series_id").orderBy(F.desc("obs_date"))
-    rows = observed.filter(is_current()).withColumn("mom", F.col("value") - F.lag("value").over(w)).withColumn("_nth", F.row_number().over(newest))
+    rows = (observed.filter(is_current()) if current else observed).withColumn("mom", F.col("value") - F.lag("value").over(w)).withColumn("_nth", F.row_number().over(newest))
     return rows.filter(F.col("_nth") <= last).select("series_id", "obs_date", "value", "mom")

@@ -187,7 +187,7 @@ def _as_batch(observed: DataFrame, day: str) -> DataFrame:
 
 def upsert_observations(spark, sf_dir):
     """Two overlapping batches: the first ends every window it knows last, the second closes them; once more changes nothing."""
-    observed = derived.observations(spark, sf_dir).filter(F.col("series_id") != derived.WEEKLY)
+    observed = durable(derived.observations(spark, sf_dir), "observations")
     first = observed.filter("realtime_end < '9999-12-31'").withColumn("realtime_end", F.when(F.col("realtime_start") == F.max("realtime_start").over(_of_date()), F.lit("9999-12-31").cast("date")).otherwise(F.col("realtime_end")))
     stored = store.upserted(_as_batch(first, "2001-01-01"), _as_batch(observed, "2002-01-01"))
     again = store.upserted(stored, _as_batch(observed, "2002-01-01"))
@@ -223,7 +223,7 @@ def store_violations(spark, sf_dir):
 
 
 def history(spark, sf_dir):
-    return _rounded(features.history(derived.observations(spark, sf_dir).filter(F.col("series_id") != derived.WEEKLY), 12))
+    return _rounded(features.history(derived.observations(spark, sf_dir), 12))
 
 
 QUERIES = {f.__name__: f for f in (

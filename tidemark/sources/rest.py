@@ -7,6 +7,7 @@ never permanent ones. The key comes from an environment variable of the executor
 from __future__ import annotations
 
 import json
+import logging
 import os
 import random
 import time
@@ -22,6 +23,7 @@ from tidemark.functions.columns import value_of
 from tidemark.schemas import OBSERVATIONS, RELEASE_DATES
 from tidemark.sources.registry import EARLIEST, OPEN_END
 
+log = logging.getLogger("tidemark")
 PAGE = {"observations": 100_000, "release_dates": 10_000}
 PAYLOAD = "count int, offset int, limit int, observations array<struct<realtime_start: string, realtime_end: string, date: string, value: string>>"
 
@@ -42,9 +44,10 @@ def classify(status: int, body: str) -> X.IngestionError | None:
         return X.RateLimitError(text)
     if status >= 500:
         return X.TransientIngestionError(f"{status}: {text}")
-    if status == 400 and "api_key" in text:
+    said = text.lower().replace("_", " ")
+    if status == 400 and "api key" in said:
         return X.AuthenticationError(text)
-    if status == 400 and ("series" in text and ("exist" in text or "series_id" in text)):
+    if status == 400 and ("does not exist" in said or "series id" in said):
         return X.SeriesNotFoundError(text)
     return X.PermanentIngestionError(f"{status}: {text}")
 
@@ -77,10 +80,18 @@ def redacted(params: dict) -> dict:
     return {k: v for k, v in params.items() if k != "api_key"}
 
 
+def check_key(key: str) -> str:
+    """A key is 32 letters and digits."""
+    if len(key) != 32 or not (key.isascii() and key.isalnum()):
+        raise X.ConfigurationError("the API key is not 32 letters and digits")
+    return key
+
+
 def pages(get: Callable[[str, dict], tuple[int, str]], endpoint: str, field: str, params: dict, limit: int, **retry) -> Iterator[dict]:
     """Rows of all pages."""
     offset = 0
     while True:
+        log.debug("%s %s", endpoint, redacted(params | {"offset": offset}))
         body = with_retry(lambda: body_of(*get(endpoint, params | {"offset": offset, "limit": limit})), **retry)
         rows = body.get(field)
         if not isinstance(rows, list):
@@ -108,7 +119,7 @@ def day(text) -> date:
 
 
 def observation(row: dict, series_id: str, source: str, fetched: datetime, all_vintages: bool) -> tuple:
-    for need in ("date", "value"):
+    for need in ("date", "value", "realtime_start", *(("realtime_end",) if all_vintages else ())):
         if need not in row:
             raise X.ResponseValidationError(f"an observation has no {need}")
     end = day(row["realtime_end"]) if all_vintages else date.fromisoformat(OPEN_END)
@@ -146,13 +157,19 @@ class VintageReader(DataSourceReader):
 
     def read(self, partition):
         o = self.options
-        key = os.environ.get(o.get("key_variable", "VINTAGE_API_KEY"), "")
+        key = check_key(os.environ.get(o.get("key_variable", "VINTAGE_API_KEY"), ""))
         get = _get(o["base_url"], float(o.get("timeout", 15)))
         common = {"file_type": "json", "api_key": key}
         if o.get("table", "observations") == "release_dates":
             params = common | {"release_id": partition.key, "include_release_dates_with_no_data": "true"}
+            known = 0
             for row in pages(get, "release/dates", "release_dates", params, PAGE["release_dates"]):
+                if "date" not in row:
+                    raise X.ResponseValidationError("a release has no date")
+                known += 1
                 yield int(partition.key), day(row["date"])
+            if not known:
+                log.warning("no release dates for %s", partition.key)
             return
         everything = o.get("all_vintages", "true") == "true"
         params = common | {"series_id": partition.key, "sort_order": "asc"} | ({"realtime_start": EARLIEST, "realtime_end": OPEN_END} if everything else {})
