@@ -70,6 +70,7 @@ def scratch(spark: SparkSession) -> Iterator[Scope]:
         _open[:] = [p for p in _open if p is not paths]
         for path in paths:
             remove(spark, path)
+        spark._jvm.java.lang.System.gc()  # Spark removes shuffle files when the plans that wrote them are collected
 
 
 def fresh(name: str, *tables: DataFrame) -> str:
