@@ -193,7 +193,7 @@ def descend(p, total_at: Callable, prior: float | None, steps: int = STEPS):
                 gain, w, total, at, moved = at - new, w - size * step, there, new, True
                 break
             size /= 2
-        if not moved or gain < 1e-5:
+        if not moved or gain < 1e-3 * at:
             break
     return w
 
