@@ -48,7 +48,8 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     alone = F.col("group").isNull()
     first = F.min(F.struct(F.col("id").isNull().alias("a"), F.col("id").alias("b"), F.col("tie").alias("c"), "row"))
     kept = found.join(short, "row").groupBy("group", F.when(alone, F.col("id")).alias("id"), F.when(alone, F.col("blank")).alias("text")).agg(first.alias("first"))
-    return rows.join(kept.select(F.col("first.row").alias(row)), row, "left_semi").select(*docs.columns)
+    kept = durable(kept.select(F.col("first.row").alias(row)), "near-dedup-kept")  # so that its size decides the join
+    return rows.join(kept, row, "left_semi").select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

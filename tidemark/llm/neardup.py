@@ -9,12 +9,9 @@ similarity, however few shingles they have; the stored registers, which the esti
 
 Documents with equal sets are one node. In each band bucket a hub (the member that shares most buckets) is compared
 with every other member, and the links found are joined into components. Pairs inside a component cannot change it;
-only members of one bucket that are still in different components meet:
-
-* where a bucket has few members outside its largest component, those meet all its members;
-* members of other buckets meet where the rarest shingles of one are among the rarest of the other. Sets that are
-  similar enough must share one of those, so no pair is lost, and texts that share what is common and differ in what is
-  rare never meet, however many they are.
+only members of buckets that still hold different components meet, and they do so where the rarest shingles of one are
+among the rarest of the other. Sets that are similar enough must share one of those, so no pair is lost, and texts that
+share what is common and differ in what is rare never meet, however many they are.
 
 Work grows with the number of pairs that are nearly similar, not with the square of a bucket, and components lose no
 link between candidates.
@@ -44,7 +41,6 @@ MANTISSA = 10  # bits
 EMPTY = 0xFFFF
 BLOCK = 4096  # rows of a shared shingle that meet at once with so many others
 PART = 4096  # pairs of one hub that are joined with its registers or text at once
-LIGHT = 32  # members outside its largest component that meet a whole bucket; no pair depends on it
 SLOTS = 1 << 18  # counters of shingle frequencies
 ERRORS = 5  # standard errors below the threshold that the estimate lets pass
 
@@ -221,28 +217,12 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) ->
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
 
 
-def _mixed(placed: DataFrame) -> DataFrame:
-    """Members (band, node, n, component) of buckets with several components, with outside (not in the largest) and light."""
-    sizes = placed.groupBy("band", "component").agg(F.count(F.lit(1)).alias("c"))
-    bands = sizes.groupBy("band").agg(F.sum("c").alias("all"), F.max(F.struct("c", "component")).alias("most")).filter(F.col("all") > F.col("most.c"))
-    bands = bands.select("band", F.col("most.component").alias("largest"), (F.col("all") - F.col("most.c") <= LIGHT).alias("light"))
-    return placed.join(bands, "band").select("band", "node", "n", "component", (F.col("component") != F.col("largest")).alias("outside"), "light")
-
-
 def _similar_size(a: str, b: str, percent: int):
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def _met(light: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of each bucket's few members outside its largest component with all its members of others."""
-    x = light.filter("outside").select("band", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("of_b"))
-    y = light.select("band", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("of_a"), "outside")
-    once = ~F.col("outside") | (F.col("a") < F.col("b"))
-    return x.join(y, "band").filter((F.col("of_a") != F.col("of_b")) & once & _similar_size("n_a", "n_b", percent)).select("a", "b").distinct()
-
-
-def _rare(crowded: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Pairs (a, b) across components that may reach the threshold, of nodes (node, component) that meet in crowded buckets.
+def _rare(mixed: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Pairs (a, b) across components that may reach the threshold, of nodes (node, component).
 
     Each set is ordered from its rarest shingle to its most common; frequencies are counted in `SLOTS` slots of hashes,
     as any order that all sets share finds all pairs. Of two sets of sizes n <= m that share at least percent of their
@@ -252,7 +232,7 @@ def _rare(crowded: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
     """
     import numpy as np
 
-    rows = durable(texts.join(crowded, "node").select("node", "component", "text"), "crowded-texts")
+    rows = durable(texts.join(mixed, "node").select("node", "component", "text"), "mixed-texts")
 
     def count(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -320,21 +300,21 @@ def _grouped(docs: DataFrame, words: int, percent: int, id_col: str, text_col: s
     hubs = members.join(degree, "node").groupBy("band").agg(F.max(F.struct("degree", "node", "n")).alias("h")).select("band", F.col("h.node").alias("a"), F.col("h.n").alias("n_a"))
     stars = durable(members.join(hubs, "band").filter((F.col("a") != F.col("node")) & _similar_size("n", "n_a", percent)).select("a", F.col("node").alias("b")).distinct(), "stars")
 
-    # Found by id and hash of the text: an id may be missing or stand for many texts, and a text for many ids.
-    rep = nodes.join(degree.select("node"), "node", "left_semi").select("node", F.col("rep.id").alias("_rep"), F.col("rep.of_text").alias("_rep_text"))
+    met_nodes = durable(nodes.join(degree.select("node"), "node", "left_semi"), "met-nodes")
+    # Found by id and hash of the text: an id may be missing or stand for many texts, and a text for many ids. Stored, so
+    # that its size decides whether the texts must be shuffled to meet it.
+    rep = durable(met_nodes.select("node", F.col("rep.id").alias("_rep"), F.col("rep.of_text").alias("_rep_text")), "representatives")
     text = F.col(text_col).cast("string")
     whole = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_of_text"), text.alias("text"))
     texts = durable(_of_node(whole.join(rep, F.col("_id").eqNullSafe(F.col("_rep")) & (F.col("_of_text") == F.col("_rep_text"))).select("node", "text"), words), "texts")
 
-    links = durable(_confirmed(durable(_estimated(stars, nodes, percent), "near-stars"), texts, words, percent), "links")
+    links = durable(_confirmed(durable(_estimated(stars, met_nodes, percent), "near-stars"), texts, words, percent), "links")
     found = components(links)
     placed = members.join(found, "node", "left").select("band", "node", "n", F.coalesce("component", "node").alias("component"))
-    mixed = durable(_mixed(placed), "mixed")
-    crowded = durable(mixed.filter(~F.col("light")).select("node", "component").distinct(), "crowded")
-    met = _met(mixed.filter("light"), percent)
-    if crowded.limit(1).count():
-        met = met.union(_rare(crowded, texts, words, percent)).distinct()
-    pairs = durable(_estimated(durable(met, "met"), nodes, percent), "pairs")
+    several = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("band")
+    mixed = durable(placed.join(several, "band", "left_semi").select("node", "component").distinct(), "mixed")
+    met = _rare(mixed, texts, words, percent)
+    pairs = durable(_estimated(durable(met, "met"), met_nodes, percent), "pairs")
     more = durable(_confirmed(pairs, texts, words, percent), "links")
     if more.limit(1).count():
         found = components(links.union(more))
