@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -16,18 +17,44 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Bounds of an Arrow batch while a durable table is written: a Python worker and its executor hold a few batches at once,
+#: whatever the length of the texts in them.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2048, "spark.sql.execution.arrow.maxBytesPerBatch": 16 << 20}
+
 #: Paths written in each open scope, the innermost last.
 _open: list[list[str]] = []
 _path_of: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
+@contextmanager
+def _bounded(spark: SparkSession) -> Iterator[None]:
+    """The session's own bounds come back at the end; where they are tighter they stay."""
+    before = {name: spark.conf.get(name) for name in BATCH}
+    for name, most in BATCH.items():
+        if not 0 < bytes_of(before[name]) <= most:
+            spark.conf.set(name, str(most))
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+def bytes_of(setting: str) -> int:
+    """A number, with or without a unit such as `64MB`."""
+    number = setting.strip().lower().removesuffix("b")
+    power = "kmgt".find(number[-1:]) + 1 if number[-1:] else 0
+    return int(number[:-1] if power else number) << 10 * power
+
+
 def durable(df: DataFrame, name: str) -> DataFrame:
     """Write `df` below the shared folder and read it back: a lost executor loses nothing of it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
     if _open:
         _open[-1].append(path)
-    df.write.parquet(path)
+    with _bounded(spark):
+        df.write.parquet(path)
     found = spark.read.schema(df.schema).parquet(path)
     _path_of[found] = path
     return found
@@ -70,6 +97,7 @@ def scratch(spark: SparkSession) -> Iterator[Scope]:
         _open[:] = [p for p in _open if p is not paths]
         for path in paths:
             remove(spark, path)
+        gc.collect()
         spark._jvm.java.lang.System.gc()  # Spark removes shuffle files when the plans that wrote them are collected
 
 
