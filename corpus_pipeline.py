@@ -48,8 +48,8 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     alone = F.col("group").isNull()
     first = F.min(F.struct(F.col("id").isNull().alias("a"), F.col("id").alias("b"), F.col("tie").alias("c"), "row"))
     kept = found.join(short, "row").groupBy("group", F.when(alone, F.col("id")).alias("id"), F.when(alone, F.col("blank")).alias("text")).agg(first.alias("first"))
-    kept = durable(kept.select(F.col("first.row").alias(row)), "near-dedup-kept")  # so that its size decides the join
-    return rows.join(kept, row, "left_semi").select(*docs.columns)
+    kept = durable(kept.select(F.col("first.row").alias(row)), "near-dedup-kept")
+    return rows.join(kept.hint("merge"), row, "left_semi").select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +60,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     times = fresh("_times", rows)
     copies = mixing.mix(rows, WEIGHTS, MOST_EPOCHS, id_col=row, draw=draw).filter("copies > 0").select(row, F.sequence(F.lit(1).cast("long"), F.col("copies").cast("long")).alias(times))
     each = fresh("_copy", rows)
-    return rows.join(copies, row).withColumn(each, F.explode(times)).select(*docs.columns)
+    return rows.join(copies.hint("merge"), row).withColumn(each, F.explode(times)).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -171,12 +171,15 @@ def _bands(nodes: DataFrame) -> DataFrame:
 
 
 def _sided(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
-    """(a, b) with `column` of both nodes and n where the table has it. A hub's row is dealt to as many parts as its pairs need."""
+    """(a, b) with `column` of both nodes and n where the table has it. A hub's row is dealt to as many parts as its pairs need.
+
+    Joins that carry texts or registers are merged at every size: what is shuffled grows in proportion.
+    """
     side = lambda x: table.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in table.columns if c in (column, "n")))
     parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
     dealt = pairs.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts"))).drop("parts")
-    hubs = side("a").join(parts, "a").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
-    return dealt.join(side("b"), "b").join(hubs, ["a", "part"])
+    hubs = side("a").join(parts.hint("merge"), "a").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+    return dealt.join(side("b").hint("merge"), "b").join(hubs.hint("merge"), ["a", "part"])
 
 
 def _estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -232,7 +235,7 @@ def _rare(mixed: DataFrame, texts: DataFrame, words: int, percent: int) -> DataF
     """
     import numpy as np
 
-    rows = durable(texts.join(mixed, "node").select("node", "component", "text"), "mixed-texts")
+    rows = durable(texts.join(mixed.hint("merge"), "node").select("node", "component", "text"), "mixed-texts")
 
     def count(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -301,12 +304,11 @@ def _grouped(docs: DataFrame, words: int, percent: int, id_col: str, text_col: s
     stars = durable(members.join(hubs, "band").filter((F.col("a") != F.col("node")) & _similar_size("n", "n_a", percent)).select("a", F.col("node").alias("b")).distinct(), "stars")
 
     met_nodes = durable(nodes.join(degree.select("node"), "node", "left_semi"), "met-nodes")
-    # Found by id and hash of the text: an id may be missing or stand for many texts, and a text for many ids. Stored, so
-    # that its size decides whether the texts must be shuffled to meet it.
+    # Found by id and hash of the text: an id may be missing or stand for many texts, and a text for many ids.
     rep = durable(met_nodes.select("node", F.col("rep.id").alias("_rep"), F.col("rep.of_text").alias("_rep_text")), "representatives")
     text = F.col(text_col).cast("string")
     whole = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_of_text"), text.alias("text"))
-    texts = durable(_of_node(whole.join(rep, F.col("_id").eqNullSafe(F.col("_rep")) & (F.col("_of_text") == F.col("_rep_text"))).select("node", "text"), words), "texts")
+    texts = durable(_of_node(whole.join(rep.hint("merge"), F.col("_id").eqNullSafe(F.col("_rep")) & (F.col("_of_text") == F.col("_rep_text"))).select("node", "text"), words), "texts")
 
     links = durable(_confirmed(durable(_estimated(stars, met_nodes, percent), "near-stars"), texts, words, percent), "links")
     found = components(links)
