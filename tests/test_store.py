@@ -99,3 +99,13 @@ def test_actuals_are_of_the_release_day(spark):
     plan = backtest.actuals_at_release(observed, wanted, registry(spark), "ADPMNUSNERSA")
     assert {r["origin"]: r["actual"] for r in plan.collect()} == {d(3, 3): 3.0, d(2, 3): None}
     assert "NestedLoop" not in plan._jdf.queryExecution().toString()
+
+
+def test_bounds_of_arrow_batches_come_back(spark):
+    from tidemark.tables import BATCH, bytes_of, durable
+
+    assert [bytes_of(x) for x in ("10000", "67108864b", "64MB", "16k", "1g", "-1")] == [10000, 64 << 20, 64 << 20, 16 << 10, 1 << 30, -1]
+    before = {name: spark.conf.get(name) for name in BATCH}
+    sizes = durable(spark.range(5000, numPartitions=1).mapInArrow(lambda batches: (b.slice(0, 1) for b in batches), "id long"), "sizes")
+    assert sizes.count() >= 3
+    assert {name: spark.conf.get(name) for name in BATCH} == before
