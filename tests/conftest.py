@@ -7,6 +7,7 @@ import pytest
 ROOT = str(Path(__file__).resolve().parent.parent)
 sys.path.insert(0, ROOT)
 os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
+os.environ["VINTAGE_API_KEY"] = "0a" * 16  # executors take it from the environment that Spark starts with
 
 
 @pytest.fixture(scope="session")
