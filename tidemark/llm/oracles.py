@@ -70,4 +70,46 @@ bits AS (SELECT *, (n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_w
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & 3) <> 0 AS base_failed, failed = 0 AS kept, failed::BIGINT AS failed FROM bits
 """
 
-ORACLES = {"op4_url_filters": OP4, "op6_chat_formatting": OP6, "op8_minhash_near_dedup": OP8, "op9_quality_rules": OP9}
+_CRC = "xor(list_reduce([4294967295::BIGINT] || {0}, lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"
+
+
+def _crc32(text: str) -> str:
+    """Unsigned crc32 of UTF-8 bytes, bit by bit."""
+    return _CRC.format(f"list_transform(range(0, strlen({text})), lambda i: 16 * (strpos('0123456789ABCDEF', hex({text})[2 * i + 1]) - 1) + strpos('0123456789ABCDEF', hex({text})[2 * i + 2]) - 1)")
+
+
+OP12 = rf"""
+WITH said AS (SELECT doc_id, regexp_extract_all({_letters("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+wanted AS (SELECT unnest(regexp_extract_all({_letters("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS f FROM benchmark),
+own AS (SELECT doc_id, f, count(*) AS k FROM (SELECT doc_id, unnest(w) AS f FROM said) GROUP BY ALL),
+names AS (SELECT f, {_crc32("f")} % 10000 AS bucket FROM (SELECT f FROM own UNION SELECT f FROM wanted)),
+s AS (SELECT bucket, sum(k) AS s FROM own JOIN names USING (f) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM wanted JOIN names USING (f) GROUP BY bucket),
+gains AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(s), 0) FROM s) + 10000)::DOUBLE / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(t), 0) FROM t) + 10000)::DOUBLE)))::BIGINT AS gain FROM s FULL JOIN t USING (bucket)),
+weighed AS (SELECT doc_id, sum(k) AS n, sum(k * gain) AS g FROM own JOIN names USING (f) JOIN gains USING (bucket) GROUP BY doc_id),
+scored AS (SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_features, coalesce(floor(g / n), 0)::BIGINT AS weight,
+  floor(-1000 * ln(-ln(((('0x' || sha256('2024:' || d.doc_id)[1:8])::BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS noise FROM documents d LEFT JOIN weighed w ON w.doc_id = d.doc_id),
+ranked AS (SELECT doc_id, row_number() OVER (ORDER BY weight + noise DESC, doc_id) AS r, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+SELECT s.doc_id, n_features, weight, weight + noise AS score, r AS rank FROM scored s LEFT JOIN ranked ON ranked.doc_id = s.doc_id AND r <= n * 10 // 100
+"""
+
+_TURN = "sha256(strlen(role) || ':' || role || text)"
+
+OP13 = f"""
+WITH said AS (SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+turns AS (SELECT c, role, text, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, {_TURN}) AS p FROM said),
+convs AS (SELECT c, {_crc32("c::VARCHAR")} % 9 AS h FROM (SELECT DISTINCT c FROM said)),
+taken AS (SELECT v.c, v.h, count(t.p) AS k FROM convs v LEFT JOIN turns t ON t.c = v.c - v.c % 5 AND t.p <= v.h GROUP BY ALL),
+made AS (SELECT v.c, t.p AS d, role, text FROM convs v JOIN turns t ON t.c = v.c - v.c % 5 AND t.p <= v.h
+  UNION ALL SELECT v.c, k + t.p - h, role, text FROM taken v JOIN turns t ON t.c = v.c AND t.p > v.h),
+paths AS (SELECT c, d, strlen(text) AS bytes, string_agg({_TURN}, '') OVER (PARTITION BY c ORDER BY d) AS path FROM made UNION ALL SELECT c, 0, 0, '' FROM convs),
+nodes AS (SELECT path, d, min(c) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes FROM paths GROUP BY ALL),
+ends AS (SELECT path, string_agg(c::VARCHAR, ',' ORDER BY c) AS ends FROM (SELECT c, arg_max(path, d) AS path FROM paths GROUP BY c) GROUP BY path),
+inner_ones AS (SELECT path[:length(path) - 64] AS path, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL),
+below AS (SELECT path[:64 * k] AS path, sum((n_convs - 1) * bytes) AS saved, count(*) FILTER (i.path IS NULL) AS leaves
+  FROM (SELECT n.*, unnest(range(0, d + 1)) AS k FROM nodes n) n LEFT JOIN inner_ones i USING (path) GROUP BY ALL)
+SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(i.n, 0) AS n_children, b.leaves AS n_leaves, b.saved::BIGINT AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+FROM nodes n JOIN below b ON b.path = n.path LEFT JOIN nodes p ON n.d > 0 AND p.path = n.path[:length(n.path) - 64] LEFT JOIN inner_ones i ON i.path = n.path LEFT JOIN ends e ON e.path = n.path
+"""
+
+ORACLES = {"op4_url_filters": OP4, "op6_chat_formatting": OP6, "op8_minhash_near_dedup": OP8, "op9_quality_rules": OP9, "op12_importance_resampling": OP12, "op13_prefix_trie": OP13}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, classifier, media, mixing, neardup, packing, quality_rules, sharding, token_counts, url_filter
+from tidemark.llm import chat, classifier, language, media, mixing, neardup, packing, quality_rules, resampling, sharding, token_counts, trie, url_filter
 from tidemark.llm.common import durable, read, scratch
 
 #: Parameters that the queries fix.
@@ -17,6 +17,9 @@ WEIGHTS = (5, 2, 1)
 MOST_EPOCHS = 3
 POLICY = "v2"
 ACCEPT = 0.7
+DRAWN_PERCENT, LEAST_WORDS, GAIN_BUCKETS, DRAW_SEED = 10, 20, 10_000, 2024
+#: Conversations start with turns of the one whose number is the next multiple of the first below, fewer than the second.
+GRAFT = (5, 9)
 URL_RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
 #: Hosts that are blocked with all their subdomains; they name no rule.
 LISTED_HOSTS = ("spam-farm.example.org", "cheap-pills.example.com")
@@ -75,4 +78,17 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_token_counts, op3_best_fit_packing, op4_url_filters, op5_sharding, op6_chat_formatting, op7_media_columns, op8_minhash_near_dedup, op9_quality_rules, op10_mixing)}
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return language.identify(docs, language.train(docs))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), DRAWN_PERCENT, LEAST_WORDS, GAIN_BUCKETS, 1, DRAW_SEED)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(read(spark, sf_dir, "conversations"), GRAFT)
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_token_counts, op3_best_fit_packing, op4_url_filters, op5_sharding, op6_chat_formatting, op7_media_columns, op8_minhash_near_dedup, op9_quality_rules, op10_mixing, op11_language_id, op12_importance_resampling, op13_prefix_trie)}
