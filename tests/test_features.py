@@ -39,11 +39,63 @@ def test_changes_across_vintages_are_refused(spark):
     assert one(spark, features.safe_change(F.lit(3.0), F.lit(1.0), (d("2026-02-04"), d("9999-12-31")), (d("2026-02-04"), d("9999-12-31")), d("2026-02-10"))) == 2.0
 
 
+def test_changes_hold_windows_against_the_snapshot(spark):
+    d = date
+    columns = "series_id string, month date, value double, realtime_start date, realtime_end date, as_of date"
+    rows = lambda end, start, day: spark.createDataFrame([("S", d(2026, 1, 1), 1.0, d(2026, 1, 9), end, day), ("S", d(2026, 2, 1), 4.0, start, d(9999, 12, 31), day)], columns)
+    good = features.changes(rows(d(2026, 3, 1), d(2026, 2, 9), d(2026, 2, 20)), ["series_id"], "as_of").collect()
+    assert [(r["change"], r["level"], r["previous_level"]) for r in good] == [(3.0, 4.0, 1.0)]
+    with pytest.raises(Exception, match="different vintages"):
+        features.changes(rows(d(2026, 2, 1), d(2026, 2, 9), d(2026, 2, 20)), ["series_id"]).collect()
+    with pytest.raises(Exception, match="not of this snapshot"):
+        features.changes(rows(d(2026, 3, 1), d(2026, 2, 9), d(2026, 3, 20)), ["series_id"], "as_of").collect()
+
+
 @pytest.mark.parametrize("t,df", [(12.706, 1), (4.303, 2), (3.182, 3), (2.228, 10), (2.086, 20), (2.024, 38), (2.0227, 39)])
 def test_published_critical_values(spark, t, df):
     assert one(spark, C.two_sided_p(F.lit(t), F.lit(df))) == pytest.approx(0.05, abs=1e-3)
 
 
+def test_p_for_any_degrees_of_freedom(spark):
+    """Against the finite series at whole numbers, and a plain integral of the density at others."""
+    import math
+
+    ts, dfs = [0.0, 0.3, 1.1, 2.7, 6.0, -2.7], [1, 2, 3, 8, 39, 250]
+    pairs = spark.createDataFrame([(t, n) for t in ts for n in dfs], "t double, n int")
+    for r in pairs.select("t", "n", C.two_sided_p("t", "n").alias("a"), C.two_sided_p_any("t", "n").alias("b")).collect():
+        assert r["b"] == pytest.approx(r["a"], abs=1e-10), r
+
+    def integral(t, n, steps=200_000):
+        c = math.exp(math.lgamma((n + 1) / 2) - math.lgamma(n / 2)) / math.sqrt(n * math.pi)
+        f = lambda x: c * (1 + x * x / n) ** (-(n + 1) / 2)
+        h = t / steps
+        return 1 - 2 * h / 3 * (f(0) + f(t) + 4 * sum(f((2 * i - 1) * h) for i in range(1, steps // 2 + 1)) + 2 * sum(f(2 * i * h) for i in range(1, steps // 2)))
+
+    for t, n in ((1.4, 2.5), (3.3, 2.5), (0.6, 0.7), (2.0, 17.25)):
+        assert one(spark, C.two_sided_p_any(F.lit(t), F.lit(n))) == pytest.approx(integral(t, n), abs=1e-9)
+    assert one(spark, C.two_sided_p_any(F.lit(None).cast("double"), F.lit(2.5))) is None
+    for z in (0.05, 0.5, 1.0, 3.7, 40.0):
+        assert one(spark, C.log_gamma(F.lit(z))) == pytest.approx(math.lgamma(z), abs=1e-10)
+
+
+def test_scores_need_forecasts_actuals_and_the_same_origins(spark):
+    from tidemark.exceptions import InsufficientDataError
+    from tidemark.operators import scoring
+
+    columns = "origin date, model string, point double, lower double, upper double, actual double"
+    table = lambda *rows: spark.createDataFrame([(date(2026, m, 1), name, p, None, None, a) for m, name, p, a in rows], columns)
+    good = [(m, name, 1.0 * m, 2.0) for m in (1, 2, 3) for name in "xy"]
+    assert scoring.checked(table(*good), ["x", "y"]).count() == 6
+    assert sorted((r["rival"], r["e_model"], r["e_rival"]) for r in scoring.paired(table(*good, (4, "y", 9.0, 1.0)), "x").collect()) == [("y", e, e) for e in (-1.0, 0.0, 1.0)]
+    for rows, models, kind, said in (
+        ([], [], InsufficientDataError, "no forecasts"), (good, ["x", "z"], InsufficientDataError, "for z"), ([*good, (4, "x", 1.0, None)], [], ValueError, "no actual"),
+        ([*good, (1, "x", 3.0, 2.0)], [], ValueError, "4 forecasts of 3 origins"), ([*good, (4, "x", 3.0, 2.0)], [], ValueError, "same origins"), ([*good[:-1], (4, "y", 3.0, 2.0)], [], ValueError, "same origins")):
+        with pytest.raises(kind, match=said):
+            scoring.checked(table(*rows), models)
+    with pytest.raises(ValueError, match="one step ahead"):
+        scoring.diebold_mariano(scoring.paired(table(*good), "x"), horizon=2)
+
+
 def test_values_and_phrases(spark):
     assert one(spark, C.value_of(F.lit(" . "))) is None
     assert one(spark, C.value_of(F.lit("1.5"))) == 1.5

@@ -27,6 +27,17 @@ def test_same_rows_as_sql(spark, con, name):
     assert sorted(str(tuple(dict(zip(names, r, strict=True))[c] for c in columns)) for r in result.fetchall()) == ours
 
 
+@pytest.mark.parametrize("name", ["significance", "explanations", "asof_panel", "stored_revisions", "history"])
+def test_a_query_leaves_its_result_at_most(spark, name):
+    from pathlib import Path
+
+    folder = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(folder.iterdir())
+    df = QUERIES[name](spark, "/root/testdata/sf0.001")
+    left = set(folder.iterdir()) - before
+    assert len(left) == (name != "history") and df.columns
+
+
 def test_ridge_contributions_add_up(spark):
     from pyspark.sql import functions as F
 

@@ -18,10 +18,10 @@ from pyspark.sql import functions as F
 from tidemark.exceptions import TidemarkError
 from tidemark.operators import baselines, explain, features, ridge, scoring
 from tidemark.operators.design import default_terms, rows
-from tidemark.operators.store import Store
+from tidemark.operators.store import Store, batch_report, refusal
 from tidemark.plans import backtest
 from tidemark.sources.registry import INGEST_START, REGIME, RELEASE_ID, ids, lookup, registry
-from tidemark.tables import durable, scratch
+from tidemark.tables import durable, scratch, tidy
 
 log = logging.getLogger("tidemark")
 #: The naive model that accuracy is measured against.
@@ -33,28 +33,31 @@ TITLES = {
 
 
 def ingest(spark: SparkSession, store: Store, base_url: str, series: list[str] | None = None) -> dict[str, str]:
-    """One write a series; a series that fails doesn't stop the others, nor do release dates. What was done, by series."""
+    """All series by one read and one write. What was done, by series: a series that fails doesn't stop the others, nor do release dates."""
     from tidemark.sources.rest import VintageSource
 
     spark.dataSource.register(VintageSource)
-    done: dict[str, str] = {}
-    read = lambda **o: spark.read.format("vintages").options(base_url=base_url, **o).load()
-    for name in series or ids():
-        try:
-            n = store.upsert(read(keys=name, start=INGEST_START))
-            newest = store.observations(name).agg(F.max("obs_date")).first()[0]
-            done[name] = f"{n} rows through {newest}"
-        except Exception as e:  # noqa: BLE001  reported for each series
-            log.warning("%s: %s", name, e)
-            done[name] = f"failed: {str(e)[:200]}"
-    try:
-        done["release_dates"] = f"{store.upsert_releases(read(keys=str(RELEASE_ID), table='release_dates'))} dates"
-    except Exception as e:  # noqa: BLE001
-        log.warning("release dates: %s", e)
-        done["release_dates"] = f"failed: {str(e)[:200]}"
+    names = series or ids()
+    read = lambda **o: spark.read.format("vintages").options(base_url=base_url, errors="rows", **o).load()
+    with scratch(spark):
+        got = durable(read(keys=",".join(names), start=INGEST_START), "ingested")
+        reports = {r["series_id"]: r for r in batch_report(got.filter("error is null"), "series_id").collect()}  # a row a series
+        failed = {r["series_id"]: r["error"] for r in got.filter("error is not null").groupBy("series_id").agg(F.min("error").alias("error")).collect()}
+        failed |= {name: why for name, r in reports.items() if name not in failed and (why := refusal(r))}
+        good = [name for name in names if name not in failed]
+        store.upsert(got.filter(F.col("error").isNull() & F.col("series_id").isin(good)))
+        newest = {r["series_id"]: r["d"] for r in store.observations(good).groupBy("series_id").agg(F.max("obs_date").alias("d")).collect()}
+        done = {name: f"failed: {failed[name][:200]}" if name in failed else f"{reports[name]['n_rows'] if name in reports else 0} rows through {newest.get(name)}" for name in names}
+        days = durable(read(keys=str(RELEASE_ID), table="release_dates"), "ingested-dates")
+        wrong = days.agg(F.min("error")).first()[0]
+        done["release_dates"] = f"failed: {wrong[:200]}" if wrong else f"{store.upsert_releases(days)} dates"
+    for name, said in done.items():
+        if said.startswith("failed"):
+            log.warning("%s: %s", name, said)
     return done
 
 
+@tidy
 def forecast(spark: SparkSession, store: Store, today: str, model: str, with_accuracy: bool = False, level: float = 0.8) -> DataFrame:
     """The explained forecast as of `today` for the month after the newest known one; no row where there is none."""
     backtest.check_models([model])
@@ -90,6 +93,7 @@ def scorecard_lines(spark: SparkSession, store: Store, today: str, scorecard: st
     lines = [TITLES[scorecard], f"origins attempted: {n}, scored by all models: {kept}, dropped: {n - kept}"]
     if kept:
         lines.append(f"period: {first} to {last}")
+        scoring.checked(scored, backtest.MODELS)
         cards = {r["model"]: r for r in scoring.scorecard(scored, nominal=level).collect()}  # a row a model
         lines.append(f"{'model':14}{'n':>5}{'MAE':>10}{'RMSE':>10}{'bias':>10}{'dir%':>7}{'cover':>7}{'gap':>7}{'width':>10}")
         share = lambda x, sign="": "-" if x is None else f"{100 * x:{sign}.0f}%"

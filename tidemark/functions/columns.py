@@ -87,6 +87,45 @@ def direction(contribution) -> Column:
     return F.when(c > 0.5, F.lit("raises")).when(c < -0.5, F.lit("lowers")).otherwise(F.lit("neutral"))
 
 
+def log_gamma(z) -> Column:
+    """ln of the gamma function for z > 0: Stirling's series eight steps up, less the logarithms of the steps."""
+    z = _col(z).cast("double")
+    up = z + 8.0
+    series = 1 / (12 * up) - 1 / (360 * up**3) + 1 / (1260 * up**5) - 1 / (1680 * up**7)
+    steps = sum((F.log(z + float(k)) for k in range(1, 8)), F.log(z))
+    return (up - 0.5) * F.log(up) - up + 0.9189385332046728 + series - steps  # half the logarithm of 2 pi
+
+
+def incomplete_beta(x, a, b, steps: int = 200) -> Column:
+    """The regularised incomplete beta function for x between 0 and 1, by its continued fraction, summed from its far end.
+
+    The fraction converges where x < (a + 1) / (a + b + 2); elsewhere the complement is taken.
+    """
+    x, a, b = (_col(c).cast("double") for c in (x, a, b))
+    front = F.exp(log_gamma(a + b) - log_gamma(a) - log_gamma(b))
+    near = x < (a + 1) / (a + b + 2)
+
+    def tail(x: Column, a: Column, b: Column) -> Column:
+        def term(m: Column) -> Column:
+            """The m-th partial numerator, m from 1."""
+            k = F.floor(m / 2).cast("double")
+            even = k * (b - k) * x / ((a + 2 * k - 1) * (a + 2 * k))
+            odd = -(a + k) * (a + b + k) * x / ((a + 2 * k) * (a + 2 * k + 1))
+            return F.when(m % 2 == 0, even).otherwise(odd)
+
+        far = F.aggregate(F.sequence(F.lit(steps), F.lit(1)), F.lit(1.0), lambda acc, m: 1.0 + term(m) / acc)
+        return front * F.pow(x, a) * F.pow(1 - x, b) / (a * far)
+
+    inner = F.when(near, tail(x, a, b)).otherwise(1.0 - tail(1 - x, b, a))
+    return F.when(x <= 0, F.lit(0.0)).when(x >= 1, F.lit(1.0)).otherwise(inner)
+
+
+def two_sided_p_any(statistic, df) -> Column:
+    """Two-sided p of Student's t with any positive degrees of freedom."""
+    t, n = _col(statistic).cast("double"), _col(df).cast("double")
+    return incomplete_beta(n / (n + t * t), n / 2, F.lit(0.5))
+
+
 def two_sided_p(statistic, df) -> Column:
     """Two-sided p of Student's t with whole degrees of freedom, by the finite trigonometric series.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import excluded
@@ -13,7 +13,7 @@ Z80 = 1.2816
 MINIMUM = {"random_walk": 2, "mean_3m": 3, "mean_6m": 6, "drift": 3}
 
 
-def forecasts(target_changes: DataFrame, regime: tuple[str, str], keys: tuple[str, ...] = ("origin",)) -> DataFrame:
+def forecasts(target_changes: DataFrame, regime: tuple[str, str], keys: tuple[str, ...] = ("origin",), target_month: Column | None = None) -> DataFrame:
     """(keys, target_month, model, point, lower, upper, n_train, baseline_point) from (keys, month, change).
 
     Months of the excluded regime are taken out and the rest counts as contiguous. A rule's forecast for row i uses the
@@ -23,7 +23,7 @@ def forecasts(target_changes: DataFrame, regime: tuple[str, str], keys: tuple[st
     k = list(keys)
     newest = F.max("month").over(Window.partitionBy(*k))
     own = F.struct("month", "change", F.lit(False).alias("_next"))
-    added = F.struct(F.add_months("month", 1).alias("month"), F.lit(None).cast("double").alias("change"), F.lit(True).alias("_next"))
+    added = F.struct((F.add_months("month", 1) if target_month is None else target_month).alias("month"), F.lit(None).cast("double").alias("change"), F.lit(True).alias("_next"))
     each = F.when(F.col("month") == F.col("_newest"), F.array(own, added)).otherwise(F.array(own))
     usable = target_changes.withColumn("_newest", newest).select(*k, F.inline(each)).filter(F.col("_next") | ~excluded("month", regime))
     w = Window.partitionBy(*k).orderBy("_next", "month")

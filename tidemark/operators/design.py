@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.exceptions import ConfigurationError
@@ -33,16 +33,16 @@ class Term:
 def default_terms(target: str) -> tuple[Term, ...]:
     """The default terms, in order, for the registry's series (fixed values: series, transform and lag)."""
     return (
-        Term("target_trailing_mean_12", target, TRAILING_MEAN, 1, "average change over the past year"),
-        Term("target_change_lag1", target, CHANGE, 1, "change last month"),
-        Term("target_change_lag2", target, CHANGE, 2, "change two months ago"),
-        Term("target_change_lag3", target, CHANGE, 3, "change three months ago"),
-        Term("icsa_level", "ICSA", LEVEL, 0, "initial claims this month"),
-        Term("icsa_change", "ICSA", CHANGE, 0, "initial claims change this month"),
-        Term("ccsa_change", "CCSA", CHANGE, 0, "continued claims change this month"),
-        Term("usprv_change", "USPRIV", CHANGE, 1, "official payrolls change last month"),
-        Term("unrate_change", "UNRATE", CHANGE, 1, "unemployment rate change last month"),
-        Term("jolts_change", "JTSJOL", CHANGE, 2, "job openings change two months ago"),
+        Term("target_trailing_mean_12", target, TRAILING_MEAN, 1, "its own mean change of twelve months"),
+        Term("target_change_lag1", target, CHANGE, 1, "its own latest change"),
+        Term("target_change_lag2", target, CHANGE, 2, "its own change one month earlier"),
+        Term("target_change_lag3", target, CHANGE, 3, "its own change two months earlier"),
+        Term("icsa_level", "ICSA", LEVEL, 0, "new claims"),
+        Term("icsa_change", "ICSA", CHANGE, 0, "step in new claims"),
+        Term("ccsa_change", "CCSA", CHANGE, 0, "step in standing claims"),
+        Term("usprv_change", "USPRIV", CHANGE, 1, "step in official private jobs"),
+        Term("unrate_change", "UNRATE", CHANGE, 1, "step in the jobless rate"),
+        Term("jolts_change", "JTSJOL", CHANGE, 2, "step in open positions"),
     )
 
 
@@ -71,7 +71,7 @@ def trailing_mean(target_changes: DataFrame, window: int, least: int, regime: tu
     return target_changes.select(*keys, "month", F.when(F.count(clean).over(w) >= least, F.avg(clean).over(w)).alias("trailing"))
 
 
-def rows(panel: DataFrame, terms: Sequence[Term], target: str, regime: tuple[str, str], min_samples: int = 24, lags: dict[str, int] | None = None, moved: DataFrame | None = None) -> DataFrame:
+def rows(panel: DataFrame, terms: Sequence[Term], target: str, regime: tuple[str, str], min_samples: int = 24, lags: dict[str, int] | None = None, moved: DataFrame | None = None, target_month: Column | None = None) -> DataFrame:
     """(origin, month, is_next, y, a column a term, status, missing, n_ok, last_change, skip_reason).
 
     status: `ok`, `excluded` (the target month or a month that a level or change term reads is in the regime) or
@@ -79,14 +79,15 @@ def rows(panel: DataFrame, terms: Sequence[Term], target: str, regime: tuple[str
     against the regime. n_ok counts the origin's complete training rows, last_change is its newest change outside the
     regime. skip_reason says why the origin cannot be used: fewer than min_samples complete rows, or a term without a
     value for the row to predict. lags: publication lags by series, which no term may undercut. moved: the panel's
-    changes, where they are there already.
+    changes, where they are there already. target_month: of the row to predict, from the origin; the month after the
+    newest change where it is not given.
     """
     check_terms(terms, target, lags or {})
     keyed = ["origin", "series_id"]
     moved = changes(panel, keyed) if moved is None else moved
     of_target = moved.filter(F.col("series_id") == target).select("origin", "month", "change")
     own = F.struct("month", F.col("change").alias("y"), F.lit(False).alias("is_next"))
-    added = F.struct(F.add_months("month", 1).alias("month"), F.lit(None).cast("double").alias("y"), F.lit(True).alias("is_next"))
+    added = F.struct((F.add_months("month", 1) if target_month is None else target_month).alias("month"), F.lit(None).cast("double").alias("y"), F.lit(True).alias("is_next"))
     newest = of_target.withColumn("_newest", F.max("month").over(Window.partitionBy("origin")))
     wide = newest.select("origin", F.inline(F.when(F.col("month") == F.col("_newest"), F.array(own, added)).otherwise(F.array(own))))
     used = F.col("series_id").isin(*{t.series_id for t in terms})

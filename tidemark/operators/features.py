@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import month_of, overlaps
+from tidemark.functions.columns import is_current, month_of, overlaps
 from tidemark.operators.store import at_origins
 
 #: Aggregations of the weeks of a month, by name.
@@ -28,15 +28,25 @@ def passed_through(observed: DataFrame, keys: list[str]) -> DataFrame:
     return observed.select(*keys, month_of("obs_date").alias("month"), "value", F.col("value").isNotNull().cast("int").alias("weeks_used"))
 
 
-def changes(levels: DataFrame, keys: list[str]) -> DataFrame:
+def changes(levels: DataFrame, keys: list[str], as_of: str | None = None) -> DataFrame:
     """(keys, month, change, level, previous_level): months whose previous month is there and both have values.
 
-    A gap is skipped and never bridged. `keys` name one snapshot of one series, so no change crosses vintages.
+    A gap is skipped and never bridged. `keys` name one snapshot of one series, so no change crosses vintages. Levels that
+    carry their windows (realtime_start, realtime_end) are held against that: two levels whose windows don't
+    overlap, or one that was not known on the column `as_of` where it is given, are an error.
     """
     w = Window.partitionBy(*keys).orderBy("month")
-    before = levels.select(*keys, "month", F.col("value").alias("level"), F.lag("value").over(w).alias("previous_level"), F.lag("month").over(w).alias("_previous"))
+    before = lambda c: F.lag(c).over(w)
+    columns = [*keys, "month", F.col("value").alias("level"), before("value").alias("previous_level"), before("month").alias("_previous")]
+    change = F.col("level") - F.col("previous_level")
+    if "realtime_start" in levels.columns:
+        ends = ["realtime_start", "realtime_end"]
+        columns += [*ends, *(before(c).alias(f"_{c}") for c in ends), *([] if as_of is None or as_of in keys else [as_of])]
+        own, previous = tuple(map(F.col, ends)), tuple(F.col(f"_{c}") for c in ends)
+        both_known = F.greatest(own[0], previous[0])
+        change = safe_change(F.col("level"), F.col("previous_level"), own, previous, both_known if as_of is None else F.col(as_of))
     adjacent = (F.col("_previous") == F.add_months("month", -1)) & F.col("level").isNotNull() & F.col("previous_level").isNotNull()
-    return before.filter(adjacent).select(*keys, "month", (F.col("level") - F.col("previous_level")).alias("change"), "level", "previous_level")
+    return levels.select(*columns).filter(adjacent).select(*keys, "month", change.alias("change"), "level", "previous_level")
 
 
 def safe_change(level: Column, previous: Column, window: tuple[Column, Column], previous_window: tuple[Column, Column], as_of: Column) -> Column:
@@ -54,10 +64,9 @@ def duplicate_dates(snapshot: DataFrame, keys: list[str]) -> DataFrame:
 def _by_month(known: DataFrame, dimension: DataFrame, min_weeks: int) -> DataFrame:
     """(origin, series_id, month, value, weeks_used) from each origin's snapshot: weekly series by `monthly`'s rule, others as they are.
 
-    Two values of one reference date in a snapshot are an error.
+    Series that the registry does not have are not asked for. Two values of one reference date in a snapshot are an error.
     """
-    facts = F.broadcast(dimension.select("series_id", "frequency", "scale_to_thousands"))  # a row a series
-    rows = known.join(facts, "series_id").withColumn("value", F.col("value") * F.col("scale_to_thousands"))
+    rows = known.join(dimension.select("series_id", "frequency", "scale_to_thousands"), "series_id").withColumn("value", F.col("value") * F.col("scale_to_thousands"))
     used, weekly = F.count("value"), F.col("frequency") == "W"
     out = rows.groupBy("origin", "series_id", "frequency", month_of("obs_date").alias("month")).agg(
         RULES["mean"]("value").alias("mean"), used.cast("int").alias("weeks_used"), F.count(F.lit(1)).alias("n"), F.size(F.collect_set("obs_date")).alias("dates"))
@@ -66,17 +75,12 @@ def _by_month(known: DataFrame, dimension: DataFrame, min_weeks: int) -> DataFra
     return out.select("origin", "series_id", "month", value.alias("value"), "weeks_used")
 
 
-def _asked(origins: DataFrame, dimension: DataFrame, *columns: Column) -> DataFrame:
-    """Every origin with every series of the registry."""
-    return origins.select("origin", *columns, F.explode(F.lit([r["series_id"] for r in dimension.select("series_id").collect()])).alias("series_id"))
-
-
 def panel(observed: DataFrame, origins: DataFrame, dimension: DataFrame, one_day: int = 1, min_weeks: int = 2) -> DataFrame:
     """(origin, series_id, month, value, weeks_used) as known `one_day` before each origin, all origins in one plan.
 
     origins: (origin). dimension: the registry, whose frequency says whether a series is averaged over weeks.
     """
-    asked = _asked(origins, dimension, F.date_sub("origin", one_day).alias("as_of"))
+    asked = origins.select("origin", F.date_sub("origin", one_day).alias("as_of")).distinct()
     return _by_month(at_origins(observed, asked), dimension, min_weeks)
 
 
@@ -84,14 +88,13 @@ def lag_shifted_panel(observed: DataFrame, target_months: DataFrame, dimension:
     """The approximate panel of today's values cut by publication lags, for target months (origin).
 
     Target: current vintage before the target month. A feature: observations up to the end of the month that lies its
-    lag before the target month.
+    lag before the target month. Said as windows: a value of today is seen from the day after its date on (target) or from
+    the month its lag later (feature), so that the panel is an as-of join like the other.
     """
-    from tidemark.functions.columns import is_current
-
-    lags = F.broadcast(dimension.select("series_id", F.col("publication_lag_months").alias("lag")))
-    limit = F.when(F.col("series_id") == target, F.date_sub("origin", 1)).otherwise(F.last_day(F.expr("add_months(origin, -lag)")))
-    cut = observed.filter(is_current()).join(_asked(target_months, dimension).join(lags, "series_id").withColumn("limit", limit), "series_id").filter(F.col("obs_date") <= F.col("limit"))
-    return _by_month(cut.drop("lag", "limit"), dimension, min_weeks)
+    lagged = observed.filter(is_current()).join(dimension.select("series_id", F.col("publication_lag_months").alias("_lag")), "series_id")
+    seen = F.when(F.col("series_id") == target, F.date_add("obs_date", 1)).otherwise(F.add_months(month_of("obs_date"), F.col("_lag")))
+    asked = target_months.select("origin").distinct()
+    return _by_month(at_origins(lagged.withColumn("realtime_start", seen).drop("_lag"), asked, "origin"), dimension, min_weeks)
 
 
 def months_available(panel: DataFrame, moved: DataFrame, target: str) -> DataFrame:
@@ -111,8 +114,6 @@ def history(observed: DataFrame, last: int, current: bool = True) -> DataFrame:
     The row before, not the month before: a gap is shown as one step. current: keep today's values only; otherwise
     `observed` is one snapshot already.
     """
-    from tidemark.functions.columns import is_current
-
     w = Window.partitionBy("series_id").orderBy("obs_date")
     newest = Window.partitionBy("series_id").orderBy(F.desc("obs_date"))
     rows = (observed.filter(is_current()) if current else observed).withColumn("mom", F.col("value") - F.lag("value").over(w)).withColumn("_nth", F.row_number().over(newest))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.exceptions import InsufficientDataError
 from tidemark.functions.columns import two_sided_p
 
 
@@ -16,6 +17,30 @@ def common_origins(scored: DataFrame, n_models: int) -> DataFrame:
     return scored.join(full, "origin", "left_semi")
 
 
+def checked(scored: DataFrame, models: Sequence[str] = ()) -> DataFrame:
+    """`scored` itself, or an error: nothing to score for a model, a forecast without actual, two of one origin, or
+    models on different origins, which no paired test may compare. One aggregation, a row a model.
+    """
+    key = F.xxhash64("origin")
+    seen = scored.groupBy("model").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("origin").alias("origins"), F.count_if(F.col("point").isNull() | F.col("actual").isNull()).alias("open"),
+        F.bit_xor(key).alias("x"), F.sum(F.pmod(key, F.lit(1 << 31))).alias("s")).collect()
+    by = {r["model"]: r for r in seen}
+    for model in models or by:
+        if model not in by:
+            raise InsufficientDataError(f"no forecasts to score for {model}")
+    if not by:
+        raise InsufficientDataError("no forecasts to score")
+    for model, r in by.items():
+        if r["open"]:
+            raise ValueError(f"{model}: {r['open']} of {r['n']} forecasts have no point or no actual")
+        if r["n"] != r["origins"]:
+            raise ValueError(f"{model}: {r['n']} forecasts of {r['origins']} origins")
+    if len({(r["n"], r["x"], r["s"]) for r in seen}) > 1:
+        raise ValueError("a comparison needs the same origins: " + ", ".join(f"{m} has {r['n']}" for m, r in sorted(by.items())))
+    return scored
+
+
 def scorecard(scored: DataFrame, by: tuple[str, ...] = ("model",), nominal: float = 0.8) -> DataFrame:
     """From (by, point, lower, upper, actual): n, mae, rmse, bias, directional_accuracy, interval_*, coverage_gap."""
     e, a = F.col("point") - F.col("actual"), F.col("actual")
@@ -40,17 +65,20 @@ def relative_mae(cards: DataFrame, reference: str, order: Sequence[str] = ()) ->
 
 
 def paired(scored: DataFrame, model: str) -> DataFrame:
-    """(rival, e_model, e_rival) on the origins that both have."""
-    own = scored.filter(F.col("model") == model).select("origin", (F.col("point") - F.col("actual")).alias("e_model"))
-    others = scored.filter(F.col("model") != model).select("origin", F.col("model").alias("rival"), (F.col("point") - F.col("actual")).alias("e_rival"))
-    return others.join(own, "origin")
+    """(origin, rival, e_model, e_rival) on the origins that both have: the errors of an origin meet in one group."""
+    each = F.struct("model", (F.col("point") - F.col("actual")).alias("e"))
+    met = scored.groupBy("origin").agg(F.max(F.when(F.col("model") == model, F.col("point") - F.col("actual"))).alias("e_model"), F.collect_list(F.when(F.col("model") != model, each)).alias("rivals"))  # a row a model
+    return met.filter(F.col("e_model").isNotNull()).select("origin", "e_model", F.inline("rivals")).select("origin", F.col("model").alias("rival"), "e_model", F.col("e").alias("e_rival"))
 
 
-def diebold_mariano(pairs: DataFrame, least: int = 8) -> DataFrame:
+def diebold_mariano(pairs: DataFrame, least: int = 8, horizon: int = 1) -> DataFrame:
     """By rival and loss: losses, mean difference, small-sample corrected statistic, p and verdict, one step ahead.
 
-    Rivals with fewer than `least` pairs or without variance have a null statistic, p and verdict.
+    Rivals with fewer than `least` pairs or without variance have a null statistic, p and verdict. Losses further ahead are
+    correlated, which this variance does not see, so another horizon is an error.
     """
+    if horizon != 1:
+        raise ValueError(f"one step ahead only, not {horizon}")
     losses = F.explode(F.array(
         F.struct(F.lit("absolute").alias("loss"), F.abs("e_model").alias("m"), F.abs("e_rival").alias("b")),
         F.struct(F.lit("squared").alias("loss"), (F.col("e_model") * F.col("e_model")).alias("m"), (F.col("e_rival") * F.col("e_rival")).alias("b")),

@@ -30,15 +30,17 @@ def actuals_at_release(observed: DataFrame, wanted: DataFrame, dimension: DataFr
     return both.select("origin", "target_month", (F.col("now") - F.col("before")).alias("actual"))
 
 
-def actuals_of_today(observed: DataFrame, dimension: DataFrame, target: str) -> DataFrame:
-    """(month, actual, gap_months) from the last non-null vintage of each date; the earlier level is the newest known one.
+def actuals_of_today(observed: DataFrame, wanted: DataFrame, dimension: DataFrame, target: str) -> DataFrame:
+    """(origin, target_month, actual) for the wanted (origin, target_month, previous_month), from the last non-null vintage of each date.
 
-    The two levels may be of different vintages and, after a gap, more than a month apart: gap_months says so.
+    The earlier level is that of previous_month, the newest with a change: the two may be of different vintages and, after
+    a gap, more than a month apart.
     """
     scale = dimension.filter(F.col("series_id") == target).first()["scale_to_thousands"]
     last = observed.filter((F.col("series_id") == target) & F.col("value").isNotNull()).groupBy(month_of("obs_date").alias("month")).agg((F.max_by("value", "realtime_start") * scale).alias("value"))
-    w = Window.orderBy("month")  # a row a month
-    return last.select("month", (F.col("value") - F.lag("value").over(w)).alias("actual"), F.months_between("month", F.lag("month").over(w)).cast("int").alias("gap_months"))
+    asked = wanted.select("origin", "target_month", F.explode(F.array(F.struct(F.lit(1).alias("sign"), F.col("target_month").alias("month")), F.struct(F.lit(-1).alias("sign"), F.col("previous_month").alias("month")))).alias("m"))
+    both = asked.select("origin", "target_month", "m.*").join(last, "month").groupBy("origin", "target_month").agg(F.sum(F.col("sign") * F.col("value")).alias("actual"), F.count(F.lit(1)).alias("n"))
+    return both.filter("n = 2").select("origin", "target_month", "actual")
 
 
 def origins_of(observed: DataFrame, calendar: DataFrame, scorecard: str, target: str, upto: str | None = None) -> DataFrame:
@@ -62,25 +64,31 @@ def units_of(dimension: DataFrame) -> dict[str, str]:
     return {r["series_id"]: r["u"] for r in dimension.select("series_id", unit_label(F.col("units")).alias("u")).collect()}
 
 
-def attempts(panel: DataFrame, target: str, terms: Sequence[Term], regime: tuple[str, str], models: Sequence[str], dimension: DataFrame, level: float = 0.8) -> DataFrame:
-    """Of each origin of a panel and each model a forecast, or a null point and why there is none. The panel is stored."""
+def attempts(panel: DataFrame, target: str, terms: Sequence[Term], regime: tuple[str, str], models: Sequence[str], dimension: DataFrame, level: float = 0.8, shifted: bool = False) -> DataFrame:
+    """Of each origin of a panel and each model a forecast, or a null point and why there is none. The panel is stored.
+
+    What is forecast is the month after the newest change, or the origin itself where it is a month (shifted), however
+    long ago the newest change was; previous_month is that of the newest change.
+    """
     check_models(models)
+    month = F.col("origin") if shifted else None
     moved = features.changes(panel, ["origin", "series_id"])
     if "ridge" in models:
         moved = durable(moved, "changes")
     of_target = moved.filter(F.col("series_id") == target).select("origin", "month", "change")
     columns = ["origin", "model", "point", "lower", "upper", "n_train", "skip_reason"]
-    ends = of_target.groupBy("origin").agg(F.add_months(F.max("month"), 1).alias("target_month"), F.count_if(~excluded("month", regime)).alias("_usable"))
+    ends = of_target.groupBy("origin").agg(F.max("month").alias("previous_month"), F.count_if(~excluded("month", regime)).alias("_usable"))
+    ends = ends.withColumn("target_month", F.add_months("previous_month", 1) if month is None else month)
     naive = [m for m in models if m in baselines.MINIMUM]
     needs = F.explode(F.array(*(F.struct(F.lit(m).alias("model"), F.lit(baselines.MINIMUM[m]).alias("least")) for m in naive))) if naive else None
     out = None
     if naive:
         each = ends.select("origin", "_usable", needs.alias("m")).select("origin", "_usable", "m.model", "m.least")
-        made = baselines.forecasts(of_target, regime).select("origin", "model", "point", "lower", "upper", "n_train")
+        made = baselines.forecasts(of_target, regime, target_month=month).select("origin", "model", "point", "lower", "upper", "n_train")
         reason = F.when(F.col("point").isNull(), F.concat(F.col("least").cast("string"), F.lit(" changes are needed, there are "), F.col("_usable").cast("string")))
         out = each.join(made, ["origin", "model"], "left").withColumn("skip_reason", reason).select(columns)
     if "ridge" in models:
-        fitted = ridge.forecasts(rows(panel, terms, target, regime, ridge.LEAST_ROWS, lags_of(dimension), moved), terms, units_of(dimension), level=level).select(columns)
+        fitted = ridge.forecasts(rows(panel, terms, target, regime, ridge.LEAST_ROWS, lags_of(dimension), moved, month), terms, units_of(dimension), level=level).select(columns)
         out = fitted if out is None else out.unionByName(fitted)
     return out.join(ends.drop("_usable"), "origin")
 
@@ -95,13 +103,11 @@ def outcomes(observed: DataFrame, calendar: DataFrame, dimension: DataFrame, tar
     origins = origins_of(observed, calendar, scorecard, target, upto)
     shifted = scorecard != "vintage"
     panel = durable(features.lag_shifted_panel(observed, origins, dimension, target) if shifted else features.panel(observed, origins, dimension), "panel")
-    made = durable(attempts(panel, target, terms, regime, models, dimension, level).filter(~excluded("target_month", regime)), "attempts")
-    if shifted:
-        actual, on = actuals_of_today(observed, dimension, target).select(F.col("month").alias("target_month"), "actual"), ["target_month"]
-    else:
-        actual, on = actuals_at_release(observed, made.select("origin", "target_month").distinct(), dimension, target), ["origin", "target_month"]
+    made = durable(attempts(panel, target, terms, regime, models, dimension, level, shifted).filter(~excluded("target_month", regime)), "attempts")
+    wanted = made.select("origin", "target_month", "previous_month").distinct()
+    actual = actuals_of_today(observed, wanted, dimension, target) if shifted else actuals_at_release(observed, wanted, dimension, target)
     usable = made.filter(F.col("point").isNotNull()).select("origin").distinct()
-    scored = made.join(actual.filter(F.col("actual").isNotNull()), on).join(usable, "origin", "left_semi")
+    scored = made.join(actual.filter(F.col("actual").isNotNull()), ["origin", "target_month"]).join(usable, "origin", "left_semi")
     return scored.select("origin", "target_month", "model", "point", "lower", "upper", "n_train", "actual", "skip_reason")
 
 

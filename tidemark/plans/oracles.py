@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tidemark.operators.ridge import FIRST_FOLD, FOLDS, LEAST_ROWS, PENALTIES
-from tidemark.plans.queries import NAIVE, REGIME, TARGET, TERMS
+from tidemark.plans.queries import GAPS, NAIVE, REGIME, TARGET, TERMS
 from tidemark.sources.derived import SERIES, WEEKLY
 
 _SERIES = ", ".join(f"('{s[0]}', '{s[2]}', '{s[4]}', {s[5]}::DOUBLE, {s[6]})" for s in SERIES)
@@ -72,12 +72,21 @@ actuals AS (SELECT a.origin, a.month AS target_month, a.value - b.value AS actua
 attempts AS (SELECT f.*, point - half AS lower, point + half AS upper, actual FROM forecasts f JOIN actuals USING (origin, target_month) WHERE NOT target_month {_OUT}),
 """
 
+#: What is forecast is the origin's own month, and its step is measured from the newest month that has a change.
 SCORED_SHIFTED = f"""
 newest AS (SELECT date_trunc('month', obs_date)::DATE AS month, arg_max(value, realtime_start) * {_SCALE}::DOUBLE AS value FROM obs WHERE series_id = '{TARGET}' AND value IS NOT NULL GROUP BY 1),
-actuals AS (SELECT month AS target_month, value - lag(value) OVER (ORDER BY month) AS actual FROM newest),
-attempts AS (SELECT f.*, point - half AS lower, point + half AS upper, actual FROM forecasts f JOIN actuals USING (target_month) WHERE NOT target_month {_OUT} AND actual IS NOT NULL),
+before AS (SELECT origin, max(month) AS month FROM changes WHERE series_id = '{TARGET}' GROUP BY origin),
+actuals AS (SELECT p.origin, a.month AS target_month, a.value - b.value AS actual FROM before p JOIN newest a ON a.month = p.origin JOIN newest b ON b.month = p.month),
+attempts AS (SELECT f.*, point - half AS lower, point + half AS upper, actual FROM forecasts f JOIN actuals USING (origin, target_month) WHERE NOT target_month {_OUT}),
 """
 
+_NEXT = "(max(month) + to_months(1))::DATE"
+FORECASTS_SHIFTED = FORECASTS.replace(_NEXT, "origin")
+
+#: The same series without some months of the target.
+_GONE = ", ".join(f"DATE '{m}'" for m in GAPS)
+OBS_GAPS = OBS.replace("obs AS (", "whole AS (").replace("releases AS", f"obs AS (SELECT * FROM whole WHERE NOT (series_id = '{TARGET}' AND obs_date IN ({_GONE}))),\nreleases AS")
+
 COMMON = f"scored AS (SELECT * FROM attempts WHERE origin IN (SELECT origin FROM attempts GROUP BY origin HAVING count(DISTINCT model) = {len(NAIVE)}))"
 
 CARD = """SELECT model, count(*) AS n, avg(abs(point - actual)) AS mae, sqrt(avg((point - actual) * (point - actual))) AS rmse, avg(point - actual) AS bias,
@@ -167,6 +176,18 @@ _ALL = f"""{_RIDGE}, {_NAIVE}, alls AS (SELECT origin, model, target_month, poin
   UNION ALL SELECT origin, model, target_month, point, lower, upper, upper - lower FROM ridge WHERE point IS NOT NULL), {SCORED.replace("forecasts f", "alls f").replace("f.*, point - half AS lower, point + half AS upper, actual", "f.*, actual")}"""
 _SCORED_ALL = f"{_ALL} scored AS (SELECT * FROM attempts WHERE origin IN (SELECT origin FROM attempts GROUP BY origin HAVING count(DISTINCT model) = {len(NAIVE) + 1})), card AS ({CARD})"
 
+#: Forecasts and skipped models of the origins that any model has forecast, over the series with gaps.
+GAP_OUTCOMES = f"""WITH RECURSIVE {OBS_GAPS}, {SHIFTED}, {CHANGES}, {DESIGN.replace(_NEXT, "origin")}, {RIDGE}, {_NAIVE.replace(_NEXT, "origin")},
+needs(model, least) AS (VALUES ('random_walk', 2), ('mean_3m', 3), ('mean_6m', 6), ('drift', 3)),
+usable AS (SELECT c.origin, count(*) FILTER (NOT month {_OUT}) AS n FROM target_changes c GROUP BY c.origin),
+alls AS (SELECT u.origin, u.origin AS target_month, model, point, point - half AS lower, point + half AS upper, f.n_train, CASE WHEN point IS NULL THEN least || ' changes are needed, there are ' || n END AS skip_reason
+    FROM usable u CROSS JOIN needs LEFT JOIN forecasts f USING (origin, model)
+  UNION ALL SELECT origin, target_month, model, point, lower, upper, n_train, skip_reason FROM ridge),
+{SCORED_SHIFTED.partition("attempts AS")[0]}
+tried AS (SELECT a.*, actual FROM alls a JOIN actuals USING (origin, target_month) WHERE NOT target_month {_OUT})
+SELECT origin, target_month, model, {", ".join(f"round({c} + 1e-7, 4) AS {c}" for c in ("point", "lower", "upper"))}, n_train, round(actual + 1e-7, 4) AS actual, skip_reason
+FROM tried WHERE origin IN (SELECT origin FROM tried WHERE point IS NOT NULL)"""
+
 
 def _count(x: str) -> str:
     return f"format('{{:,}}', abs(round_even(round({x}, 8), 0))::BIGINT * 1000) || ' jobs'"
@@ -216,7 +237,9 @@ ORACLES = {
     "trailing_mean": f"{_MONTHS} SELECT origin, month, (SELECT round(CASE WHEN count(*) >= 6 THEN avg(c.change) END + 1e-7, 4) FROM changes c WHERE c.series_id = '{TARGET}' AND c.origin = a.origin AND c.month BETWEEN (a.month - to_months(11))::DATE AND a.month AND NOT c.month {_OUT}) AS trailing FROM changes a WHERE series_id = '{TARGET}'",
     "baseline_forecasts": f"{_MONTHS}, {FORECASTS} SELECT origin, target_month, model, round(point + 1e-7, 4) AS point, round(point - half + 1e-7, 4) AS lower, round(point + half + 1e-7, 4) AS upper, n_train FROM forecasts",
     "scorecard_baselines": f"{_BACKTEST}, card AS ({CARD}) {_CARD_OUT}",
-    "scorecard_lag_shifted": f"WITH {OBS}, {SHIFTED}, {CHANGES}, {FORECASTS}, {SCORED_SHIFTED} {COMMON}, card AS ({CARD}) {_CARD_OUT}",
+    "scorecard_lag_shifted": f"WITH {OBS}, {SHIFTED}, {CHANGES}, {FORECASTS_SHIFTED}, {SCORED_SHIFTED} {COMMON}, card AS ({CARD}) {_CARD_OUT}",
+    "gap_scorecard": f"WITH {OBS_GAPS}, {SHIFTED}, {CHANGES}, {FORECASTS_SHIFTED}, {SCORED_SHIFTED} {COMMON}, card AS ({CARD}) {_CARD_OUT}",
+    "gap_outcomes": GAP_OUTCOMES,
     "relative_mae": f"{_BACKTEST}, card AS ({CARD}), ref AS (SELECT mae AS r FROM card WHERE model = 'random_walk') SELECT model, round(mae + 1e-7, 4) AS mae, round(100 * (r - mae) / r + 1e-7, 4) AS relative_mae, model = (SELECT arg_min(model, mae) FROM card) AS is_best FROM card, ref",
     "attempted_scored": f"{_BACKTEST} SELECT (SELECT count(DISTINCT origin) FROM attempts) AS n_attempted, (SELECT count(DISTINCT origin) FROM scored) AS n_scored, (SELECT count(DISTINCT origin) FROM attempts) - (SELECT count(DISTINCT origin) FROM scored) AS n_dropped",
     "significance": f"""{_BACKTEST}, pairs AS (SELECT b.model AS rival, a.point - a.actual AS e, b.point - b.actual AS f FROM scored a JOIN scored b USING (origin) WHERE a.model = 'mean_3m' AND b.model <> 'mean_3m'),
@@ -233,6 +256,7 @@ stated AS (SELECT *, {_MISSING} AS missing FROM filled),
 marked AS (SELECT *, CASE WHEN NOT is_next AND dirty THEN 'excluded' WHEN missing <> '' THEN 'incomplete' ELSE 'ok' END AS status FROM stated)
 SELECT origin, month, is_next, round(y + 1e-7, 4) AS y, {", ".join(f"round({n} + 1e-7, 4) AS {n}" for n in _NAMES)}, status, missing, count(*) FILTER (status = 'ok' AND NOT is_next) OVER (PARTITION BY origin) AS n_ok FROM marked""",
     "upsert_observations": f"WITH {OBS} SELECT series_id, obs_date, realtime_start, realtime_end, round(value + 1e-7, 4) AS value FROM obs",
+    "stored_revisions": f"WITH {OBS} SELECT series_id, obs_date, realtime_start, realtime_end, round(value + 1e-7, 4) AS value FROM obs",
     "release_calendar": f"WITH {OBS} SELECT 194::INT AS release_id, origin AS release_date FROM releases WHERE origin <= DATE '2001-06-30'",
     "series_summary": f"WITH {OBS} SELECT series_id, count(*) AS n_rows, count(DISTINCT obs_date) AS n_dates, round(count(*) / count(DISTINCT obs_date) + 1e-7, 4) AS revision_density, max(obs_date) AS latest FROM obs GROUP BY series_id",
     "store_violations": f"""WITH {OBS}, snap AS (SELECT r.origin, o.obs_date, count(*) AS n FROM releases r, obs o WHERE series_id = '{TARGET}' AND realtime_start <= origin AND realtime_end >= origin GROUP BY ALL)

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
-from tidemark.operators import design, explain, features, ridge, scoring, store
+from tidemark.operators import design, explain, features, revisions, ridge, scoring, store
 from tidemark.operators.design import CHANGE, LEVEL, TRAILING_MEAN, Term
 from tidemark.plans import backtest
 from tidemark.sources import derived
 from tidemark.sources.registry import registry, to_canonical, unit_label
-from tidemark.tables import durable
+from tidemark.tables import durable, remove, shared_dir, tidy
 
 TARGET, REGIME = derived.TARGET, derived.REGIME
 TERMS = (
@@ -23,6 +25,8 @@ TERMS = (
     Term("shipped_level", derived.WEEKLY, LEVEL, 0),
     Term("shipped_change", derived.WEEKLY, CHANGE, 0),
 )
+#: Months that the queries about gaps take from the target.
+GAPS = ("1994-03-01", "1995-11-01", "1995-12-01", "1997-06-01")
 NAIVE = ("random_walk", "mean_3m", "mean_6m", "drift")
 
 
@@ -99,6 +103,24 @@ def scorecard_lag_shifted(spark, sf_dir):
     return _rounded(scoring.scorecard(_scored(spark, sf_dir, "lag_shifted")))
 
 
+def _with_gaps(spark: SparkSession, sf_dir: str):
+    observed, calendar, dimension = _inputs(spark, sf_dir)
+    gone = (F.col("series_id") == TARGET) & F.col("obs_date").isin([F.lit(m).cast("date") for m in GAPS])
+    return observed.filter(~gone), calendar, dimension
+
+
+def gap_outcomes(spark, sf_dir):
+    """Every lag-shifted forecast over a target with missing months, beside what it aims at: the step from the newest month with a change."""
+    observed, calendar, dimension = _with_gaps(spark, sf_dir)
+    found = backtest.outcomes(observed, calendar, dimension, TARGET, TERMS, REGIME, "lag_shifted", (*NAIVE, "ridge"))
+    return _rounded(found.select("origin", "target_month", "model", "point", "lower", "upper", "n_train", "actual", "skip_reason"))
+
+
+def gap_scorecard(spark, sf_dir):
+    observed, calendar, dimension = _with_gaps(spark, sf_dir)
+    return _rounded(scoring.scorecard(backtest.walk_forward(observed, calendar, dimension, TARGET, TERMS, REGIME, "lag_shifted", NAIVE)))
+
+
 def relative_mae(spark, sf_dir):
     return _rounded(scoring.relative_mae(scoring.scorecard(_scored(spark, sf_dir)), "random_walk", NAIVE))
 
@@ -217,16 +239,35 @@ def store_violations(spark, sf_dir):
     """What the guards would refuse: overlapping windows, inverted ones, repeated dates in a snapshot."""
     observed, calendar, _ = _inputs(spark, sf_dir)
     report = store.batch_report(_as_batch(observed, "2002-01-01"))
-    asked = calendar.select("origin", F.col("origin").alias("as_of"), F.lit(TARGET).alias("series_id"))
-    repeated = features.duplicate_dates(store.at_origins(observed, asked), ["origin", "series_id"]).agg(F.count(F.lit(1)).alias("repeated"))
-    return report.select("n_rows", "historical", "inverted", F.lit(1).alias("k")).join(repeated.withColumn("k", F.lit(1)), "k").drop("k")
+    snapshots = store.at_origins(observed.filter(F.col("series_id") == TARGET), calendar.distinct(), "origin")
+    repeated = features.duplicate_dates(snapshots, ["origin", "series_id"]).agg(F.count(F.lit(1)).alias("repeated"))
+    zero = F.lit(0).cast("long")
+    both = report.select("n_rows", "historical", "inverted", zero.alias("repeated")).union(repeated.select(zero, zero, zero, "repeated"))
+    return both.agg(*(F.sum(c).alias(c) for c in both.columns))
+
+
+def stored_revisions(spark, sf_dir):
+    """Revisions without windows, written to a store in three batches that overlap, latest first: each batch's windows are made of all
+    revisions known by then, so that later ones split what earlier ones left open; buckets are merged, then read back."""
+    observed = durable(derived.observations(spark, sf_dir), "observations")
+    known = observed.select("series_id", "obs_date", "realtime_start", "value", F.lit("derived").alias("source"), F.lit("2002-01-01").cast("timestamp").alias("fetched_at"))
+    kept = store.Store(spark, f"{shared_dir(spark)}/tidemark-store-{uuid.uuid4().hex}", 2, 4, most_segments=2)
+    try:
+        nth = F.row_number().over(_of_date().orderBy("realtime_start"))
+        known = durable(known.withColumn("nth", nth), "revisions")
+        for most in ("nth = 3", "nth >= 2", "nth >= 1"):
+            kept.upsert(revisions.windows(known.filter(most).drop("nth")))
+        return durable(_rounded(kept.observations().select("series_id", "obs_date", "realtime_start", "realtime_end", "value")), "stored-revisions")
+    finally:
+        remove(spark, kept.path)
 
 
 def history(spark, sf_dir):
     return _rounded(features.history(derived.observations(spark, sf_dir), 12))
 
 
-QUERIES = {f.__name__: f for f in (
+#: Each leaves its result's table at most.
+QUERIES = {f.__name__: tidy(f) for f in (
     observations_vintages, canonical_values, asof_panel, lag_shifted_panel, weekly_to_monthly, monthly_changes, trailing_mean, baseline_forecasts,
-    scorecard_baselines, scorecard_lag_shifted, relative_mae, attempted_scored, significance, design_matrix, ridge_forecasts, ridge_scorecard,
-    explanations, forecast_json, ridge_drivers, model_skips, recent_average, months_available, default_as_of, upsert_observations, release_calendar, series_summary, store_violations, history)}
+    scorecard_baselines, scorecard_lag_shifted, gap_outcomes, gap_scorecard, relative_mae, attempted_scored, significance, design_matrix, ridge_forecasts, ridge_scorecard,
+    explanations, forecast_json, ridge_drivers, model_skips, recent_average, months_available, default_as_of, upsert_observations, stored_revisions, release_calendar, series_summary, store_violations, history)}

@@ -1,7 +1,9 @@
 """The REST source of observations and release dates, as a Spark data source, and its JSON payloads.
 
-One partition a series; each reader pages through its answers, tries transient errors again with a random wait, and
-never permanent ones. The key comes from an environment variable of the executors and never enters a plan.
+One partition a series, or pages dealt to `readers` partitions; transient errors are tried again with a random wait,
+permanent ones never. All partitions share a budget of requests a minute, each keeping to its part of it. Filters on
+series and dates reach the request. With errors as rows, a series that fails is a row that says why. The key comes from
+an environment variable of the executors and never enters a plan.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from datetime import UTC, date, datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition
 
 from tidemark import exceptions as X
 from tidemark.functions.columns import value_of
@@ -87,15 +89,20 @@ def check_key(key: str) -> str:
     return key
 
 
+def list_of(body: dict, field: str) -> list:
+    rows = body.get(field)
+    if not isinstance(rows, list):
+        raise X.ResponseValidationError(f"the answer has no list {field}")
+    return rows
+
+
 def pages(get: Callable[[str, dict], tuple[int, str]], endpoint: str, field: str, params: dict, limit: int, **retry) -> Iterator[dict]:
     """Rows of all pages."""
     offset = 0
     while True:
         log.debug("%s %s", endpoint, redacted(params | {"offset": offset}))
         body = with_retry(lambda: body_of(*get(endpoint, params | {"offset": offset, "limit": limit})), **retry)
-        rows = body.get(field)
-        if not isinstance(rows, list):
-            raise X.ResponseValidationError(f"the answer has no list {field}")
+        rows = list_of(body, field)
         yield from rows
         offset += len(rows)
         if not rows or offset >= int(body.get("count", offset)):
@@ -143,55 +150,159 @@ def _get(base_url: str, timeout: float) -> Callable[[str, dict], tuple[int, str]
     return get
 
 
+class Pace:
+    """Waits so that calls start `interval` seconds apart at least, the first after `wait`."""
+
+    def __init__(self, interval: float, wait: float = 0.0, clock: Callable = time.monotonic, sleep: Callable = time.sleep):
+        self.interval, self.clock, self.sleep = interval, clock, sleep
+        self.next = clock() + wait
+
+    def __call__(self) -> None:
+        if (wait := self.next - self.clock()) > 0:
+            self.sleep(wait)
+        self.next = max(self.next, self.clock()) + self.interval
+
+
 class _Of(InputPartition):
-    def __init__(self, key: str):
-        self.key = key
+    """(key, offset) of each page to read, or None in place of the offset for all pages; which partition of how many it is."""
+
+    def __init__(self, pages: list[tuple[str, int | None]], nth: int = 0, of: int = 1):
+        self.pages, self.nth, self.of = pages, nth, of
+
+
+#: Requests a minute that the source allows (fixed value).
+REQUESTS = 120
 
 
 class VintageReader(DataSourceReader):
     def __init__(self, options: dict):
         self.options = options
+        self.keys = [k for k in options.get("keys", "").split(",") if k]
+        self.start = options.get("start")
+        self.releases = options.get("table", "observations") == "release_dates"
+        self.limit = int(options.get("page", PAGE["release_dates" if self.releases else "observations"]))
+
+    def _params(self, key: str) -> tuple[str, str, dict]:
+        """Endpoint, list of the answer, and parameters of a key."""
+        common = {"file_type": "json", "api_key": check_key(os.environ.get(self.options.get("key_variable", "VINTAGE_API_KEY"), ""))}
+        if self.releases:
+            return "release/dates", "release_dates", common | {"release_id": key, "include_release_dates_with_no_data": "true"}
+        params = common | {"series_id": key, "sort_order": "asc"} | ({"realtime_start": EARLIEST, "realtime_end": OPEN_END} if self._everything() else {})
+        return "series/observations", "observations", params | ({"observation_start": self.start} if self.start else {})
+
+    def _everything(self) -> bool:
+        return self.options.get("all_vintages", "true") == "true"
+
+    def _get(self, nth: int = 0, of: int = 1) -> Callable[[str, dict], tuple[int, str]]:
+        """Requests of one partition, at its part of the rate; partitions start one after the other."""
+        rate = float(self.options.get("requests_per_minute", REQUESTS))
+        get, pace = _get(self.options["base_url"], float(self.options.get("timeout", 15))), Pace(60 * of / rate, 60 * nth / rate)
+
+        def paced(endpoint: str, params: dict) -> tuple[int, str]:
+            pace()
+            return get(endpoint, params)
+
+        return paced
 
     def partitions(self):
-        return [_Of(k) for k in self.options.get("keys", "").split(",") if k]
+        """A partition a key; with `readers`, so many, to which the pages are dealt by what a first small request of each key counts."""
+        if not (readers := int(self.options.get("readers", 0))):
+            return [_Of([(k, None)], i, len(self.keys)) for i, k in enumerate(self.keys)]
+        get, found = self._get(), []
+        for key in self.keys:
+            endpoint, _, params = self._params(key)
+            try:
+                count = int(with_retry(lambda: body_of(*get(endpoint, params | {"offset": 0, "limit": 1}))).get("count", 0))  # noqa: B023  called at once
+            except X.IngestionError:
+                count = 0  # the task that reads the key's first page says what is wrong
+            found += [(key, offset) for offset in range(0, max(1, count), self.limit)]
+        n = min(readers, len(found))
+        return [_Of(found[i::n], i, n) for i in range(n)]
+
+    def _rows(self, key: str, offset: int | None, get: Callable) -> Iterator[dict]:
+        endpoint, field, params = self._params(key)
+        if offset is None:
+            return pages(get, endpoint, field, params, self.limit)
+        return iter(list_of(with_retry(lambda: body_of(*get(endpoint, params | {"offset": offset, "limit": self.limit}))), field))
 
     def read(self, partition):
-        o = self.options
-        key = check_key(os.environ.get(o.get("key_variable", "VINTAGE_API_KEY"), ""))
-        get = _get(o["base_url"], float(o.get("timeout", 15)))
-        common = {"file_type": "json", "api_key": key}
-        if o.get("table", "observations") == "release_dates":
-            params = common | {"release_id": partition.key, "include_release_dates_with_no_data": "true"}
-            known = 0
-            for row in pages(get, "release/dates", "release_dates", params, PAGE["release_dates"]):
-                if "date" not in row:
-                    raise X.ResponseValidationError("a release has no date")
-                known += 1
-                yield int(partition.key), day(row["date"])
-            if not known:
-                log.warning("no release dates for %s", partition.key)
-            return
-        everything = o.get("all_vintages", "true") == "true"
-        params = common | {"series_id": partition.key, "sort_order": "asc"} | ({"realtime_start": EARLIEST, "realtime_end": OPEN_END} if everything else {})
-        if "start" in o:
-            params["observation_start"] = o["start"]
+        get, as_rows = self._get(partition.nth, partition.of), self.options.get("errors", "raise") == "rows"
         fetched = datetime.now(UTC)
-        for row in pages(get, "series/observations", "observations", params, PAGE["observations"]):
-            yield observation(row, partition.key, o.get("source", "api"), fetched, everything)
+        for key, offset in partition.pages:
+            try:
+                known = 0
+                for row in self._rows(key, offset, get):
+                    known += 1
+                    yield (*self._parsed(row, key, fetched), *([None] if as_rows else []))
+                if self.releases and not known:
+                    log.warning("no release dates for %s", key)
+            except X.IngestionError as e:
+                if not as_rows:
+                    raise
+                secret = os.environ.get(self.options.get("key_variable", "VINTAGE_API_KEY"), "")
+                said = f"{type(e).__name__}: {e}".replace(secret, "...")[:1000]
+                yield (int(key), None, said) if self.releases else (key, *[None] * 6, said)
+
+    def _parsed(self, row: dict, key: str, fetched: datetime) -> tuple:
+        if not self.releases:
+            return observation(row, key, self.options.get("source", "api"), fetched, self._everything())
+        if "date" not in row:
+            raise X.ResponseValidationError("a release has no date")
+        return int(key), day(row["date"])
+
+
+class FilteredReader(VintageReader):
+    def pushFilters(self, filters):  # noqa: N802  the interface's name
+        """Series and first date narrow the request; Spark tests all filters again."""
+        for f in filters:
+            if not self.releases and getattr(f, "attribute", None) == ("series_id",) and isinstance(f, EqualTo | In):
+                wanted = f.value if isinstance(f, In) else [f.value]
+                self.keys = [k for k in self.keys if k in wanted] if self.keys else [k for k in wanted if k is not None]
+            elif not self.releases and getattr(f, "attribute", None) == ("obs_date",) and isinstance(f, GreaterThan | GreaterThanOrEqual):
+                self.start = max(self.start or "", f.value.isoformat())
+            yield f
 
 
 class VintageSource(DataSource):
-    """spark.read.format("vintages").option("base_url", ...).option("keys", "A,B")[.option("table", "release_dates")]"""
+    """spark.read.format("vintages").option("base_url", ...).option("keys", "A,B")
+
+    Further options: table=release_dates; start; all_vintages=false; readers and page (pages dealt to so many tasks, of so many
+    rows); requests_per_minute; errors=rows (adds a column `error`; a row that has one holds nothing else but its key). Filters
+    on series_id and obs_date reach the request where spark.sql.python.filterPushdown.enabled is set; without keys, the
+    series of the filter are read.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "vintages"
 
     def schema(self) -> str:
-        return RELEASE_DATES if self.options.get("table") == "release_dates" else OBSERVATIONS
+        base = RELEASE_DATES if self.options.get("table") == "release_dates" else OBSERVATIONS
+        return f"{base}, error string" if self.options.get("errors") == "rows" else base
 
     def reader(self, schema) -> DataSourceReader:
-        return VintageReader(dict(self.options))
+        kind = FilteredReader if self.options.get("filters") == "push" else VintageReader
+        return kind(dict(self.options))
+
+
+REJECTS = "series_id string, date string, realtime_start string, realtime_end string, value string, reason string"
+
+
+def parsed_payloads(spark, path: str, series_id: str, fetched_at, all_vintages: bool = True, source: str = "file") -> tuple[DataFrame, DataFrame]:
+    """Observations from stored JSON answers, and the rows that are none (see REJECTS) with the reason; neither stops the other."""
+    raw = spark.read.schema(PAYLOAD).option("multiLine", True).json(path).select(F.explode("observations").alias("o")).select("o.*")
+    trimmed = F.trim("value")
+    blank = F.col("value").isNull() | trimmed.isin("", ".")
+    dates = {"obs_date": "date", "realtime_start": "realtime_start"} | ({"realtime_end": "realtime_end"} if all_vintages else {})
+    parsed = {name: F.try_to_date(F.col(c), "yyyy-MM-dd") for name, c in dates.items()}
+    value = trimmed.try_cast("double")
+    no_dates = [F.when(p.isNull(), F.concat(F.lit(f"no date: {dates[name]} is "), F.coalesce(F.col(dates[name]), F.lit("missing")))) for name, p in parsed.items()]
+    reason = F.coalesce(*no_dates, F.when(~blank & value.isNull(), F.concat(F.lit("no number: "), F.col("value"))))
+    end = parsed["realtime_end"] if all_vintages else F.lit(OPEN_END).cast("date")
+    judged = raw.select("*", reason.alias("reason"), parsed["obs_date"].alias("_obs"), parsed["realtime_start"].alias("_start"), end.alias("_end"), F.when(~blank, value).alias("_value"))
+    own = F.lit(series_id).alias("series_id")
+    good = judged.filter("reason is null").select(own, F.col("_obs").alias("obs_date"), F.col("_start").alias("realtime_start"), F.col("_end").alias("realtime_end"), F.col("_value").alias("value"), F.lit(source).alias("source"), F.lit(fetched_at).cast("timestamp").alias("fetched_at"))
+    return good, judged.filter("reason is not null").select(own, "date", "realtime_start", "realtime_end", "value", "reason")
 
 
 def from_payloads(spark, path: str, series_id: str, fetched_at, all_vintages: bool = True, source: str = "file") -> DataFrame:

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import gc
+import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
+from functools import wraps
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,23 +24,36 @@ def shared_dir(spark: SparkSession) -> str:
 #: whatever the length of the texts in them.
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2048, "spark.sql.execution.arrow.maxBytesPerBatch": 16 << 20}
 
-#: Paths written in each open scope, the innermost last.
-_open: list[list[str]] = []
+#: Paths written in each scope that this thread has open, the innermost last. A thread sees its own scopes only, so that the
+#: end of one thread's scope never removes a table of another, as of a stream's batches beside a query.
+_open: ContextVar[tuple[list[str], ...]] = ContextVar("open scopes", default=())
 _path_of: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+#: By session: writers at work, and the settings to come back when the last is done.
+_writing: dict[int, tuple[int, dict[str, str]]] = {}
+_turn = threading.Lock()
 
 
 @contextmanager
 def _bounded(spark: SparkSession) -> Iterator[None]:
-    """The session's own bounds come back at the end; where they are tighter they stay."""
-    before = {name: spark.conf.get(name) for name in BATCH}
-    for name, most in BATCH.items():
-        if not 0 < bytes_of(before[name]) <= most:
-            spark.conf.set(name, str(most))
+    """The session's own bounds come back when its last writer ends; where they are tighter they stay."""
+    key = id(spark._jsparkSession)
+    with _turn:
+        n, before = _writing.get(key) or (0, {name: spark.conf.get(name) for name in BATCH})
+        if not n:
+            for name, most in BATCH.items():
+                if not 0 < bytes_of(before[name]) <= most:
+                    spark.conf.set(name, str(most))
+        _writing[key] = n + 1, before
     try:
         yield
     finally:
-        for name, value in before.items():
-            spark.conf.set(name, value)
+        with _turn:
+            n, before = _writing.pop(key)
+            if n > 1:
+                _writing[key] = n - 1, before
+            else:
+                for name, value in before.items():
+                    spark.conf.set(name, value)
 
 
 def bytes_of(setting: str) -> int:
@@ -51,8 +67,8 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     """Write `df` below the shared folder and read it back: a lost executor loses nothing of it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
-    if _open:
-        _open[-1].append(path)
+    if scopes := _open.get():
+        scopes[-1].append(path)
     with _bounded(spark):
         df.write.parquet(path)
     found = spark.read.schema(df.schema).parquet(path)
@@ -72,33 +88,46 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 class Scope:
-    def __init__(self, paths: list[str]):
-        self.paths = paths
+    def __init__(self, around: tuple[list[str], ...], paths: list[str]):
+        self.around, self.paths = around, paths
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write `df`, so that it stays when the scope's tables go; it belongs to the scope around, if there is one."""
-        at = next(i for i, paths in enumerate(_open) if paths is self.paths)
-        inner = _open[at:]
-        del _open[at:]
+        token = _open.set(self.around)
         try:
             return durable(df, name)
         finally:
-            _open.extend(inner)
+            _open.reset(token)
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[Scope]:
     """A scope whose tables are removed at its end; what is read later is written by `keep`."""
     paths: list[str] = []
-    _open.append(paths)
+    around = _open.get()
+    token = _open.set((*around, paths))
     try:
-        yield Scope(paths)
+        yield Scope(around, paths)
     finally:
-        _open[:] = [p for p in _open if p is not paths]
+        _open.reset(token)
         for path in paths:
             remove(spark, path)
-        gc.collect()
-        spark._jvm.java.lang.System.gc()  # Spark removes shuffle files when the plans that wrote them are collected
+        if paths:
+            # Spark removes a plan's shuffle files once the plan is collected; without a collection they pile up on disk
+            # until the driver's heap fills. It takes 30 to 80 ms.
+            gc.collect()
+            spark._jvm.java.lang.System.gc()
+
+
+def tidy(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A query (spark, ...) whose result is written where it reads tables that the query wrote, which then go; others stay lazy."""
+    @wraps(query)
+    def run(spark: SparkSession, *args, **options) -> DataFrame:
+        with scratch(spark) as scope:
+            found = query(spark, *args, **options)
+            return scope.keep(found, query.__name__) if scope.paths else found
+
+    return run
 
 
 def fresh(name: str, *tables: DataFrame) -> str:
