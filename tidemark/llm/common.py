@@ -57,17 +57,23 @@ _SPACES = re.compile(r" \s")
 
 
 class _Kept(dict):
-    """Values by key, computed when missing; beyond `most` keys, those not used lately go."""
+    """Values by key, computed when missing. Keys of up to `LONGEST` characters are kept; beyond `most` of them or `BYTES`,
+    those not used lately go, so that two tables of that size are held at most."""
+
+    LONGEST, BYTES = 64, 40 << 20
 
     def __init__(self, compute, most: int):
         super().__init__()
-        self.compute, self.most, self.older = compute, most, {}
+        self.compute, self.most, self.older, self.held = compute, most, {}, 0
 
     def __missing__(self, key):
         if (value := self.older.get(key)) is None:
             value = self.compute(key)
-        if len(self) >= self.most:
-            self.older = dict(self)
+            if len(key) > self.LONGEST:
+                return value
+        self.held += 200 + 2 * len(key)  # two objects and their places; longer ones differ by little
+        if len(self) >= self.most or self.held > self.BYTES:
+            self.older, self.held = dict(self), 0
             self.clear()
         self[key] = value
         return value

@@ -96,6 +96,25 @@ class Description:
     track: int = 1  # its id
 
 
+def _sizes(data: bytes, stsz: Box) -> list[int]:
+    """Sample sizes: one for all, or a table of 32-bit numbers."""
+    each, n = struct.unpack_from(">II", data, stsz.begin + 4)
+    if max(each, 1) * n > len(data) or (not each and stsz.begin + 12 + 4 * n > stsz.end):
+        raise ValueError("samples are larger than the file")
+    return [each] * n if each else list(struct.unpack_from(f">{n}I", data, stsz.begin + 12))
+
+
+def _compact_sizes(data: bytes, stz2: Box) -> list[int]:
+    """Sample sizes of 4, 8 or 16 bits each."""
+    bits, n = struct.unpack_from(">BI", data, stz2.begin + 7)
+    if bits not in (4, 8, 16) or stz2.begin + 12 + -(-bits * n // 8) > stz2.end:
+        raise ValueError("a table of sample sizes is larger than its box")
+    table = data[stz2.begin + 12 : stz2.begin + 12 + -(-bits * n // 8)]
+    if bits == 16:
+        return list(struct.unpack(f">{n}H", table))
+    return list(table) if bits == 8 else [x for byte in table for x in (byte >> 4, byte & 15)][:n]
+
+
 def _track(data: bytes, trak: Box) -> Description:
     """From the sample tables of one track."""
     a = trak.at(b"tkhd").begin
@@ -105,11 +124,8 @@ def _track(data: bytes, trak: Box) -> Description:
     stbl = trak.at(b"mdia", b"minf", b"stbl")
     a = stbl.at(b"stsd").begin
     codec = data[a + 12 : a + 16].decode("latin-1")
-    a = stbl.at(b"stsz").begin
-    each, n = struct.unpack_from(">II", data, a + 4)
-    if max(each, 1) * n > len(data) or (not each and a + 12 + 4 * n > stbl.at(b"stsz").end):
-        raise ValueError("samples are larger than the file")
-    sizes = [each] * n if each else list(struct.unpack_from(f">{n}I", data, a + 12))
+    sizes = _compact_sizes(data, stbl.at(b"stz2")) if stbl.all(b"stz2") else _sizes(data, stbl.at(b"stsz"))
+    n = len(sizes)
     wide = bool(stbl.all(b"co64"))
     a = stbl.at(b"co64" if wide else b"stco").begin
     (chunks,) = struct.unpack_from(">I", data, a + 4)
@@ -121,6 +137,9 @@ def _track(data: bytes, trak: Box) -> Description:
     if a + 8 + 12 * runs > stbl.at(b"stsc").end:
         raise ValueError("a table is larger than its box")
     table = [struct.unpack_from(">III", data, a + 8 + 12 * i) for i in range(runs)]
+    starts = [first for first, _, _ in table]
+    if starts and (starts[0] != 1 or any(a >= b for a, b in zip(starts, [*starts[1:], chunks + 1], strict=True))):
+        raise ValueError("runs of chunks that do not rise from the first")
     samples, k = [], 0
     for i, (first, per, _) in enumerate(table):
         last = table[i + 1][0] - 1 if i + 1 < runs else chunks
@@ -207,6 +226,8 @@ def describe_all(data: bytes) -> list[Description] | None:
         _fragments(data, top, tracks)
         if any(o < 0 or o + s > len(data) for t in found for o, s in t.samples):
             return None
+        if sum(s for t in found for _, s in t.samples) > len(data):  # samples that share bytes would make a payload of any size
+            return None
         return found
     except (KeyError, ValueError, struct.error, IndexError):
         return None
@@ -298,13 +319,16 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def inspect(media: DataFrame, media_col: str = "media") -> DataFrame:
     """`media` without its bytes, with what the containers say and digests of the payloads that were read back.
 
+    Where `media` has a column of a name that is added, in any case of letters, the added one counts. A file that is no
+    container, whose tables don't fit or whose samples add up to more than it has, gives nulls but for its size and digest.
+
     Adds codec, duration_s, n_samples, keyframes (offset and length each), payload_bytes, payload_sha256,
     tail_crc32 (of the last 64 bytes), media_bytes, media_sha256 and feature, of the first track, and tracks: the same
     of every track.
     """
-    kept = [c for c in media.columns if c != media_col]
     added = "codec string, duration_s double, n_samples long, keyframes array<struct<offset: long, length: long>>, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tracks array<struct<track: long, codec: string, duration_s: double, n_samples: long, keyframes: array<struct<offset: long, length: long>>, payload_bytes: long, payload_sha256: string>>"
     names = ["codec", "duration_s", "n_samples", "keyframes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tracks"]
+    kept = [c for c in media.columns if c != media_col and c.lower() not in names]
 
     def run(batches: Iterator) -> Iterator:
         from hashlib import sha256

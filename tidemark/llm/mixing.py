@@ -3,8 +3,9 @@
 Every document draws an exponential key scaled by its quality weight (-ln(u) / weight, u from a hash of its id),
 documents are sorted by key within their source, and prefix sums of their sizes meet the source's token budget.
 Complete epochs precede the fractional selection: a budget of 2.4 times a source takes each document twice and
-then documents in key order for the remaining 0.4. Documents are taken whole; what the first pass leaves free,
-because the next document in order is too long, goes in the same order to documents that still fit.
+then documents in key order for the remaining 0.4. Documents are taken whole; what a pass leaves free, because the next
+document in order is too long, goes in the same order to documents that still fit, until none does. Each further pass
+reads only what still fits, and none of the documents that stopped an earlier one is among it.
 
 Documents of a source are dealt to cells by the share of its keys that are smaller, computed from the counts of its
 weights, so that cells follow the key and are even whatever the weights are.
@@ -17,6 +18,7 @@ an empty table gives an empty mix; columns besides id, text and source are ignor
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -58,18 +60,17 @@ def targets(sizes: DataFrame, weights: Sequence[float], most_epochs: float) -> D
     return rows.select("source", "source_size", F.coalesce(target, F.col("_cap")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: Sequence[float], most_epochs: float = 3, seed: int = 17, fills: int = 2, weight: Column | None = None, draw: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: Sequence[float], most_epochs: float = 3, seed: int = 17, weight: Column | None = None, draw: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """For each row: id, size, source, source_size, target, epochs (whole times taken) and taken (words).
 
-    `weight`: quality weight of a document, a Column over `docs`. `fills`: further passes over the documents that
-    fit into what the pass before left free. `draw`: what a document's draw is hashed from, its id and text where none is
-    given.
+    `weight`: quality weight of a document, a Column over `docs`. `draw`: what a document's draw is hashed from, its id and
+    text where none is given.
     """
     with scratch(docs.sparkSession) as scope:
-        return scope.keep(_mixed(docs, weights, most_epochs, seed, fills, weight, draw, id_col, text_col, source_col), "mix")
+        return scope.keep(_mixed(docs, weights, most_epochs, seed, weight, draw, id_col, text_col, source_col), "mix")
 
 
-def _mixed(docs: DataFrame, weights: Sequence[float], most_epochs: float, seed: int, fills: int, weight: Column | None, draw: Column | None, id_col: str, text_col: str, source_col: str) -> DataFrame:
+def _mixed(docs: DataFrame, weights: Sequence[float], most_epochs: float, seed: int, weight: Column | None, draw: Column | None, id_col: str, text_col: str, source_col: str) -> DataFrame:
     text = F.col(text_col).cast("string")
     size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
     u = (F.shiftrightunsigned(F.xxhash64(*([F.col(id_col), text] if draw is None else [draw]), F.lit(seed)), 11) + 0.5) / float(1 << 53)
@@ -91,20 +92,22 @@ def _mixed(docs: DataFrame, weights: Sequence[float], most_epochs: float, seed:
     cells = cells_for(n_rows)
     smaller = F.aggregate("_levels", F.lit(0.0), lambda acc, x: acc + x["_n"] * (1.0 - F.exp(-F.col("_key") * x["w"])))
     joined = joined.withColumn("_cell", F.floor(smaller / F.col("_n") * cells)).drop("_levels", "_n", "_level")
-    state = durable(joined.withColumn("_source", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).withColumn("extra", F.lit(0)), "mix-0")
-    order = [F.col("_key"), F.col("size"), F.col("_tie"), F.col("id")]
-    bucket = F.col("_cell")
-    for turn in range(fills + 1):
-        fits = (F.col("extra") == 0) & (F.col("size") > 0) & (F.col("size") <= F.col("_free"))
-        summed = prefix(state, ["_source"], bucket, order, "_before", F.when(fits, F.col("size")).otherwise(F.lit(0).cast("long")))
-        take = fits & (F.col("_before") + F.col("size") <= F.col("_free"))
-        state = summed.withColumn("_new", F.when(take, F.col("size")).otherwise(F.lit(0).cast("long"))).drop("_before")
-        state = state.withColumn("extra", F.when(F.col("_new") > 0, 1).otherwise(F.col("extra")))
-        state = durable(state, f"mix-{turn + 1}")
-        if turn < fills:
-            used = durable(state.groupBy("_source").agg(F.sum("_new").alias("_used")), "mix-used")  # one row a source, of known size
-            state = state.join(used, "_source").withColumn("_free", F.col("_free") - F.col("_used")).drop("_used", "_new")
-            # Written before the next pass, so that its windows are dealt by (source, bucket) and not as this join was.
-            state = durable(state, "mix-left")
-    copies = F.col("epochs") + F.col("extra")
-    return state.select(F.col("id").alias(id_col), "size", F.col("source").alias(source_col), "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    state = joined.withColumn("_source", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).withColumn("_row", F.monotonically_increasing_id())
+    state = durable(state, "mix-0")
+    order = [F.col("_key"), F.col("size"), F.col("_tie"), F.col("id"), F.col("_row")]
+    narrow = ["_source", "_cell", "_key", "size", "_tie", "id", "_row", "_free"]
+    fits = (F.col("size") > 0) & (F.col("size") <= F.col("_free"))
+    open_ones, taken = state.select(narrow), []
+    while True:
+        summed = prefix(open_ones, ["_source"], F.col("_cell"), order, "_before", F.when(fits, F.col("size")).otherwise(F.lit(0).cast("long")))
+        tried = durable(summed.withColumn("_take", fits & (F.col("_before") + F.col("size") <= F.col("_free"))), "mix-pass")
+        taken.append(tried.filter("_take").select("_row"))
+        used = durable(tried.groupBy("_source").agg(F.coalesce(F.sum(F.when(F.col("_take"), F.col("size"))), F.lit(0).cast("long")).alias("_used")), "mix-used")  # one row a source
+        left = tried.filter("not _take").join(used, "_source").withColumn("_free", F.col("_free") - F.col("_used"))
+        # Written before the next pass, so that its windows are dealt by (source, cell) and not as this join was.
+        open_ones = durable(left.filter(fits).select(narrow), "mix-left")
+        if not open_ones.limit(1).count():
+            break
+    extra = reduce(DataFrame.union, taken).withColumn("extra", F.lit(1))
+    copies = F.col("epochs") + F.coalesce("extra", F.lit(0))
+    return state.join(extra, "_row", "left").select(F.col("id").alias(id_col), "size", F.col("source").alias(source_col), "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))

@@ -31,10 +31,15 @@ from tidemark.tables import durable, fresh, shared_dir
 MOST_KEYS = 4_000_000
 
 
+def lowered(host: str) -> str:
+    """A-Z lower-cased and nothing else."""
+    return host.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+
+
 def key_of(rule: str) -> str:
     """A rule such as `example.com/en/7` as a key: the host, a blank, the path prefix."""
     host, slash, path = rule.partition("/")
-    return f"{host.lower()} {slash}{path}"
+    return f"{lowered(host)} {slash}{path}"
 
 
 def split(url: str | None) -> tuple[str, str]:
@@ -46,7 +51,7 @@ def split(url: str | None) -> tuple[str, str]:
     rest = rest[:end]
     slash = rest.find("/")
     host, path = (rest, "") if slash < 0 else (rest[:slash], rest[slash:])
-    return host.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass"), path
+    return lowered(host), path
 
 
 @dataclass
