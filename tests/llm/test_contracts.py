@@ -10,7 +10,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import media, mixing, sharding, url_filter
+from tidemark.llm import classifier, media, mixing, sharding, url_filter
 from tidemark.llm.queries import CONTEXT, QUERIES, SHARDS, TOKENIZER
 
 DATA = "/root/testdata/sf0.01"
@@ -113,6 +113,37 @@ def test_packing_query_has_no_gaps(spark):
     assert len(places) <= total / CONTEXT * 1.01 + 1
 
 
+def test_words_alone_tell_two_vocabularies_apart():
+    """Positives and the rest differ by their words only: lengths, punctuation and repetitions are alike."""
+    import numpy as np
+
+    rng = random.Random(5)
+    words = [["".join(rng.choices("abcdefgh", k=5)) for _ in range(30)] for _ in range(2)]
+    text = lambda v: " ".join(rng.choices(words[v], k=80)) + "."
+    kinds = [i % 2 for i in range(1200)]
+    x = np.array([classifier.features(text(k)) for k in kinds], np.float64)
+    trusted = np.array([k == 0 and i < 400 for i, k in enumerate(kinds)])
+    mean, scale = x.mean(0), np.maximum(x.std(0), 1e-3)
+    p, u = (np.c_[(part - mean) / scale, np.ones(len(part))] for part in (x[trusted], x))
+    w = classifier.descend(p, lambda w: classifier.sums_at(w, u), 0.5, (300.0, 300.0))
+    fresh = np.array([classifier.features(text(k)) for k in kinds[:400]], np.float64)
+    scores, good = np.c_[(fresh - mean) / scale, np.ones(400)] @ w, np.array(kinds[:400]) == 0
+    assert (scores[good][:, None] > scores[~good]).mean() > 0.98
+
+
+def test_cross_fitting_counts_decisions_of_folds_left_out():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    quality = np.array([1, 0, -1] * 200)
+    x = np.zeros((600, classifier.FEATURES))
+    x[:, 0] = np.where(quality == 0, 4.0, 0.0) + rng.normal(0, 0.3, 600)
+    assert classifier.cross_fitted(x, quality, np.arange(600) // 3 % 4, (1.0, 1e6)) == (0, 0)
+    assert classifier.cross_fitted(x, np.where(quality == 0, 1, quality), np.arange(600) // 3 % 4, (1.0, 1e6))[1] == 0
+    swapped = np.where(np.arange(600) < 3, 1 - np.abs(quality), quality)  # a wrong label each way in one fold
+    assert sum(classifier.cross_fitted(x, swapped, np.arange(600) // 3 % 4, (1.0, 1e6))) >= 2
+
+
 def _file(stsz: bytes, stsc: tuple, payload: bytes = bytes(range(64)), offsets: tuple = (0,)) -> bytes:
     """A container with one track and the given sample tables; offsets count from the payload's start."""
     def made(base: int) -> bytes:

@@ -763,7 +763,7 @@ def test_descent_reaches_the_smallest_risk_that_is_not_negative():
     p, u = np.c_[rng.normal(1.5, 1, (300, 2)), np.ones(300)], np.c_[np.r_[rng.normal(1.5, 1, (300, 2)), rng.normal(-1.5, 1, (700, 2))], np.ones(1000)]
     at = lambda w: classifier.sums_at(w, u)
     w = classifier.descend(p, at, 0.3)
-    ridge = np.diag([classifier.PENALTY / 300] * 2 + [1e-9])
+    ridge = np.diag([classifier.PENALTIES[0] / 300] * 2 + [1e-9])
 
     def objective(w):
         own, negative = classifier.risk(w, p, at(w), 0.3)
