@@ -51,7 +51,7 @@ def test_changes_hold_windows_against_the_snapshot(spark):
         features.changes(rows(d(2026, 3, 1), d(2026, 2, 9), d(2026, 3, 20)), ["series_id"], "as_of").collect()
 
 
-@pytest.mark.parametrize("t,df", [(12.706, 1), (4.303, 2), (3.182, 3), (2.228, 10), (2.086, 20), (2.024, 38), (2.0227, 39)])
+@pytest.mark.parametrize("t,df", [(2.776, 4), (2.447, 6), (2.365, 7), (2.262, 9), (2.131, 15), (2.060, 25), (2.000, 60)])
 def test_published_critical_values(spark, t, df):
     assert one(spark, C.two_sided_p(F.lit(t), F.lit(df))) == pytest.approx(0.05, abs=1e-3)
 
@@ -169,6 +169,36 @@ def test_ridge_against_plain_algebra():
     assert ridge.forecast(flat, y, np.r_[new, 3.0], penalties, 0.8)["point"] == pytest.approx(got["point"])
 
 
+def test_native_ridge_equals_the_grouped_one(spark):
+    """All columns to 1e-8: many and few rows, a flat input, too few errors for an interval, an origin that is skipped."""
+    from tidemark.operators import ridge_native
+    from tidemark.tables import durable
+
+    rng = np.random.default_rng(8)
+    terms = [design.Term(f"t{j}", "F", design.LEVEL, 1) for j in range(4)]
+    rows = []
+    for k, (n, skip) in enumerate([(120, None), (61, None), (47, None), (36, None), (30, None), (25, None), (12, "too few")]):
+        x = np.c_[rng.normal([5.0, -3e5, 0.01], [1.0, 200.0, 0.002], (n + 1, 3)), np.full(n + 1, 3.0)]
+        y = x[:, :3] @ [1.5, 0.025, 700.0] + rng.normal(0, 3, n + 1)
+        for i, m in enumerate(months(n + 1, 2001)):
+            rows.append((date(2025, 1, 1 + k), m, i == n, None if i == n else float(y[i]), *map(float, x[i]), "ok", n, 7.0, skip))
+        rows.append((date(2025, 1, 1 + k), date(1999, 1, 1), False, 1e9, 1.0, 1.0, 1.0, 1.0, "excluded", n, 7.0, skip))
+    table = durable(spark.createDataFrame(rows, "origin date, month date, is_next boolean, y double, t0 double, t1 double, t2 double, t3 double, status string, n_ok long, last_change double, skip_reason string"), "design")
+    for penalties in (ridge.PENALTIES, (3.0,)):
+        a, b = ({r["origin"]: r for r in made.collect()} for made in (ridge.forecasts(table, terms, {"F": "u"}, penalties, 0.9), ridge_native.forecasts(table, terms, {"F": "u"}, penalties, 0.9)))
+        assert len(a) == 7 == len(b)
+        for origin, r in a.items():
+            s = b[origin]
+            for c in ("target_month", "model", "n_train", "baseline_point", "penalty", "skip_reason", "interval_level"):
+                assert r[c] == s[c], (origin, c)
+            for c in ("point", "lower", "upper", "intercept"):
+                assert (r[c] is None) == (s[c] is None) and (r[c] is None or s[c] == pytest.approx(r[c], rel=1e-8, abs=1e-8)), (origin, c)
+            assert (r["drivers"] is None) == (s["drivers"] is None)
+            for d, e in zip(r["drivers"] or (), s["drivers"] or (), strict=True):
+                assert (d["name"], d["unit"], d["value"]) == (e["name"], e["unit"], e["value"])
+                assert e["contribution"] == pytest.approx(d["contribution"], abs=1e-8) and e["coefficient"] == pytest.approx(d["coefficient"], abs=1e-8)
+
+
 def test_top_drivers_break_ties_by_place(spark):
     d = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(c).alias("contribution")) for n, c in (("a", -2.0), ("b", 5.0), ("c", 2.0), ("d", 1.0))))
     assert [x["name"] for x in one(spark, ridge.top_drivers(d, 3))] == ["b", "a", "c"]

@@ -26,7 +26,7 @@ def stale_inputs(panel: DataFrame, forecasts: DataFrame, dimension: DataFrame, t
     """(origin, stale): features whose newest value is older than the month to forecast, by series, with how far behind."""
     newest = panel.filter((F.col("series_id") != target) & F.col("value").isNotNull()).groupBy("origin", "series_id").agg(F.max("month").alias("newest"))
     behind = newest.join(forecasts.select("origin", "target_month").distinct(), "origin").withColumn("k", months_between("target_month", "newest")).filter("k > 0")
-    named = behind.join(F.broadcast(dimension.select("series_id", "label")), "series_id")
+    named = behind.join(dimension.select("series_id", "label"), "series_id")
     text = F.concat("label", F.lit(" ("), "k", F.when(F.col("k") == 1, F.lit(" month behind)")).otherwise(F.lit(" months behind)")))
     return named.groupBy("origin").agg(F.sort_array(F.collect_list(F.struct("series_id", text.alias("text")))).alias("s")).select("origin", F.col("s.text").alias("stale"))
 

@@ -257,6 +257,7 @@ marked AS (SELECT *, CASE WHEN NOT is_next AND dirty THEN 'excluded' WHEN missin
 SELECT origin, month, is_next, round(y + 1e-7, 4) AS y, {", ".join(f"round({n} + 1e-7, 4) AS {n}" for n in _NAMES)}, status, missing, count(*) FILTER (status = 'ok' AND NOT is_next) OVER (PARTITION BY origin) AS n_ok FROM marked""",
     "upsert_observations": f"WITH {OBS} SELECT series_id, obs_date, realtime_start, realtime_end, round(value + 1e-7, 4) AS value FROM obs",
     "stored_revisions": f"WITH {OBS} SELECT series_id, obs_date, realtime_start, realtime_end, round(value + 1e-7, 4) AS value FROM obs",
+    "late_revisions": f"WITH {OBS} SELECT series_id, obs_date, realtime_start, realtime_end, round(value + 1e-7, 4) AS value FROM obs",
     "release_calendar": f"WITH {OBS} SELECT 194::INT AS release_id, origin AS release_date FROM releases WHERE origin <= DATE '2001-06-30'",
     "series_summary": f"WITH {OBS} SELECT series_id, count(*) AS n_rows, count(DISTINCT obs_date) AS n_dates, round(count(*) / count(DISTINCT obs_date) + 1e-7, 4) AS revision_density, max(obs_date) AS latest FROM obs GROUP BY series_id",
     "store_violations": f"""WITH {OBS}, snap AS (SELECT r.origin, o.obs_date, count(*) AS n FROM releases r, obs o WHERE series_id = '{TARGET}' AND realtime_start <= origin AND realtime_end >= origin GROUP BY ALL)
@@ -264,6 +265,7 @@ SELECT count(*) AS n_rows, count(*) FILTER (realtime_start < DATE '2002-01-01')
     "history": f"""WITH {OBS}, cur AS (SELECT series_id, obs_date, value, value - lag(value) OVER (PARTITION BY series_id ORDER BY obs_date) AS mom, row_number() OVER (PARTITION BY series_id ORDER BY obs_date DESC) AS nth
   FROM obs WHERE realtime_end = DATE '9999-12-31') SELECT series_id, obs_date, round(value + 1e-7, 4) AS value, round(mom + 1e-7, 4) AS mom FROM cur WHERE nth <= 12""",
     "ridge_forecasts": f"{_RIDGE} SELECT origin, target_month, model, " + ", ".join(f"round({c} + 1e-7, 4) AS {c}" for c in ("point", "lower", "upper", "interval_level")) + ", n_train, " + ", ".join(f"round({c} + 1e-7, 4) AS {c}" for c in ("baseline_point", "penalty", "intercept")) + ", skip_reason FROM ridge",
+    "ridge_native": f"{_RIDGE} SELECT origin, target_month, model, " + ", ".join(f"round({c} + 1e-7, 4) AS {c}" for c in ("point", "lower", "upper", "interval_level")) + ", n_train, " + ", ".join(f"round({c} + 1e-7, 4) AS {c}" for c in ("baseline_point", "penalty", "intercept")) + ", skip_reason FROM ridge",
     "ridge_drivers": f"{_RIDGE}, labels(j, name, label, series_id) AS (VALUES {_LABELS}) SELECT origin, name, round(value + 1e-7, 4) AS value, round(coefficient + 1e-7, 4) AS coefficient, round(contribution + 1e-7, 4) AS contribution FROM drivers JOIN labels USING (j)",
     "ridge_scorecard": f"{_SCORED_ALL} {_CARD_OUT}",
     "model_skips": f"""{_ALL} needs(model, least) AS (VALUES ('random_walk', 2), ('mean_3m', 3), ('mean_6m', 6), ('drift', 3)),

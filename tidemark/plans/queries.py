@@ -7,9 +7,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark import streaming
 from tidemark.functions import columns as C
 from tidemark.operators import design, explain, features, revisions, ridge, scoring, store
 from tidemark.operators.design import CHANGE, LEVEL, TRAILING_MEAN, Term
+from tidemark.operators.ridge_native import forecasts as ridge_native_of
 from tidemark.plans import backtest
 from tidemark.sources import derived
 from tidemark.sources.registry import registry, to_canonical, unit_label
@@ -153,6 +155,12 @@ def ridge_forecasts(spark, sf_dir):
     return _rounded(_ridge(spark, sf_dir).drop("drivers"))
 
 
+def ridge_native(spark, sf_dir):
+    """The same forecasts by expressions alone, without a Python group."""
+    stored = durable(_design(spark, sf_dir), "design")
+    return _rounded(ridge_native_of(stored, TERMS, backtest.units_of(registry(spark, derived.SERIES))).drop("drivers"))
+
+
 def ridge_drivers(spark, sf_dir):
     """Every term's value, weight and contribution in every forecast."""
     made = _ridge(spark, sf_dir).filter("point is not null").select("origin", F.inline("drivers"))
@@ -262,6 +270,26 @@ def stored_revisions(spark, sf_dir):
         remove(spark, kept.path)
 
 
+def late_revisions(spark, sf_dir):
+    """The same revisions as a stream, each twice and in no order: state by series and date closes windows as revisions arrive."""
+    folder = f"{shared_dir(spark)}/tidemark-stream-{uuid.uuid4().hex}"
+    kept = store.Store(spark, f"{folder}/store", 2, 4)
+    before = {name: spark.conf.get(name) for name in streaming.STATE_STORE}
+    try:
+        known = derived.observations(spark, sf_dir).select("series_id", "obs_date", "realtime_start", "value", F.lit("derived").alias("source"), F.lit("2002-01-01").cast("timestamp").alias("fetched_at"))
+        twice = known.withColumn("_copy", F.explode(F.array(F.lit(0), F.lit(1))))
+        twice.repartition(4, F.xxhash64("series_id", "obs_date", "realtime_start", "_copy")).drop("_copy").write.parquet(f"{folder}/in")
+        for name, value in streaming.STATE_STORE.items():
+            spark.conf.set(name, value)
+        arriving = spark.readStream.schema(revisions.REVISIONS).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+        streaming.upsert_stream(streaming.windows_stream(arriving), kept, f"{folder}/checkpoint", guarded=False).trigger(availableNow=True).start().awaitTermination()
+        return durable(_rounded(kept.observations().select("series_id", "obs_date", "realtime_start", "realtime_end", "value")), "late-revisions")
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+        remove(spark, folder)
+
+
 def history(spark, sf_dir):
     return _rounded(features.history(derived.observations(spark, sf_dir), 12))
 
@@ -269,5 +297,5 @@ def history(spark, sf_dir):
 #: Each leaves its result's table at most.
 QUERIES = {f.__name__: tidy(f) for f in (
     observations_vintages, canonical_values, asof_panel, lag_shifted_panel, weekly_to_monthly, monthly_changes, trailing_mean, baseline_forecasts,
-    scorecard_baselines, scorecard_lag_shifted, gap_outcomes, gap_scorecard, relative_mae, attempted_scored, significance, design_matrix, ridge_forecasts, ridge_scorecard,
-    explanations, forecast_json, ridge_drivers, model_skips, recent_average, months_available, default_as_of, upsert_observations, stored_revisions, release_calendar, series_summary, store_violations, history)}
+    scorecard_baselines, scorecard_lag_shifted, gap_outcomes, gap_scorecard, relative_mae, attempted_scored, significance, design_matrix, ridge_forecasts, ridge_native, ridge_scorecard,
+    explanations, forecast_json, ridge_drivers, model_skips, recent_average, months_available, default_as_of, upsert_observations, stored_revisions, late_revisions, release_calendar, series_summary, store_violations, history)}

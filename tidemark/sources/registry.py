@@ -56,7 +56,7 @@ def unit_label(units: str | Column) -> Column:
 def to_canonical(observations: DataFrame, dimension: DataFrame) -> DataFrame:
     """Values in thousands, null where the value is null; an unknown series is an error. The one place that scales.
 
-    The registry is a dimension of one row a series and is checked to be small before it is sent out.
+    The registry has one row a series; Spark sends it to every task where its size is below the session's threshold.
     """
     known = dimension.select("series_id", "scale_to_thousands", F.lit(True).alias("_known"))
     joined = observations.join(known, "series_id", "left")
