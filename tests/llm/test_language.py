@@ -25,6 +25,16 @@ def test_grams_count_runs_of_characters():
     assert (at == same).all() and (count == n).all()
 
 
+def test_blocks_of_a_long_text_lose_no_run(monkeypatch):
+    rng = random.Random(2)
+    text = "".join(rng.choices("ab cé☃", k=1000))
+    at, count = language.grams(text)
+    for size in (1, 2, 3, 7, 999, 1002, 1003):
+        monkeypatch.setattr(language, "BLOCK", size)
+        same, n = language.grams(text)
+        assert (at == same).all() and (count == n).all()
+
+
 def test_leader_follows_the_plain_rule():
     rng = random.Random(1)
     classes, size = 3, 6

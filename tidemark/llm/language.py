@@ -25,6 +25,8 @@ from tidemark.llm.common import durable, scratch
 
 BUCKETS = 1 << 16
 LONGEST = 4
+#: Characters whose runs are counted at once, so that a long text needs little more memory than itself.
+BLOCK = 1 << 18
 #: At most so many labelled rows are fitted, and so many of their values.
 SAMPLE, SAMPLE_VALUES = 10_000, 20_000_000
 UNKNOWN = "und"
@@ -46,14 +48,17 @@ def grams(text: str | None):
     ascii_letter = (c >= 97) & (c <= 122)
     c = np.where(ascii_letter | (c > 127), c, np.uint32(32))
     c = np.r_[np.uint32(32), c, np.uint32(32)]
-    c = c[np.r_[True, (c[1:] != 32) | (c[:-1] != 32)]].astype(np.uint64)
-    found, h = [], np.zeros(len(c), np.uint64)
-    for k in range(1, LONGEST + 1):
-        if len(c) < k:
-            break
-        h = h[: len(c) - k + 1] * np.uint64(0x100000001B3) + c[k - 1 :] + np.uint64(k)
-        found.append(((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.int64))
-    count = np.bincount(np.concatenate(found), minlength=BUCKETS)
+    c = c[np.r_[True, (c[1:] != 32) | (c[:-1] != 32)]]
+    count = np.zeros(BUCKETS, np.int64)
+    for start in range(0, len(c), BLOCK):
+        part = c[start : start + BLOCK + LONGEST - 1].astype(np.uint64)
+        h, found = np.zeros(len(part), np.uint64), []
+        for k in range(1, LONGEST + 1):
+            n = min(BLOCK, len(part) - k + 1)  # runs that start in this block
+            if n > 0:
+                h = h[: len(part) - k + 1] * np.uint64(0x100000001B3) + part[k - 1 :] + np.uint64(k)
+                found.append(((h[:n] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.int64))
+        count += np.bincount(np.concatenate(found), minlength=BUCKETS)
     at = np.flatnonzero(count)
     return at, count[at]
 
