@@ -11,7 +11,8 @@ Documents with equal sets are one node. In each band bucket a hub (the member th
 with every other member, and the links found are joined into components. Pairs inside a component cannot change it;
 only members of buckets that still hold different components meet, and they do so where the rarest shingles of one are
 among the rarest of the other. Sets that are similar enough must share one of those, so no pair is lost, and texts that
-share what is common and differ in what is rare never meet, however many they are.
+share what is common and differ in what is rare seldom meet. Frequencies are counted in SLOTS slots: with far more shingles
+than that the order of the rare ones blurs, which costs work and loses nothing.
 
 Work grows with the number of pairs that are nearly similar, not with the square of a bucket, and components lose no
 link between candidates.
