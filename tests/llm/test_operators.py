@@ -84,6 +84,32 @@ def test_encoder_gives_the_ids_of_the_file_for_every_class_of_character():
         assert list(memoryview(e(t)).cast("I")) == plain.encode(t, add_special_tokens=False).ids, hex(ord(c))
 
 
+def test_encoder_merges_a_word_once_and_cuts_no_word_of_letters():
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(TOKENIZER)
+    e, cut, merge = Encoder(TOKENIZER), [], []
+    pattern, merged = e.cut, e._of_shown
+    e.cut, e._of_shown = lambda t: cut.append(t) or pattern(t), lambda t: merge.append(t) or merged(t)
+    text = "First blonthing übermär, blonthing. blonthing! übermär.\nNext blonthing-x слово 日本; word"
+    assert list(memoryview(e(text)).cast("I")) == plain.encode(text, add_special_tokens=False).ids
+    assert cut == ["First", " übermär.\nNext", " blonthing-x"]
+    assert len(merge) == len(set(merge)) and not any(t[1:].isalpha() and t[0] == " " for t in e.tokens)
+
+
+def test_encoder_gives_the_ids_of_the_file_for_every_letter():
+    import unicodedata
+
+    from tokenizers import Tokenizer
+
+    e, plain = Encoder(TOKENIZER), Tokenizer.from_file(TOKENIZER)
+    letters = [c for c in map(chr, range(0x110000)) if unicodedata.category(c)[0] == "L"]
+    assert all(map(str.isalpha, letters)) and len(letters) > 100_000
+    for i in range(0, len(letters), 200):
+        t = "".join(f" {c} a{c}b, {c}. '{c}" for c in letters[i : i + 200])
+        assert list(memoryview(e(t)).cast("I")) == plain.encode(t, add_special_tokens=False).ids, hex(ord(letters[i]))
+
+
 def test_quality_rules_against_plain_loops(docs, rows, nothing):
     got = sorted(map(tuple, quality_rules.ledger(docs).select("doc_id", *quality_rules.MEASURES).collect()))
     want = []

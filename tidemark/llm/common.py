@@ -57,14 +57,14 @@ _SPACES = re.compile(r" \s")
 
 
 class _Kept(dict):
-    """Values by key, computed when missing. Keys of up to `LONGEST` characters are kept; beyond `most` of them or `BYTES`,
-    those not used lately go, so that two tables of that size are held at most."""
+    """Values by key, computed when missing. Keys of up to `LONGEST` characters are kept; beyond `most` of them or
+    `most_bytes`, those not used lately go, so that two tables of that size are held at most."""
 
-    LONGEST, BYTES = 64, 40 << 20
+    LONGEST = 64
 
-    def __init__(self, compute, most: int):
+    def __init__(self, compute, most: int, most_bytes: int = 20 << 20):
         super().__init__()
-        self.compute, self.most, self.older, self.held = compute, most, {}, 0
+        self.compute, self.most, self.most_bytes, self.older, self.held = compute, most, most_bytes, {}, 0
 
     def __missing__(self, key):
         if (value := self.older.get(key)) is None:
@@ -72,7 +72,7 @@ class _Kept(dict):
             if len(key) > self.LONGEST:
                 return value
         self.held += 200 + 2 * len(key)  # two objects and their places; longer ones differ by little
-        if len(self) >= self.most or self.held > self.BYTES:
+        if len(self) >= self.most or self.held > self.most_bytes:
             self.older, self.held = dict(self), 0
             self.clear()
         self[key] = value
@@ -84,7 +84,8 @@ class Encoder:
 
     The pre-tokenizer always breaks before a space that stands between two other characters, so a text
     without " " before white space is the concatenation of its pieces cut there. The model of the tokenizer
-    computes the ids of each pre-token once; pieces and pre-tokens are kept in bounded tables. Other texts, those that
+    computes the ids of each pre-token once; pieces and pre-tokens are kept in bounded tables. A word of letters is one
+    pre-token with the space before it: it is kept as a piece alone, and no pattern looks at it. Other texts, those that
     contain an added token's string, and those with a character that Python's tables don't assign, whose class the
     pattern and the tokenizer may see differently, are encoded as a whole by the tokenizer.
     """
@@ -107,16 +108,26 @@ class Encoder:
         others = [b for b in range(256) if b not in set(plain)]
         shown = {b: chr(256 + i) for i, b in enumerate(others)}
         self.printable = "".join(shown.get(b, chr(b)) for b in range(256))
+        self.space = self.printable[32]
         self.assigned = _Kept(lambda c: unicodedata.category(c) != "Cn", 0x20000)
         self.tokens = _Kept(self._of_pretoken, most)
-        self.pieces = _Kept(self._of_piece, most)
+        self.pieces = _Kept(self._of_piece, most, 60 << 20)
 
-    def _of_pretoken(self, text: str) -> bytes:
-        shown = text.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.printable)
+    def _of_shown(self, shown: str) -> bytes:
         return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
 
+    def _of_pretoken(self, text: str) -> bytes:
+        return self._of_shown(text.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.printable))
+
     def _of_piece(self, piece: str) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, self.cut(f" {piece}")))
+        if piece.isalpha():
+            return self._of_shown(self.space + piece) if piece.isascii() else self._of_pretoken(f" {piece}")
+        word, last = piece[:-1], piece[-1]
+        if last in ",.;:!?" and word.isalpha():
+            return self.pieces[word] + self.tokens[last]
+        first, *rest = self.cut(f" {piece}")
+        word = first[1:]
+        return b"".join([self.pieces[word] if word.isalpha() else self.tokens[first], *map(self.tokens.__getitem__, rest)])
 
     def __call__(self, text: str) -> bytes:
         if not text:
