@@ -93,21 +93,41 @@ def test_encoder_merges_a_word_once_and_cuts_no_word_of_letters():
     e.cut, e._of_shown = lambda t: cut.append(t) or pattern(t), lambda t: merge.append(t) or merged(t)
     text = "First blonthing übermär, blonthing. blonthing! übermär.\nNext blonthing-x слово 日本; word"
     assert list(memoryview(e(text)).cast("I")) == plain.encode(text, add_special_tokens=False).ids
-    assert cut == ["First", " übermär.\nNext", " blonthing-x"]
-    assert len(merge) == len(set(merge)) and not any(t[1:].isalpha() and t[0] == " " for t in e.tokens)
+    assert not any(t[0] == " " and t[1:].isalpha() for t in cut)
+    assert len(merge) == len(set(merge))
+    assert merge and not merge.clear() and e(text) and not merge
+
+
+@pytest.mark.parametrize(("chunk", "held", "most"), [(1, 0, 9), (40, 200, 9), (300, 2000, 7), (1 << 20, 1 << 20, 1000)])
+def test_encoder_gives_the_ids_of_a_column_in_any_chunks(chunk, held, most):
+    import pyarrow as pa
+
+    rng = random.Random(chunk)
+    parts = ["a", "word", " word", " ", "  ", "\n", "Next", ", ", ".", "'s", " é", "é,", "1", "\u3000", "\x1c", "\u0378", "<|endoftext|>", "日本", "😀", "z" * 70]
+    texts = [None if rng.random() < 0.1 else "".join(rng.choices(parts, k=rng.randint(0, 9))) for _ in range(1500)]
+    e = Encoder(TOKENIZER, most)
+    e.CHUNK, e.HELD = chunk, held
+    ids = [e.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for kind in (pa.string(), pa.large_string()):
+        for a, b in ((0, 1500), (7, 9), (700, 1400), (3, 3)):
+            got = [list(memoryview(bytes(x)).cast("I")) for x in e.column(pa.array(texts, kind)[a:b])]
+            assert got == ids[a:b]
+            assert len(e.known) == len(e.ids) <= most and e.known.nbytes + e.ids.nbytes <= held + 100
+    assert list(e.column(pa.array([], pa.string()))) == []
 
 
 def test_encoder_gives_the_ids_of_the_file_for_every_letter():
     import unicodedata
 
+    import pyarrow as pa
     from tokenizers import Tokenizer
 
     e, plain = Encoder(TOKENIZER), Tokenizer.from_file(TOKENIZER)
     letters = [c for c in map(chr, range(0x110000)) if unicodedata.category(c)[0] == "L"]
     assert all(map(str.isalpha, letters)) and len(letters) > 100_000
-    for i in range(0, len(letters), 200):
-        t = "".join(f" {c} a{c}b, {c}. '{c}" for c in letters[i : i + 200])
-        assert list(memoryview(e(t)).cast("I")) == plain.encode(t, add_special_tokens=False).ids, hex(ord(letters[i]))
+    texts = ["".join(f" {c} a{c}b, {c}. '{c}" for c in letters[i : i + 200]) for i in range(0, len(letters), 200)]
+    for t, ids in zip(texts, e.column(pa.array(texts)), strict=True):
+        assert list(memoryview(ids).cast("I")) == plain.encode(t, add_special_tokens=False).ids, t[:2]
 
 
 def test_quality_rules_against_plain_loops(docs, rows, nothing):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from array import array
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -82,25 +82,29 @@ class _Kept(dict):
 class Encoder:
     """Token ids of whole texts as little-endian unsigned 32-bit bytes, by a tokenizers file with byte-level BPE.
 
-    The pre-tokenizer always breaks before a space that stands between two other characters, so a text
-    without " " before white space is the concatenation of its pieces cut there. The model of the tokenizer
-    computes the ids of each pre-token once; pieces and pre-tokens are kept in bounded tables. A word of letters is one
-    pre-token with the space before it: it is kept as a piece alone, and no pattern looks at it. Other texts, those that
-    contain an added token's string, and those with a character that Python's tables don't assign, whose class the
-    pattern and the tokenizer may see differently, are encoded as a whole by the tokenizer.
+    The pre-tokenizer always breaks before a space that stands between two other characters, and after an ASCII letter
+    before another ASCII character, so a text without " " before white space is the concatenation of its pieces cut
+    there. A column's texts are cut and its pieces numbered in Arrow; the model of the tokenizer computes the ids of each
+    different piece once. Pieces are kept in bounded tables, the last used ones longest. Other texts, those that contain
+    an added token's string, and those with a character that Python's tables don't assign, whose class the pattern and
+    the tokenizer may see differently, are encoded as a whole by the tokenizer.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    CHUNK, HELD = 12 << 20, 24 << 20  # bytes of text looked at together, of pieces kept with their ids
+
+    def __init__(self, path: str, most: int = 1_000_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import numpy as np
+        import pyarrow as pa
         import regex
         from public_tokenizers import PATTERN
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        added = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)").search
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        added = sorted(t.content.encode("utf-8") for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.added = re.compile(b"|".join(map(re.escape, added)) or rb"(?!)").finditer
         self.model = self.tokenizer.model
         self.cut = regex.compile(PATTERN).findall
         # The printable form of byte-level BPE: printable bytes stand for themselves, others follow from 256 on.
@@ -109,33 +113,99 @@ class Encoder:
         shown = {b: chr(256 + i) for i, b in enumerate(others)}
         self.printable = "".join(shown.get(b, chr(b)) for b in range(256))
         self.space = self.printable[32]
+        self.letter = np.array([chr(b).isalpha() and b < 128 for b in range(256)])
+        self.other = np.array([not chr(b).isalpha() and b < 128 for b in range(256)])
         self.assigned = _Kept(lambda c: unicodedata.category(c) != "Cn", 0x20000)
         self.tokens = _Kept(self._of_pretoken, most)
-        self.pieces = _Kept(self._of_piece, most, 60 << 20)
+        self.known, self.ids = pa.array([], pa.string()), pa.array([], pa.large_binary())
 
     def _of_shown(self, shown: str) -> bytes:
         return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
 
     def _of_pretoken(self, text: str) -> bytes:
-        return self._of_shown(text.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.printable))
-
-    def _of_piece(self, piece: str) -> bytes:
-        if piece.isalpha():
-            return self._of_shown(self.space + piece) if piece.isascii() else self._of_pretoken(f" {piece}")
-        word, last = piece[:-1], piece[-1]
-        if last in ",.;:!?" and word.isalpha():
-            return self.pieces[word] + self.tokens[last]
-        first, *rest = self.cut(f" {piece}")
-        word = first[1:]
-        return b"".join([self.pieces[word] if word.isalpha() else self.tokens[first], *map(self.tokens.__getitem__, rest)])
+        return self._of_shown(text.encode("utf-8").decode("latin-1").translate(self.printable))
+
+    def _of_piece(self, piece: str) -> bytes | None:
+        """None: the text that holds it is encoded as a whole. Letters are one pre-token with the space before them."""
+        if piece[0] == " ":
+            word = piece[1:]
+            if word.isalpha():
+                return self._of_shown(self.space + word) if word.isascii() else self._of_pretoken(piece)
+            if not word or _SPACES.match(piece):
+                return None
+        if not (piece.isascii() or all(map(self.assigned.__getitem__, set(piece)))):
+            return None
+        return b"".join(map(self.tokens.__getitem__, self.cut(piece)))
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def column(self, texts) -> Iterator[bytes | memoryview]:
+        """Ids of every text of an Arrow array of strings; a null is empty."""
+        import numpy as np
+        import pyarrow as pa
+
+        texts = texts.fill_null("").cast(pa.large_string())
+        ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+        a = 0
+        while a < len(texts):
+            b = max(a + 1, int(np.searchsorted(ends, ends[a] + self.CHUNK, "right")) - 1)
+            if ends[b] == ends[a]:
+                yield from [b""] * (b - a)
+            else:
+                ids, edges, whole = self._chunk(texts.buffers()[2].slice(int(ends[a]), int(ends[b] - ends[a])), ends[a : b + 1] - ends[a])
+                for i in range(b - a):
+                    yield self._whole(texts[a + i].as_py()) if i in whole else ids[edges[i] : edges[i + 1]]
+            a = b
+
+    def _chunk(self, data, bounds) -> tuple[memoryview, list[int], set[int]]:
+        """The ids of texts that lie in `data` from bound to bound, where each text's begin, and the texts to encode whole."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        raw = np.frombuffer(data, np.uint8)
+        starts = raw == 32
+        starts[1:] |= self.letter[raw[:-1]] & self.other[raw[1:]]
+        starts[bounds[:-1][bounds[:-1] < bounds[1:]]] = True
+        at = np.append(np.flatnonzero(starts), len(raw)).astype(np.int32)
+        coded = pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(at), data).dictionary_encode()
+        pieces, codes = coded.dictionary, coded.indices.to_numpy()
+        place = pc.index_in(pieces, value_set=self.known).fill_null(-1).to_numpy().astype(np.int64)
+        new = np.flatnonzero(place < 0)
+        place[new] = len(self.known) + np.arange(len(new))
+        fresh = pieces.take(pa.array(new))
+        ids = pa.concat_arrays([self.ids, pa.array(map(self._of_piece, fresh.to_pylist()), pa.large_binary(), size=len(fresh))])
+        taken = ids.take(pa.array(place[codes]))
+        whole = {m.start() for m in self.added(data)}
+        if taken.null_count:
+            whole.update(at[:-1][taken.is_null().to_numpy(zero_copy_only=False)].tolist())
+        rows = set((np.searchsorted(bounds, sorted(whole), "right") - 1).tolist())
+        edges = np.frombuffer(taken.buffers()[1], np.int64)[np.searchsorted(at, bounds)].tolist()
+        self._keep(pa.concat_arrays([self.known, fresh]), ids, place)
+        return memoryview(taken.buffers()[2] or b""), edges, rows
+
+    def _keep(self, pieces, ids, used) -> None:
+        """Keep short pieces up to the bounds; the used ones go behind the others, and the first ones are dropped."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        rest = np.ones(len(pieces), bool)
+        rest[used] = False
+        order = np.concatenate([np.flatnonzero(rest), used])
+        size = pc.binary_length(pieces).to_numpy()[order]
+        held = pc.binary_length(ids).fill_null(-1).to_numpy()[order]
+        fit = (held >= 0) & (size <= _Kept.LONGEST)
+        order, size = order[fit], (size + held)[fit] + 12
+        room = int(np.searchsorted(np.cumsum(size[::-1]), self.HELD, "right"))
+        order = pa.array(order[max(0, len(order) - min(room, self.most)) :])
+        self.known, self.ids = pieces.take(order), ids.take(order)
 
     def __call__(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if text[-1] == " " or _SPACES.search(text) or self.added(text) or not (text.isascii() or all(map(self.assigned.__getitem__, set(text)))):
-            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        head, *rest = text.split(" ")
-        return b"".join(map(self.tokens.__getitem__, self.cut(head))) + b"".join(map(self.pieces.__getitem__, rest))
+        import pyarrow as pa
+
+        return bytes(next(self.column(pa.array([text], pa.string()))))
 
 
 _encoders: dict[str, Encoder] = {}

@@ -76,11 +76,11 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end: int = 0, id_col:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        encode = encoder(tokenizer)
+        encode = encoder(tokenizer).column
         for batch in batches:
             of, piece, start, length, crc = [], [], [], [], []
-            for i, x in enumerate(batch.column(1)):
-                ids = encode(x.as_py() or "") + mark
+            for i, x in enumerate(encode(batch.column(1))):
+                ids = bytes(x) + mark
                 n = len(ids) // 4
                 first = n - capacity * ((n - 1) // capacity)
                 for k, (a, b) in enumerate(zip([0, *range(first, n, capacity)], [*range(first, n, capacity), n], strict=True)):

@@ -23,9 +23,9 @@ def lengths(docs: DataFrame, tokenizer: str, text_col: str = "text") -> DataFram
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        encode = encoder(tokenizer)
+        encode = encoder(tokenizer).column
         for batch in batches:
-            n = [len(encode(x.as_py() or "")) // 4 for x in batch.column(0)]
+            n = [len(x) // 4 for x in encode(batch.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64())], names=["n_tokens"])
 
     return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "n_tokens long")
