@@ -171,18 +171,21 @@ class Encoder:
         at = np.append(np.flatnonzero(starts), len(raw)).astype(np.int32)
         coded = pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(at), data).dictionary_encode()
         pieces, codes = coded.dictionary, coded.indices.to_numpy()
-        place = pc.index_in(pieces, value_set=self.known).fill_null(-1).to_numpy().astype(np.int64)
+        table = 32 * len(pieces) >= len(self.known)  # to look few up in many costs more than to merge them again
+        known, held = (self.known, self.ids) if table else (self.known[:0], self.ids[:0])
+        place = pc.index_in(pieces, value_set=known).fill_null(-1).to_numpy().astype(np.int64)
         new = np.flatnonzero(place < 0)
-        place[new] = len(self.known) + np.arange(len(new))
+        place[new] = len(known) + np.arange(len(new))
         fresh = pieces.take(pa.array(new))
-        ids = pa.concat_arrays([self.ids, pa.array(map(self._of_piece, fresh.to_pylist()), pa.large_binary(), size=len(fresh))])
+        ids = pa.concat_arrays([held, pa.array(map(self._of_piece, fresh.to_pylist()), pa.large_binary(), size=len(fresh))])
         taken = ids.take(pa.array(place[codes]))
         whole = {m.start() for m in self.added(data)}
         if taken.null_count:
             whole.update(at[:-1][taken.is_null().to_numpy(zero_copy_only=False)].tolist())
         rows = set((np.searchsorted(bounds, sorted(whole), "right") - 1).tolist())
         edges = np.frombuffer(taken.buffers()[1], np.int64)[np.searchsorted(at, bounds)].tolist()
-        self._keep(pa.concat_arrays([self.known, fresh]), ids, place)
+        if table:
+            self._keep(pa.concat_arrays([known, fresh]), ids, place)
         return memoryview(taken.buffers()[2] or b""), edges, rows
 
     def _keep(self, pieces, ids, used) -> None:
