@@ -211,3 +211,52 @@ print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
 """
     grown = int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, timeout=600).stdout)
     assert grown < 200
+
+
+def test_encoder_gives_memory_back_after_a_column():
+    """Workers live on: what columns of many different words took doesn't stay, beyond bounded tables."""
+    code = f"""
+import random, re, sys
+sys.path.insert(0, {str(__import__("pathlib").Path(__file__).resolve().parents[2])!r})
+from pathlib import Path
+import pyarrow as pa
+from tidemark.llm.common import Encoder
+def anonymous():
+    return int(re.search(r"\\nAnonymous: +([0-9]+)", Path("/proc/self/smaps_rollup").read_text())[1]) // 1024
+e = Encoder({TOKENIZER!r})
+rng = random.Random(1)
+words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 9))) for _ in range(400_000)]
+columns = [pa.array([" ".join(rng.choices(words, k=500)) for _ in range(2048)]) for _ in range(4)]
+before = anonymous()
+for column in columns:
+    for ids in e.column(column):
+        assert len(ids)
+del ids
+print(anonymous() - before)
+"""
+    grown = int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, timeout=600).stdout)
+    assert grown < 80
+
+
+def test_pipeline_stages_hand_python_bounded_batches(spark):
+    """Their results are computed when a reader asks, after the stage has returned."""
+    import corpus_pipeline
+
+    session = spark.newSession()
+    text = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(60)), lambda i: F.concat(F.lit("w"), F.col("id") * 60 + i)), " ")
+    docs = session.range(0, 6000, 1, 1).select(F.col("id").alias("doc_id"), text.alias("text"))
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    got = [r["n"] for r in corpus_pipeline.quality_rules_stage(session, docs, "").mapInArrow(sizes, "n long").collect()]
+    assert sum(got) == 6000 and max(got) <= 2048
+
+    from tidemark.tables import bound
+
+    session.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    bound(session)
+    assert session.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "100"

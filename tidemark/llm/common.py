@@ -90,7 +90,7 @@ class Encoder:
     the tokenizer may see differently, are encoded as a whole by the tokenizer.
     """
 
-    CHUNK, HELD = 12 << 20, 24 << 20  # bytes of text looked at together, of pieces kept with their ids
+    CHUNK, HELD = 4 << 20, 12 << 20  # bytes of text looked at together, of pieces kept with their ids
 
     def __init__(self, path: str, most: int = 1_000_000):
         import os
@@ -141,7 +141,8 @@ class Encoder:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def column(self, texts) -> Iterator[bytes | memoryview]:
-        """Ids of every text of an Arrow array of strings; a null is empty."""
+        """Ids of every text of an Arrow array of strings; a null is empty. Its end gives back what Arrow holds for later:
+        a worker lives on through the stages that follow."""
         import numpy as np
         import pyarrow as pa
 
@@ -156,7 +157,9 @@ class Encoder:
                 ids, edges, whole = self._chunk(texts.buffers()[2].slice(int(ends[a]), int(ends[b] - ends[a])), ends[a : b + 1] - ends[a])
                 for i in range(b - a):
                     yield self._whole(texts[a + i].as_py()) if i in whole else ids[edges[i] : edges[i + 1]]
+                del ids
             a = b
+        pa.default_memory_pool().release_unused()
 
     def _chunk(self, data, bounds) -> tuple[memoryview, list[int], set[int]]:
         """The ids of texts that lie in `data` from bound to bound, where each text's begin, and the texts to encode whole."""

@@ -40,9 +40,7 @@ def _bounded(spark: SparkSession) -> Iterator[None]:
     with _turn:
         n, before = _writing.get(key) or (0, {name: spark.conf.get(name) for name in BATCH})
         if not n:
-            for name, most in BATCH.items():
-                if not 0 < bytes_of(before[name]) <= most:
-                    spark.conf.set(name, str(most))
+            _tighten(spark)
         _writing[key] = n + 1, before
     try:
         yield
@@ -56,6 +54,22 @@ def _bounded(spark: SparkSession) -> Iterator[None]:
                     spark.conf.set(name, value)
 
 
+def _tighten(spark: SparkSession) -> None:
+    for name, most in BATCH.items():
+        if not 0 < bytes_of(spark.conf.get(name)) <= most:
+            spark.conf.set(name, str(most))
+
+
+def bound(spark: SparkSession) -> None:
+    """The bounds of an Arrow batch hold in this session from now on, tighter ones stay. For results that Python computes
+    when a reader asks for them: what is set then counts, not what was set when they were made."""
+    key = id(spark._jsparkSession)
+    with _turn:
+        _tighten(spark)
+        if key in _writing:  # its writers don't bring the former bounds back
+            _writing[key] = _writing[key][0], {name: spark.conf.get(name) for name in BATCH}
+
+
 def bytes_of(setting: str) -> int:
     """A number, with or without a unit such as `64MB`."""
     number = setting.strip().lower().removesuffix("b")
